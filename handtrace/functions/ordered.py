@@ -94,30 +94,33 @@ class Ordered:
         last: Mapping[str, Column] | None = None,
         running: Mapping[str, Column] | None = None,
         position: str | None = None,
+        highest: Mapping[str, Column] | None = None,
     ) -> DataFrame:
         """Add columns.
 
         ``lag``: value of a column on the previous row.  ``last``: latest non-null
         value of an expression on the rows before.  ``running``: sum up to and
-        including the row.  ``position``: 0-based row number.
+        including the row.  ``position``: 0-based row number.  ``highest``: maximum
+        of an expression on the rows before.
         """
-        lag, last, running = lag or {}, last or {}, running or {}
+        lag, last, running, highest = lag or {}, last or {}, running or {}, highest or {}
         if self.slices <= 1:
-            return self._local(df, self.keys, lag, last, running, position)
-        return self._sliced(df, lag, last, running, position)
+            return self._local(df, self.keys, lag, last, running, position, highest)
+        return self._sliced(df, lag, last, running, position, highest)
 
-    def _local(self, df, keys, lag, last, running, position):
+    def _local(self, df, keys, lag, last, running, position, highest):
         w = Window.partitionBy(*keys).orderBy(*self._sorting())
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cols = {out: F.lag(src).over(w) for out, src in lag.items()}
         cols |= {out: F.last(e, ignorenulls=True).over(before) for out, e in last.items()}
         cols |= {out: F.sum(e).over(upto) for out, e in running.items()}
+        cols |= {out: F.max(e).over(before) for out, e in highest.items()}
         if position:
             cols[position] = (F.row_number().over(w) - 1).cast("long")
         return df.withColumns(cols)
 
-    def _sliced(self, df, lag, last, running, position):
+    def _sliced(self, df, lag, last, running, position, highest):
         keys = list(self.keys)
         runs = [*keys, "_slice"]
         cut = with_slices(df, keys, self.order[0], self.slices)
@@ -136,6 +139,8 @@ class Ordered:
             )
         for out, e in running.items():
             ends.append(F.sum(e).alias(f"_s_{out}"))
+        for out, e in highest.items():
+            ends.append(F.max(e).alias(f"_h_{out}"))
 
         way = F.col("_slice").desc() if self.reverse else F.col("_slice").asc()
         w = Window.partitionBy(*keys).orderBy(way)
@@ -149,9 +154,11 @@ class Ordered:
             )
         for out in running:
             carried.append(F.sum(f"_s_{out}").over(before).alias(f"_c_{out}"))
+        for out in highest:
+            carried.append(F.max(f"_h_{out}").over(before).alias(f"_c_{out}"))
         carry = cut.groupBy(*runs).agg(*ends).select(*runs, *carried)
 
-        local = self._local(cut, runs, lag, last, running, "_at")
+        local = self._local(cut, runs, lag, last, running, "_at", highest)
         joined = local.join(carry, runs, "left")
         fixed = {
             out: F.when(F.col("_at") == 0, F.col("_c_tail")[f"_v_{out}"]).otherwise(F.col(out))
@@ -164,10 +171,11 @@ class Ordered:
             )
             for out in running
         }
+        fixed |= {out: F.greatest(F.col(out), F.col(f"_c_{out}")) for out in highest}
         if position:
             fixed[position] = (F.col("_at") + F.col("_c_rows")).cast("long")
         out = joined.withColumns(fixed)
-        added = [*lag, *last, *running, *([position] if position else [])]
+        added = [*lag, *last, *running, *highest, *([position] if position else [])]
         return out.select(*[c for c in df.columns if c not in added], *added)
 
 

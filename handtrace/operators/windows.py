@@ -45,8 +45,7 @@ def idle_segments(
 ) -> DataFrame:
     """Number the stretches between pauses longer than ``gap_ms``; drop short ones.
 
-    ``segment`` restarts the numbering after short stretches are removed only in
-    the sense that their rows vanish; surviving numbers are kept.
+    Surviving segments keep their number, so dropped ones leave a hole.
     """
     order = Ordered(("session_id",), ("t", "seq"), slices)
     gaps = order.apply(events, lag={"_pt": "t"})
@@ -57,10 +56,10 @@ def idle_segments(
     spanned = group_extent(
         numbered,
         ["session_id", "segment"],
-        {"_span": F.max("t") - F.min("t")},
+        {"_from": F.min("t"), "_to": F.max("t")},
         slices,
     )
-    return spanned.filter(F.col("_span") >= min_ms).drop("_pt", "_new", "_span")
+    return spanned.filter(F.col("_to") - F.col("_from") >= min_ms).drop("_pt", "_new", "_from", "_to")
 
 
 def contiguous_runs(

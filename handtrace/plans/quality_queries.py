@@ -291,12 +291,15 @@ def pointer_rows(spark, sf):
     FROM moves WINDOW w AS (PARTITION BY session_id, mv ORDER BY t, seq))
   SELECT session_id, seq, {r('t', 't', 3)},
     CASE WHEN mv THEN 'mouse_move' WHEN state IN ('Up','Down') THEN 'mouse_scroll' ELSE 'mouse_click' END AS event_type,
-    x::INT AS x, y::INT AS y, dx::INT AS dx, dy::INT AS dy,
+    x::INT AS x, y::INT AS y, dx::DOUBLE AS dx, dy::DOUBLE AS dy,
     CASE WHEN state IN ('Pressed','Released') THEN lower(button) END AS button,
-    CASE WHEN state IN ('Pressed','Released') THEN state = 'Pressed' END AS pressed FROM conv"""))
+    CASE WHEN state IN ('Pressed','Released') THEN CASE state WHEN 'Pressed' THEN 'true' ELSE 'false' END END AS pressed FROM conv"""))
 def pointer_to_events(spark, sf):
     rows, slices = pointer_rows(spark, sf)
-    return rounded(q.pointer_events(q.drop_sentinels(rows), slices).drop("key"), 3)
+    out = q.pointer_events(q.drop_sentinels(rows), slices).drop("key").withColumns({
+        "dx": F.col("dx").cast("double"), "dy": F.col("dy").cast("double"),
+        "pressed": F.col("pressed").cast("string")})
+    return rounded(out, 3)
 
 
 @query("session_envelopes", events_sql(f"""
