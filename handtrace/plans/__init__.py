@@ -1,4 +1,4 @@
 """Importing this package registers every query."""
 
-from . import quality_queries, sequence_queries, window_queries  # noqa: F401
+from . import outcome_queries, quality_queries, sequence_queries, window_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
