@@ -1,4 +1,6 @@
 """Importing this package registers every query."""
 
-from . import outcome_queries, quality_queries, sequence_queries, window_queries  # noqa: F401
+from . import (  # noqa: F401
+    evaluation_queries, outcome_queries, quality_queries, sequence_queries, window_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
