@@ -17,23 +17,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4_096
 _COARSE = 64
 
 
-def slices_for(rows: int, rows_per_slice: int = ROWS_PER_SLICE) -> int:
-    """Slices needed so that a group of ``rows`` rows fits tasks of ``rows_per_slice``."""
-    return max(1, min(MAX_SLICES, math.ceil(rows / rows_per_slice)))
+def slices_for(rows: int) -> int:
+    """Slices needed so that a group of ``rows`` rows fits tasks of ``ROWS_PER_SLICE``."""
+    return max(1, min(MAX_SLICES, math.ceil(rows / ROWS_PER_SLICE)))
 
 
-def measure_slices(
-    df: DataFrame, keys: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE
-) -> int:
+def measure_slices(df: DataFrame, keys: Sequence[str]) -> int:
     """Count the largest group (one partially aggregated pass over the key columns)."""
-    sizes = df.groupBy(*keys).count() if keys else df.groupBy().count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    return slices_for(largest, rows_per_slice)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return slices_for(largest)
 
 
 def _slice_of(cuts: Column, value: Column, slices: int) -> Column:
@@ -123,15 +122,17 @@ class Ordered:
     def _sliced(self, df, lag, last, running, position, highest):
         keys = list(self.keys)
         runs = [*keys, "_slice"]
-        cut = with_slices(df, keys, self.order[0], self.slices)
+        # Runs, carry and result all read the tagged rows: write them once, so that a
+        # chain of ordered steps neither recomputes nor multiplies its plan.
+        cut = cut_lineage(with_slices(df, keys, self.order[0], self.slices))
         ordinal = [F.col(c) for c in self.order]
         edge = F.min if self.reverse else F.max
 
-        ends = [F.count(F.lit(1)).alias("_rows")]
+        ends = [F.count(F.lit(1)).alias("_walk_rows")]
         if lag:
             ends.append(
                 edge(F.struct(*ordinal, *[F.col(s).alias(f"_v_{o}") for o, s in lag.items()]))
-                .alias("_tail")
+                .alias("_walk_tail")
             )
         for out, e in last.items():
             ends.append(
@@ -145,35 +146,35 @@ class Ordered:
         way = F.col("_slice").desc() if self.reverse else F.col("_slice").asc()
         w = Window.partitionBy(*keys).orderBy(way)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
-        carried = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_c_rows")]
+        carried = [F.coalesce(F.sum("_walk_rows").over(before), F.lit(0)).alias("_carry_rows")]
         if lag:
-            carried.append(F.lag("_tail").over(w).alias("_c_tail"))
+            carried.append(F.lag("_walk_tail").over(w).alias("_carry_tail"))
         for out in last:
             carried.append(
-                F.last(F.col(f"_l_{out}"), ignorenulls=True).over(before)["_v"].alias(f"_c_{out}")
+                F.last(F.col(f"_l_{out}"), ignorenulls=True).over(before)["_v"].alias(f"_carry_{out}")
             )
         for out in running:
-            carried.append(F.sum(f"_s_{out}").over(before).alias(f"_c_{out}"))
+            carried.append(F.sum(f"_s_{out}").over(before).alias(f"_carry_{out}"))
         for out in highest:
-            carried.append(F.max(f"_h_{out}").over(before).alias(f"_c_{out}"))
+            carried.append(F.max(f"_h_{out}").over(before).alias(f"_carry_{out}"))
         carry = cut.groupBy(*runs).agg(*ends).select(*runs, *carried)
 
-        local = self._local(cut, runs, lag, last, running, "_at", highest)
+        local = self._local(cut, runs, lag, last, running, "_walk_at", highest)
         joined = local.join(carry, runs, "left")
         fixed = {
-            out: F.when(F.col("_at") == 0, F.col("_c_tail")[f"_v_{out}"]).otherwise(F.col(out))
+            out: F.when(F.col("_walk_at") == 0, F.col("_carry_tail")[f"_v_{out}"]).otherwise(F.col(out))
             for out in lag
         }
-        fixed |= {out: F.coalesce(F.col(out), F.col(f"_c_{out}")) for out in last}
+        fixed |= {out: F.coalesce(F.col(out), F.col(f"_carry_{out}")) for out in last}
         fixed |= {
-            out: F.when(F.col(out).isNull(), F.col(f"_c_{out}")).otherwise(
-                F.col(out) + F.coalesce(F.col(f"_c_{out}"), F.lit(0))
+            out: F.when(F.col(out).isNull(), F.col(f"_carry_{out}")).otherwise(
+                F.col(out) + F.coalesce(F.col(f"_carry_{out}"), F.lit(0))
             )
             for out in running
         }
-        fixed |= {out: F.greatest(F.col(out), F.col(f"_c_{out}")) for out in highest}
+        fixed |= {out: F.greatest(F.col(out), F.col(f"_carry_{out}")) for out in highest}
         if position:
-            fixed[position] = (F.col("_at") + F.col("_c_rows")).cast("long")
+            fixed[position] = (F.col("_walk_at") + F.col("_carry_rows")).cast("long")
         out = joined.withColumns(fixed)
         added = [*lag, *last, *running, *highest, *([position] if position else [])]
         return out.select(*[c for c in df.columns if c not in added], *added)
@@ -246,7 +247,8 @@ def aggregate(
             *[c for c in plain.columns if not c.startswith("_pct")], *picked
         )
 
-    base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
+    df = cut_lineage(df) if by_value else df
+    base = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_walk_rows")]))
     for value, ps in by_value.items():
         ranked = _ranked_values(df, keys, value, slices)
         parts = []
@@ -263,7 +265,7 @@ def aggregate(
             cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(out))
         picked = picked.select(*keys, *cols)
         base = base.join(picked, list(keys), "left") if keys else base.crossJoin(F.broadcast(picked))
-    return base.drop("_rows") if not aggs else base
+    return base.drop("_walk_rows") if not aggs else base
 
 
 def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, slices: int) -> DataFrame:
