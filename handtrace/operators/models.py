@@ -338,3 +338,42 @@ def linear_probe(df: DataFrame, ident: str, label: str, vector: str, folds: int
             ident, "y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def roster_curve(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, subsets: DataFrame,
+                 draws: Sequence[int]) -> DataFrame:
+    """Accuracy against roster size: one fit per drawn subset of users.
+
+    ``subsets``: (draw, label).  The loop is over the few draws.
+    """
+    from .metrics import classification_report
+    out = None
+    for draw in draws:
+        users = subsets.filter(F.col("draw") == draw).select(label)
+        some, held = (d.join(users, label, "left_semi") for d in (train, test))
+        model = fit_identifier(some, features, label)
+        if model is None:
+            continue
+        report = classification_report(identify(model, held, features), label, "y_pred").select(
+            F.lit(draw).alias("draw"), F.lit(len(model.stages[0].labels)).alias("users"), "accuracy", "n")
+        out = report if out is None else out.unionByName(report)
+    return out.withColumn("chance", F.lit(1.0) / F.col("users"))
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], columns: Sequence[str],
+                           positive: str, label: str, ident: str, seed: int = 0, slices: int = 1) -> DataFrame:
+    """Loss of AUC for one class when a column is shuffled; the loop is over ``columns``."""
+    from .metrics import roc_auc
+
+    def scored(df: DataFrame, name: str) -> DataFrame:
+        s = identify(model, df, features)
+        return s.select(F.lit(name).alias("feature"), F.element_at("proba", positive).alias("score"),
+                        (F.col(label) == positive).alias("positive"))
+
+    pool = scored(test, "")
+    for c in columns:
+        pool = pool.unionByName(scored(permute_column(test, c, ident, seed, slices), c))
+    auc = roc_auc(pool, ["feature"], slices)
+    base = auc.filter("feature = ''").select(F.col("auc").alias("_base"))
+    return auc.filter("feature <> ''").crossJoin(F.broadcast(base)).select(  # one row
+        "feature", (F.col("_base") - F.col("auc")).alias("auc_drop"))

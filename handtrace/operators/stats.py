@@ -32,14 +32,23 @@ def _value_counts(long: DataFrame, keys: Sequence[str], sides: dict[str, Column]
         *[F.sum(F.when(cond, 1).otherwise(0)).alias(side) for side, cond in sides.items()])
 
 
-def ks_statistic(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",), slices: int = 1) -> DataFrame:
-    """(keys, ks_stat, n_ref, n_cur): largest gap of the two empirical distributions."""
+def _runs(long: DataFrame, is_current: Column, keys: Sequence[str], slices: int) -> DataFrame:
+    """Distinct values with side counts, running side totals and the side sizes."""
     counts = _value_counts(long, keys, {"_r": ~is_current, "_c": is_current})
     run = Ordered(tuple(keys), ("value",), slices).apply(
         counts, running={"_cr": F.col("_r"), "_cc": F.col("_c")})
     totals = counts.groupBy(*keys).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
+    return run.join(totals, list(keys))
+
+
+def ks_statistic(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",), slices: int = 1) -> DataFrame:
+    """(keys, ks_stat, n_ref, n_cur): largest gap of the two empirical distributions."""
+    return _ks(_runs(long, is_current, keys, slices), keys)
+
+
+def _ks(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     gap = F.abs(ratio(F.col("_cr"), F.col("n_ref")) - ratio(F.col("_cc"), F.col("n_cur")))
-    return run.join(totals, list(keys)).groupBy(*keys, "n_ref", "n_cur").agg(F.max(gap).alias("ks_stat"))
+    return runs.groupBy(*keys, "n_ref", "n_cur").agg(F.max(gap).alias("ks_stat"))
 
 
 def ks_p_value(stat: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -57,24 +66,38 @@ def psi(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",),
         slices: int = 1) -> DataFrame:
     """(keys, psi) with bins at the reference quantiles; NULL for an empty side or a
     constant reference."""
-    counts = _value_counts(long, keys, {"_r": ~is_current, "_c": is_current})
-    wanted = {f"_q{i}": ("value", i / bins) for i in range(bins + 1)}
-    cuts = exact_percentiles(long.filter(~is_current), keys, wanted, slices)
-    edges = F.array_sort(F.array_distinct(F.array(*[F.col(f"_q{i}") for i in range(bins + 1)])))
+    return _psi(_runs(long, is_current, keys, slices), keys, bins)
+
+
+def _psi(runs: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    # Quantiles are read off the running reference counts: the value holding rank r.
+    ends = []
+    for i in range(bins + 1):
+        pos = F.lit(i / bins) * (F.col("n_ref") - 1)
+        for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            holds = (F.col("_cr") - F.col("_r") <= rank) & (rank < F.col("_cr"))
+            ends.append(F.max(F.when(holds, F.col("value"))).alias(f"_{tag}{i}"))
+    ranked = runs.groupBy(*keys, "n_ref", "n_cur").agg(*ends)
+    quantiles = []
+    for i in range(bins + 1):
+        pos = F.lit(i / bins) * (F.col("n_ref") - 1)
+        quantiles.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos)))
+    edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*quantiles))))
+    cuts = ranked.select(*keys, "n_ref", "n_cur", edges.alias("_edges"))
     # The outer edges are unbounded, only inner ones decide the bin.
-    cuts = cuts.select(*keys, edges.alias("_edges")).withColumn(
+    cuts = cuts.withColumn(
         "_inner", F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0))))
-    placed = counts.join(cuts, list(keys)).withColumn(
+    placed = runs.select(*keys, "value", "_r", "_c").join(cuts, list(keys)).withColumn(
         "_bin", F.size(F.filter("_inner", lambda e: e <= F.col("value"))))
     held = placed.groupBy(*keys, "_bin").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
-    grid = cuts.select(*keys, "_edges", F.explode(F.sequence(F.lit(0), F.size("_inner"))).alias("_bin"))
+    grid = cuts.select(*keys, "n_ref", "n_cur", "_edges",
+                       F.explode(F.sequence(F.lit(0), F.size("_inner"))).alias("_bin"))
     full = grid.join(held, [*keys, "_bin"], "left")
-    totals = counts.groupBy(*keys).agg(F.sum("_r").alias("_nr"), F.sum("_c").alias("_nc"))
     share = lambda c, n: F.greatest(
         ratio(F.coalesce(F.col(c), F.lit(0)), F.col(n)), F.lit(PSI_FLOOR))
-    part = full.join(totals, list(keys)).withColumns({"_pr": share("_r", "_nr"), "_pc": share("_c", "_nc")})
+    part = full.withColumns({"_pr": share("_r", "n_ref"), "_pc": share("_c", "n_cur")})
     term = (F.col("_pc") - F.col("_pr")) * F.ln(F.col("_pc") / F.col("_pr"))
-    usable = (F.max(F.size("_edges")) >= 2) & (F.max("_nr") > 0) & (F.max("_nc") > 0)
+    usable = (F.max(F.size("_edges")) >= 2) & (F.max("n_ref") > 0) & (F.max("n_cur") > 0)
     return part.groupBy(*keys).agg(F.when(usable, F.sum(term)).alias("psi"))
 
 
@@ -87,8 +110,8 @@ def severity(value: Column) -> Column:
 def drift_report(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",), bins: int = 10,
                  slices: int = 1) -> DataFrame:
     """KS and PSI per key, worst PSI first."""
-    ks = ks_statistic(long, is_current, keys, slices)
-    report = ks.join(psi(long, is_current, keys, bins, slices), list(keys), "left")
+    runs = _runs(long, is_current, keys, slices)
+    report = _ks(runs, keys).join(_psi(runs, keys, bins), list(keys), "left")
     p = ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
     return report.withColumns({
         "ks_pvalue": p, "psi_severity": severity(F.col("psi")),

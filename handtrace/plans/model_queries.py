@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import CHEAT_FEATURES, ID_FEATURES, KEYBOARD_FEATURES
 from ..functions.exprs import rounded, uniform
 from ..operators import metrics as m, models as md, sequence as sq
+from ..operators.splits import random_subsets
 from ..session import cut_lineage
 from ..sources.tables import table, telemetry
 from .evaluation_queries import DRAW, folds, table_slices
@@ -195,4 +196,24 @@ def permutation_shuffle(spark, sf):
 @query("component_loadings")
 def component_loadings(spark, sf):
     """Two leading components of the feature windows and the ten strongest features of each."""
-    return rounded(md.loadings(feature_table(spark, sf), CHEAT_FEATURES, 2).filter("rank < 10"))
+    return rounded(md.loadings(cut_lineage(feature_table(spark, sf)), CHEAT_FEATURES, 2).filter("rank < 10"))
+
+
+@query("roster_curve")
+def roster_curve(spark, sf):
+    """Accuracy over rosters of three players, two draws."""
+    train, test = identification(spark, sf)
+    subsets = random_subsets(train.select("player"), "player", 3, 2)
+    return rounded(md.roster_curve(train, test, ID_FEATURES, "player", subsets, [0, 1]))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    """AUC lost for player p0 when single columns are shuffled."""
+    train, test = identification(spark, sf)
+    named = test.withColumn("row", F.concat_ws("|", "session_id", F.col("window_idx").cast("string")))
+    hashed_id = named.withColumn("row", F.xxhash64("row"))
+    model = md.fit_identifier(train, ID_FEATURES)
+    return rounded(md.permutation_importance(
+        model, hashed_id, ID_FEATURES, ["event_rate", "speed_mean", "iki_mean"], "p0", "player", "row",
+        slices=table_slices(spark, sf, "events")))
