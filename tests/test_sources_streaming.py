@@ -117,3 +117,15 @@ def test_bad_messages_are_kept_apart(spark):
     raw = spark.createDataFrame([('{"session_id":"s","seq":1,"type":"mouse_move","t":1.0}',), ("{oops",), ("{}",)], "value string")
     good, bad = rec.parse_messages(raw)
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_report_sinks_and_folder_label(spark, folder):
+    df = spark.createDataFrame([("f", 0.5), ("g", 1.5)], "feature string, psi double")
+    rec.write_report_csv(df, f"{folder}/csv")
+    rec.write_report_json(df, f"{folder}/json")
+    want = sorted(map(tuple, df.collect()))
+    back = spark.read.option("header", True).schema(df.schema).csv(f"{folder}/csv")
+    assert sorted(map(tuple, back.collect())) == want
+    assert sorted((r["feature"], r["psi"]) for r in spark.read.json(f"{folder}/json").collect()) == want
+    paths = spark.createDataFrame([("/d/no_cheater_present/1.parquet",), ("/d/with_cheater_present/2.parquet",)], "p string")
+    assert [r[0] for r in paths.select(rec.folder_label(F.col("p"))).collect()] == [0, 1]
