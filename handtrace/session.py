@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application.
+
+    An installed wheel does the same; this serves sessions that were started without one.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_handtrace_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="handtrace-")
+    context.addPyFile(shutil.make_archive(f"{folder}/handtrace", "zip", package.parent, package.name))
+    context._handtrace_shipped = True
