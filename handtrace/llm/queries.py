@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from handtrace.plans.registry import Query
 
-from . import decontaminate, near_dup, substring_dup
+from . import decontaminate, html_density, language, near_dup, quality, substring_dup
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,29 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that it shares with an earlier one, and its class."""
     found = substring_dup.remove_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_words_removed", "passages", "text")
+
+
+@query("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_density.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(quality.fold("doc_id", 4) == 2, F.lit(False))
+    found = language.predict(docs, language.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
+                        (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
