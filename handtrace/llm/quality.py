@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are its words (runs without white space) and its character n-grams, hashed to
-rows of one embedding table. A document is the average of its features' vectors; a softmax layer
+Features of a text are its words (runs without white space), its character n-grams and, as a word
+bigram of its own, the same word twice in a row; they are hashed to rows of one embedding table. A document is the average of its features' vectors; a softmax layer
 gives the probability of label 1. Vectors and layer are learned together by stochastic gradient
 descent in numpy, on a bounded sample: at most ``PER_LABEL`` labelled documents of each label, those
 least by a hash of their id. Scoring covers every whole text inside Spark tasks: the model is linear
@@ -34,12 +34,14 @@ SEED = 7
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature row, document) of every word and n-gram occurrence, by document within each kind."""
+    """(feature row, document) of every word, repeated word and n-gram, by document within each kind."""
     dark = np.ones(256, bool)
     dark[[9, 10, 11, 12, 13, 32]] = False
     starts, ends, doc = spans(dark[data], offsets)
     shift = np.uint64(64 - BITS)
-    rows, docs = [(span_hashes(data, starts, ends) >> shift).astype(np.int32)], [doc]
+    words = span_hashes(data, starts, ends)
+    again = np.flatnonzero((words[1:] == words[:-1]) & (doc[1:] == doc[:-1]))
+    rows, docs = [(words >> shift).astype(np.int32), np.zeros(len(again), np.int32)], [doc, doc[again]]
     place = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     wide = data.astype(np.uint64)
     for n in GRAMS:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handtrace.plans.registry import Query
 
-from . import decontaminate, html_density, language, near_dup, quality, substring_dup
+from . import (
+    decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
+)
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -97,3 +100,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"),
                         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_token_files")
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    docs = table(spark, sf_dir, "documents")
+    manifest = token_files.write_tokens(
+        docs, token_files.scratch_uri(docs), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read_tokens(manifest)
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and their round trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentencepiece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), id_lists=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
