@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from handtrace.plans.registry import Query
 
 from . import (
-    decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
+    ann, decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
 )
 from .common import table
 
@@ -117,3 +117,9 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = sentencepiece_bpe.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), id_lists=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op8_nearest")
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
