@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, drop_path, scratch, text_key, written
-from .textvec import Words, byte_slices, distinct_counts, mix, shingles
+from .textvec import Words, byte_slices, distinct_counts, mix, salt, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -82,7 +82,7 @@ def consistent_samples(value: np.ndarray, weight: np.ndarray, first: np.ndarray,
     scale = np.float32(2.0 ** -32)
     low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     for k in range(samples):
-        one = mix(value + np.uint64(2 * k + 1) * SPREAD)
+        one = mix(value + salt(2 * k + 1))
         two = mix(one + SPREAD)
         three = mix(two + SPREAD)
         u = [((x.astype(np.float32) + np.float32(0.5)) * scale)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from handtrace.plans.registry import Query
 
 from . import (
-    ann, decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
+    ann, chat, decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
 )
 from .common import table
 
@@ -123,3 +123,77 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+# Tool traffic of the conversations: a user turn is a call, an assistant turn the result of the turn before.
+ARGUMENTS = """CASE length(text) % 3
+    WHEN 0 THEN concat('{{"query" : ', {text}, ', "limit": ', length(text) % 120, '}}')
+    WHEN 1 THEN concat('{{"pinned":', CASE WHEN length(text) % 7 = 0 THEN '"yes"' ELSE 'true' END,
+        CASE WHEN length(text) % 5 = 0 THEN '' ELSE concat(', "body":', {text}) END,
+        CASE WHEN length(text) % 11 = 0 THEN ', "colour": "red"' ELSE '' END, '}}')
+    ELSE concat('{{"key":"', md5(text), '","depth":', length(text) % 10, CASE WHEN length(text) % 13 = 0 THEN '' ELSE '}}' END) END"""
+TOOLS = [("search", "query", "string", True, 1, 800), ("search", "limit", "integer", True, 1, 100),
+         ("note", "body", "string", True, None, None), ("note", "pinned", "boolean", False, None, None),
+         ("lookup", "key", "string", True, 32, 32), ("lookup", "depth", "integer", False, 0, 6)]
+
+OP1_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (
+  SELECT conv_id, turn, text, 'c' || turn AS call_id, CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after,
+         length(text) AS n, to_json(text)::VARCHAR AS j FROM m WHERE role = 'user'),
+tree AS (
+  SELECT conv_id, call_id, 0 AS depth FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL SELECT c.conv_id, c.call_id, depth + 1 FROM tree t JOIN c ON c.conv_id = t.conv_id AND c.after = t.call_id),
+r AS (SELECT conv_id, turn, text, 'c' || (turn - 1) AS call_id, to_json(text)::VARCHAR AS j FROM m WHERE role = 'assistant'),
+named AS (
+  SELECT c.*, depth, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'note' ELSE 'lookup' END AS name,
+         EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id AND r.call_id = c.call_id) AS answered
+  FROM c JOIN tree USING (conv_id, call_id)),
+checked AS (
+  SELECT *, CASE n % 3
+    WHEN 0 THEN '{"limit":' || n % 120 || ',"query":' || j || '}'
+    WHEN 1 THEN '{' || CASE WHEN n % 5 = 0 THEN '' ELSE '"body":' || j || ',' END
+        || CASE WHEN n % 11 = 0 THEN '"colour":"red",' ELSE '' END
+        || '"pinned":' || CASE WHEN n % 7 = 0 THEN '"yes"' ELSE 'true' END || '}'
+    ELSE CASE WHEN n % 13 = 0 THEN '{}' ELSE '{"depth":' || n % 10 || ',"key":"' || md5(text) || '"}' END END AS args,
+    concat_ws(',',
+      CASE WHEN n % 3 = 2 AND n % 13 = 0 THEN 'json,missing:key' END,
+      CASE WHEN n % 3 = 1 AND n % 5 = 0 THEN 'missing:body' END,
+      CASE WHEN n % 3 = 2 AND n % 13 <> 0 AND n % 10 > 6 THEN 'range:depth' END,
+      CASE WHEN n % 3 = 0 AND (n % 120 < 1 OR n % 120 > 100) THEN 'range:limit' END,
+      CASE WHEN n % 3 = 0 AND (n < 1 OR n > 800) THEN 'range:query' END,
+      CASE WHEN n % 3 = 1 AND n % 7 = 0 THEN 'type:pinned' END,
+      CASE WHEN n % 3 = 1 AND n % 11 = 0 THEN 'unknown:colour' END) AS problems
+  FROM named)
+SELECT conv_id, turn, 'call' AS role, call_id, 2 * depth AS rank, CASE WHEN answered THEN 'linked' ELSE 'unanswered' END AS status,
+       problems, '{"arguments":' || args || ',"call_id":"' || call_id || '","name":"' || name || '","role":"assistant"}' AS json
+FROM checked
+UNION ALL
+SELECT r.conv_id, r.turn, 'tool', r.call_id, 2 * depth + 1, CASE WHEN name IS NULL THEN 'orphan' ELSE 'linked' END, '',
+       '{"call_id":"' || r.call_id || '","content":' || r.j || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END
+       || ',"role":"tool"}'
+FROM r LEFT JOIN named USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, role, NULL, -1, 'message', '', '{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}'
+FROM m WHERE role NOT IN ('user', 'assistant')
+"""
+
+
+def tool_traffic(turns: DataFrame) -> DataFrame:
+    """Messages of the chat operator: calls and results derived from the turns of conversations."""
+    quoted = "substr(to_json(array(text)), 2, length(to_json(array(text))) - 2)"
+    return turns.selectExpr(
+        "conv_id", "turn", "CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'tool' ELSE role END AS role",
+        "CASE WHEN role = 'user' THEN NULL ELSE text END AS content",
+        "CASE role WHEN 'user' THEN concat('c', turn) WHEN 'assistant' THEN concat('c', turn - 1) END AS call_id",
+        "CASE WHEN role = 'user' AND turn >= 2 THEN concat('c', turn - 2) END AS after",
+        "CASE WHEN role = 'user' THEN CASE length(text) % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'note' ELSE 'lookup' END END AS name",
+        f"CASE WHEN role = 'user' THEN {ARGUMENTS.format(text=quoted)} END AS arguments")
+
+
+@query("op1_chat", OP1_SQL)
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered and checked tool traffic of all conversations as canonical JSON."""
+    tools = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean, least int, most int")
+    return chat.format_messages(tool_traffic(table(spark, sf_dir, "conversations")), tools)

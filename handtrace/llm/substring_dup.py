@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, text_key, written
-from .textvec import STEP, Words, byte_slices, mix, shingles
+from .textvec import STEP, Words, byte_slices, mix, salt, shingles
 
 SHINGLE = 5
 PASSAGE = 50
@@ -85,7 +85,7 @@ class Paragraphs:
         key = np.ones(max(0, n - PIECE + 1), np.uint64)
         for row in range(PIECE_ROWS):
             if len(key):
-                key = mix(key * SPREAD + sliding_min(mix(shingle + np.uint64(row + 1) * SPREAD), PIECE - SHINGLE + 1))
+                key = mix(key * SPREAD + sliding_min(mix(shingle + salt(row + 1)), PIECE - SHINGLE + 1))
         self.piece = sliding_min(key, PASSAGE - PIECE + 1)  # one for each window
         breaks = np.cumsum(data == 10)
         line = np.zeros(n, np.int64) if not n else breaks[words.starts] + words.doc
@@ -114,7 +114,7 @@ class Paragraphs:
         for band in range(LINE_BANDS):
             key = np.full(len(out), band + 2, np.uint64)
             for row in range(LINE_ROWS):
-                least = np.minimum.reduceat(mix(value + np.uint64(97 + band * LINE_ROWS + row) * SPREAD), first)
+                least = np.minimum.reduceat(mix(value + salt(97 + band * LINE_ROWS + row)), first)
                 key = mix(key * SPREAD + least)
             out[:, band] = key
         return out

@@ -32,6 +32,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def salt(i: int) -> np.uint64:
+    """The i-th of a sequence of well-spread constants."""
+    return np.uint64(i * BASE & MASK)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: spreads every bit over the word."""
     x = x ^ (x >> np.uint64(30))
