@@ -8,10 +8,10 @@ meaning as the corpus grows and the table has a fixed size.
 Each sample of improved consistent weighted sampling agrees for two documents with the probability
 of their weighted Jaccard similarity; ``ROWS`` samples form a band, ``BANDS`` bands give a recall of
 0.998 at 0.8 and more above. Texts that share a band are compared exactly. A bucket is worked off in
-rounds: its least open text is the pivot, all others outside the pivot's component are verified
-against it, and components are joined. Once the open pairs are no more than a few per membership all
-of them are verified, so no candidate pair of different components is left out and no bucket is
-multiplied with itself while it is large.
+rounds: ``PIVOTS`` texts of its smallest components are verified against all others outside their
+components, then components are joined, for ``PIVOT_ROUNDS`` rounds at most. What is then open is
+compared in blocks of ``BLOCK`` texts: a task gets two blocks and returns links only, so no candidate
+pair of different components is left out and no pair becomes a row before it is verified.
 
 Cases: equal texts are one node and always one class, empty texts too; a null text stands alone; a
 text of one to four words is one shingle, one without words equals only itself; repeated rows share
@@ -21,20 +21,23 @@ one class; the class of rows whose ids are all null is null. Extra columns are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, drop_path, scratch, text_key, written
+from .ann import runs
+from .common import bounded_batches, components, text_key, written
 from .textvec import Words, byte_slices, distinct_counts, mix, salt, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 IDF_BITS = 18
-PAIRS_PER_MEMBER = 4
+PIVOTS, PIVOT_ROUNDS = 4, 2
+BLOCK = 256
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,7 +134,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, key binary, bands array<long>")
 
 
-def weighted_jaccard(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def weighted_sets(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(shingles, weights) of each text."""
     out = []
     for _, _, data, offsets in byte_slices(texts):
@@ -160,10 +163,10 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
             a, b = (batch.column(i).to_numpy() for i in (0, 1))
             keep, score = [], []
             for at in range(0, batch.num_rows, 64):
-                ones = weighted_jaccard(batch.column(2)[at:at + 64], shared.value)
+                ones = weighted_sets(batch.column(2)[at:at + 64], shared.value)
                 for i, one in enumerate(ones, at):
                     if last[0] != b[i]:
-                        last = (b[i], weighted_jaccard(batch.column(3)[i:i + 1], shared.value)[0])
+                        last = (b[i], weighted_sets(batch.column(3)[i:i + 1], shared.value)[0])
                     s = similarity(one, last[1])
                     if s >= threshold:
                         keep.append(i)
@@ -177,57 +180,109 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return both.mapInArrow(check, "a long, b long, similarity double")
 
 
-def open_pairs(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Memberships (band, key, node) with components; buckets of one component are closed."""
+def open_buckets(state: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Memberships (band, key, node, weight, component) of the buckets that hold several components."""
     if found is None:
-        out = members.withColumn("component", F.col("node"))
+        state = state.withColumn("component", F.col("node"))
     else:
-        out = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = out.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return out.join(mixed.where("low <> high").select("band", "key"), ["band", "key"])
+        state = state.drop("component").join(found, "node", "left")
+        state = state.withColumn("component", F.coalesce("component", "node"))
+    mixed = state.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return state.join(mixed.where("low <> high").select("band", "key"), ["band", "key"])
 
 
-def link_texts(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def link_texts(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Verified links (a, b, similarity) that connect every candidate pair's components.
 
-    ``members``: (band, key, node), a written table; buckets have two nodes or more.
+    ``members``: (band, key, node), a written table; buckets have two nodes or more. Pivots come from
+    a bucket's smallest components, so those apart from a large family meet all of it at once; among
+    equal ones those that meet most others in their buckets come first, such as a family's original.
     """
     spark = members.sparkSession
-    links, done, found, closed = None, None, None, None
+    bucket = ["band", "key"]
+    crowd = members.join(members.groupBy(*bucket).agg(F.count("*").alias("n")), bucket)
+    weight = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
+    met_links, found, state = [], None, members.join(weight, "node")
     while True:
-        state = written(open_pairs(members, found), "members")
-        if closed is not None:  # pivots have met everyone in their bucket
-            state = state.join(closed, ["band", "key", "node"], "left_anti")
-            state = written(open_pairs(state.drop("component"), found), "members")
-        sizes = state.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        total, cross = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        state = written(open_buckets(state, found), "members")
+        sizes = state.groupBy(*bucket, "component").agg(
+            F.count("*").alias("n"), F.max(F.struct("weight", F.col("node").alias("b"))).alias("best"))
+        sizes = sizes.select(*bucket, "n", F.struct(
+            "n", -F.col("best.weight"), F.col("best.b").alias("b"), F.col("component").alias("cb")).alias("pivot"),
+            F.pmod(F.xxhash64("component"), F.lit(PIVOTS)).alias("slot"))
+        whole = sizes.groupBy(*bucket, "slot").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("pivot").alias("pivot"))
+        whole = whole.groupBy(*bucket).agg(
+            F.sum("n").alias("n"), F.sum("same").alias("same"), F.collect_list("pivot").alias("pivots"))
+        whole = written(whole, "buckets")
+        total, cross = whole.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
         if not total:
             break
-        final = cross <= PAIRS_PER_MEMBER * total
-        if final:
-            left = state.select("band", "key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = state.withColumnRenamed("node", "a").join(left, ["band", "key"]).where("a > b and component <> cb")
-        else:
-            pivots = state.groupBy("band", "key").agg(F.min("node").alias("b"))
-            home = state.select("band", "key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pivots = written(pivots.join(home, ["band", "key", "b"]), "pivots")
-            pairs = state.withColumnRenamed("node", "a").join(pivots, ["band", "key"]).where("a <> b and component <> cb")
-            gone = pivots.select("band", "key", F.col("b").alias("node"))
-            closed = gone if closed is None else closed.unionByName(gone)
-        pairs = pairs.select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        new = written(verified(pairs, texts, idf, threshold), "links")
-        links = new if links is None else links.unionByName(new)
-        if final:
+        if len(met_links) == PIVOT_ROUNDS or cross <= PIVOTS * total:
+            met_links.append(written(link_blocks(state, nodes, texts, idf, threshold), "links"))
             break
-        found = written(components(links), "components")
-    if links is None:
+        met = written(state.join(whole.select(*bucket, "pivots"), bucket), "met")
+        pairs = met.select(F.col("node").alias("a"), "component", F.explode("pivots").alias("p"))
+        pairs = pairs.where("a <> p.b and component <> p.cb").select(
+            F.greatest("a", "p.b").alias("a"), F.least("a", "p.b").alias("b")).distinct()
+        state = met.where(~F.exists("pivots", lambda p: p["b"] == F.col("node"))).drop("pivots")
+        met_links.append(written(verified(written(pairs, "pairs"), texts, idf, threshold), "links"))
+        found = written(components(reduce(DataFrame.unionByName, met_links)), "components")
+    if not met_links:
         return spark.createDataFrame([], "a long, b long, similarity double")
-    return links
+    return reduce(DataFrame.unionByName, met_links)
+
+
+def link_blocks(state: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Links between members of a bucket in different components, compared block by block.
+
+    Buckets are dealt into blocks of about BLOCK texts; a task compares two blocks and returns links
+    only. A pair that shares several bands is compared in the first.
+    """
+    bucket = ["band", "key"]
+    shared = state.sparkSession.sparkContext.broadcast(idf)
+    blocks = state.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = state.join(blocks, bucket).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.select(*bucket, "node", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                       "node", "component", "block")
+    rows = rows.join(nodes.select("node", "bands"), "node").join(texts, "node")
+    cells = [*bucket, "i", "j"]
+    rows = rows.select(*cells, "node", "component", "block", "bands", "text").repartition(*cells).sortWithinPartitions(*cells)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 4):
+            group = group.combine_chunks()
+            n = group.num_rows
+            if n < 2:
+                continue
+            band, low, high = (group.column(c)[0].as_py() for c in (0, 2, 3))
+            node, component, block = (group.column(c).to_numpy() for c in (4, 5, 6))
+            keys = group.column(7).chunk(0).flatten().to_numpy().reshape(n, -1)
+            sets = weighted_sets(group.column(8).chunk(0), shared.value)
+            value, weight = (np.concatenate(x) for x in zip(*sets))
+            first = np.cumsum([0, *[len(x[0]) for x in sets]])
+            total = np.array([x[1].sum() for x in sets])
+            found: list[list] = [[], [], []]
+            for i in range(n):
+                fit = (component != component[i]) & (node < node[i])
+                if low != high:
+                    fit = (component != component[i]) & (block == high) & (block[i] == low)
+                fit &= (keys == keys[i]).argmax(1) == band
+                if not fit.any():
+                    continue
+                own, size = sets[i]
+                at = np.minimum(np.searchsorted(own, value), len(own) - 1)
+                common = np.where(own[at] == value, np.minimum(size[at], weight), 0.0)
+                meet = np.add.reduceat(common, first[:-1])
+                score = meet / (total + total[i] - meet)
+                for j in np.flatnonzero(fit & (score >= threshold)):
+                    for column, x in zip(found, (max(node[i], node[j]), min(node[i], node[j]), score[j])):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    return rows.mapInArrow(compare, "a long, b long, similarity double")
 
 
 def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -252,7 +307,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     texts = (docs.select(F.col("doc_id").cast("long").alias("first_id"), text_key().alias("key"), "text")
              .join(involved, ["first_id", "key"]).dropDuplicates(["node"]).select("node", "text"))
     texts = written(texts, "texts")
-    links = link_texts(members, texts, idf, threshold)
+    links = link_texts(members, nodes, texts, idf, threshold)
     found = components(links.select("a", "b"))
     placed = nodes.select("key", "first_id", "node").join(found, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
