@@ -170,13 +170,22 @@ def similar_lines(one: Paragraphs, two: Paragraphs) -> list[int]:
             at.setdefault(key, []).append(j)
         for i, key in enumerate(left[:, band].tolist()):
             found.setdefault(i, set()).update(at.get(key, ()))
-    sets = [(lambda value, line: [np.unique(value[line == k]) for k in range(len(p.line_start))])(*p.line_shingles())
-            for p in (one, two)]
+    found = {i: others for i, others in found.items() if others}
+    if not found:
+        return []
+    shingled = [p.line_shingles() for p in (one, two)]
+
+    def line_set(side: int, k: int) -> np.ndarray:
+        value, line = shingled[side]
+        return np.unique(value[slice(*np.searchsorted(line, [k, k + 1]))])
+
     out = []
     for i, others in found.items():
+        own = line_set(0, i)
         for j in others:
-            common = len(np.intersect1d(sets[0][i], sets[1][j], assume_unique=True))
-            if common >= THRESHOLD * (len(sets[0][i]) + len(sets[1][j]) - common):
+            other = line_set(1, j)
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if common >= THRESHOLD * (len(own) + len(other) - common):
                 out.append(i)
                 break
     return out
@@ -192,7 +201,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last: tuple = (None, None)
         for batch in batches:
             a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            rows = [[], [], [], [], []]
+            rows, rests, sizes = [[], [], [], []], [], []
             for i in range(batch.num_rows):
                 one = Paragraphs(*next(byte_slices(batch.column(2)[i:i + 1]))[2:])
                 if last[0] != b[i]:
@@ -204,17 +213,19 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 starts = np.append(at, one.line_start[lines]).astype(np.int64)
                 ends = np.append(at + PASSAGE, one.line_start[lines] + one.line_size[lines]).astype(np.int64)
                 for s, e in merged(starts, ends):
-                    for column, x in zip(rows, (a[i], b[i], s, e, None)):
+                    for column, x in zip(rows, (a[i], b[i], s, e)):
                         column.append(x)
-                rest = np.unique(one.window[~shared & np.isin(one.piece, two.piece)]).view(np.int64)
-                rows[0] += [a[i]] * len(rest)
-                rows[1] += [b[i]] * len(rest)
-                rows[2] += [None] * len(rest)
-                rows[3] += [None] * len(rest)
-                rows[4] += rest.tolist()
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)],
-                                             ["a", "b", "start", "stop", "window"])
+                rests.append(np.unique(one.window[~shared & np.isin(one.piece, two.piece)]).view(np.int64))
+                sizes.append(len(rests[-1]))
+            names, kinds = ["a", "b", "start", "stop", "window"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            spans_ = [pa.array(x, t) for x, t in zip(rows, kinds)]
+            yield pa.RecordBatch.from_arrays([*spans_, pa.nulls(len(rows[0]), pa.int64())], names)
+            n = sum(sizes)
+            if n:
+                none = pa.nulls(n, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(a, sizes)), pa.array(np.repeat(b, sizes)), none, none,
+                     pa.array(np.concatenate(rests))], names)
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
