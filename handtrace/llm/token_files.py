@@ -38,6 +38,7 @@ MAGIC = b"HTS8B\x00\x01\n"
 BLOCK = 1024
 FILE_BYTES = 16 << 20
 ESCAPE = 15
+READERS = 4096
 # Fixed values of the format: ids in a word and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -50,13 +51,16 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     limit = np.minimum((np.arange(n) // block + 1) * block, n)
+    here = np.arange(n)
     choice = np.full(n, ESCAPE, np.int8)
     take = np.ones(n, np.int64)
     for selector in reversed(range(ESCAPE)):  # the densest that fits comes last and wins
         wide = ids >> np.uint64(WIDTHS[selector]) != 0 if WIDTHS[selector] else ids != 0
-        places = np.flatnonzero(wide)
-        blocked = np.append(places, n)[np.searchsorted(places, np.arange(n))] if len(places) < n else np.arange(n)
-        fits = np.minimum(blocked, limit) - np.arange(n) >= COUNTS[selector]
+        places = np.append(np.flatnonzero(wide), n)  # a run of ids that fit ends at the next wide one
+        gaps = np.diff(places, prepend=-1)
+        if gaps.max() <= COUNTS[selector] and n > COUNTS[selector]:
+            continue
+        fits = np.minimum(np.repeat(places, gaps)[:n], limit) - here >= COUNTS[selector]
         choice[fits] = selector
         take[fits] = COUNTS[selector]
     starts, at = [], np.arange(0, n, block)
@@ -312,7 +316,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
     order = Window.orderBy("part", "number")  # a row for each file
     files = manifest.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids"))
-    files = files.repartition(F.col("path")).select("path", "base")
+    files = files.repartition(max(1, min(manifest.count(), READERS))).select("path", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
