@@ -206,7 +206,7 @@ def fit(docs: DataFrame) -> Model:
                 leader.learn(*sample[i])
     weights = leader.weights(slice(None))
     rest = [sample[i] for i in sorted(aside)]
-    logits = np.array([value @ weights[columns] for columns, value, _ in rest]).reshape(len(rest), -1)
+    logits = np.array([value @ weights[columns] for columns, value, _ in rest]).reshape(len(rest), weights.shape[1])
     return Model(languages, idf, weights, temperature(logits, np.array([x[2] for x in rest], int)))
 
 
