@@ -27,15 +27,15 @@ def wrap_degrees(delta: Column) -> Column:
 
 
 def hashed(*parts: Column | str | int) -> Column:
-    """Deterministic 32-bit draw from md5 of ``a|b|...``; the same on any engine."""
+    """Deterministic 60-bit draw from md5 of ``a|b|...``; the same on any engine."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def uniform(*parts: Column | str | int) -> Column:
     """Deterministic draw in [0, 1)."""
-    return hashed(*parts) / F.lit(4294967296.0)
+    return hashed(*parts) / F.lit(float(2**60))
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,13 +22,19 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4_096
 _COARSE = 64
 
 
 def slices_for(rows: int) -> int:
     """Slices needed so that a group of ``rows`` rows fits tasks of ``ROWS_PER_SLICE``."""
-    return max(1, min(MAX_SLICES, math.ceil(rows / ROWS_PER_SLICE)))
+    return max(1, math.ceil(rows / ROWS_PER_SLICE))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL keys meet, as they do in a window or grouping."""
+    renamed = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = reduce(and_, [left[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def measure_slices(df: DataFrame, keys: Sequence[str]) -> int:
@@ -58,7 +66,7 @@ def with_slices(
     size = F.count(F.lit(1))
     cuts = df.groupBy(*keys).agg(
         size.alias("_n"),
-        F.percentile_approx(F.col(value), F.array(*map(F.lit, points)), 10_000).alias("_cuts"),
+        F.percentile_approx(F.col(value), F.array(*map(F.lit, points)), max(10_000, 8 * slices)).alias("_cuts"),
     )
     floor_rows = cuts.agg(F.max("_n").alias("_max"))
     cuts = (
@@ -67,7 +75,7 @@ def with_slices(
         .select(*keys, F.array_sort(F.array_distinct("_cuts")).alias("_cuts"))
     )
     if keys:
-        tagged = df.join(cuts, list(keys), "left")
+        tagged = join_keys(df, cuts, keys, "left")
     else:
         tagged = df.join(F.broadcast(cuts), F.lit(True), "left")  # one row
     number = F.coalesce(_slice_of(F.col("_cuts"), F.col(value), slices), F.lit(0))
@@ -160,7 +168,7 @@ class Ordered:
         carry = cut.groupBy(*runs).agg(*ends).select(*runs, *carried)
 
         local = self._local(cut, runs, lag, last, running, "_walk_at", highest)
-        joined = local.join(carry, runs, "left")
+        joined = join_keys(local, carry, runs, "left")
         fixed = {
             out: F.when(F.col("_walk_at") == 0, F.col("_carry_tail")[f"_v_{out}"]).otherwise(F.col(out))
             for out in lag
@@ -192,7 +200,9 @@ def group_extent(
         w = Window.partitionBy(*keys)
         return df.withColumns({out: agg.over(w) for out, agg in extents.items()})
     stats = df.groupBy(*keys).agg(*[agg.alias(out) for out, agg in extents.items()])
-    return df.join(stats, list(keys), "left")
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))  # one row
+    return join_keys(df, stats, keys, "left")
 
 
 def group_percentile(
@@ -201,7 +211,7 @@ def group_percentile(
     """Attach an exact group percentile to every row."""
     if slices <= 1:
         return df.withColumn(out, F.percentile(value, F.lit(p)).over(Window.partitionBy(*keys)))
-    return df.join(exact_percentiles(df, keys, {out: (value, p)}, slices), list(keys), "left")
+    return join_keys(df, exact_percentiles(df, keys, {out: (value, p)}, slices), keys, "left")
 
 
 def exact_percentiles(
@@ -264,7 +274,7 @@ def aggregate(
             lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
             cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(out))
         picked = picked.select(*keys, *cols)
-        base = base.join(picked, list(keys), "left") if keys else base.crossJoin(F.broadcast(picked))
+        base = join_keys(base, picked, keys, "left") if keys else base.crossJoin(F.broadcast(picked))
     return base.drop("_walk_rows") if not aggs else base
 
 
@@ -276,4 +286,4 @@ def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, slices: int)
     )
     run = Ordered(tuple(keys), (value,), slices).apply(counts, running={"_cum": F.col("_count")})
     totals = counts.groupBy(*keys).agg(F.sum("_count").alias("_total"))
-    return run.join(totals, list(keys)) if keys else run.crossJoin(F.broadcast(totals))
+    return join_keys(run, totals, keys) if keys else run.crossJoin(F.broadcast(totals))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hashed, ratio
-from ..functions.ordered import Ordered, aggregate
+from ..functions.ordered import aggregate, join_keys, Ordered
 from .stats import mid_ranks
 
 
@@ -26,7 +26,7 @@ def threshold_counts(scored: DataFrame, keys: Sequence[str], slices: int = 1) ->
     run = Ordered(tuple(keys), ("score",), slices, reverse=True).apply(
         counts, running={"tp": F.col("_p"), "fp": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
-    joined = run.join(totals, list(keys)) if keys else run.crossJoin(F.broadcast(totals))
+    joined = join_keys(run, totals, keys) if keys else run.crossJoin(F.broadcast(totals))
     return joined
 
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hashed
-from ..functions.ordered import Ordered, group_extent
+from ..functions.ordered import Ordered, group_extent, join_keys
+from ..session import cut_lineage
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], ident: str, seed: Column | int, slices: int) -> DataFrame:
@@ -84,12 +85,15 @@ def last_share(sessions: DataFrame, by: str, share: float = 0.2, slices: int = 1
 
 
 def _positions_by_text(sessions: DataFrame, by: str, slices: int) -> DataFrame:
-    """Positions in text order of an oversized group: slice by the leading characters."""
-    code = sum(
-        F.coalesce(F.ascii(F.substring("session_id", i + 1, 1)), F.lit(0)).cast("double") * 256.0 ** (5 - i)
-        for i in range(6))
-    keyed = sessions.withColumn("_code", code)
-    return Ordered((by,), ("_code", "session_id"), slices).apply(keyed, position="_at").drop("_code")
+    """Positions in the order of whole ids of an oversized group: runs are ranges of (group, id)."""
+    ranged = sessions.repartitionByRange(2 * slices, by, "session_id").withColumn("_slice", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    sizes = ranged.groupBy(by, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    local = ranged.withColumn("_row", F.row_number().over(Window.partitionBy(by, "_slice").orderBy("session_id")))
+    joined = join_keys(local, sizes, [by, "_slice"], "left")
+    return joined.withColumn("_at", (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_slice", "_row", "_before")
 
 
 def temporal_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = 0.7,

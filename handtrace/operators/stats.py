@@ -6,16 +6,17 @@ values, through ``Ordered``, so no task has to hold a whole column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PSI_FLOOR, PSI_MODERATE, PSI_SIGNIFICANT
 from ..functions.exprs import ratio
-from ..functions.ordered import Ordered, aggregate, exact_percentiles
+from ..functions.ordered import Ordered, aggregate, exact_percentiles, join_keys
 
 KS_ALPHA = 0.05
 RANK_TEST_MIN = 20
@@ -127,12 +128,21 @@ def mid_ranks(long: DataFrame, keys: Sequence[str], sides: dict[str, Column], sl
     return run.withColumn("_rank", F.col("_upto") - (F.col("_m") - 1) / 2.0)
 
 
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0: a series below 2, a continued fraction from there on."""
+    square = 2.0 * x * x
+    series, fraction = F.lit(1.0), x
+    for k in range(40, 0, -1):
+        series = 1.0 + square / (2 * k + 1) * series
+    for k in range(60, 0, -1):
+        fraction = x + (k / 2) / fraction
+    scale = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 2.0, 1.0 - 2.0 * x * scale * series).otherwise(scale / fraction)
+
+
 def normal_tail(z: Column) -> Column:
-    """Two-sided standard normal tail (rational approximation, error below 1.5e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    k = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))
-    return poly * F.exp(-x * x)
+    """Two-sided standard normal tail, to nearly full relative precision far out as well."""
+    return erfc(F.abs(z) / math.sqrt(2.0))
 
 
 def mann_whitney(long: DataFrame, is_second: Column, keys: Sequence[str] = ("feature",),
@@ -147,8 +157,9 @@ def mann_whitney(long: DataFrame, is_second: Column, keys: Sequence[str] = ("fea
     u = F.col("_ra") - a * (a + 1) / 2
     sd = F.sqrt(a * b / 12.0 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
     z = ratio(F.greatest(F.abs(u - a * b / 2) - 0.5, F.lit(0.0)), sd)
-    return s.filter((F.col("n_a") >= min_rows) & (F.col("n_b") >= min_rows)).select(
-        *keys, "n_a", "n_b", u.alias("u"), (ratio(2 * u, a * b) - 1).alias("effect"), normal_tail(z).alias("p_value"))
+    tested = s.filter((F.col("n_a") >= min_rows) & (F.col("n_b") >= min_rows)).select(
+        *keys, "n_a", "n_b", u.alias("u"), (ratio(2 * u, a * b) - 1).alias("effect"), z.alias("_z"))
+    return tested.withColumn("p_value", normal_tail(F.col("_z"))).drop("_z")
 
 
 def kruskal(long: DataFrame, group: str, groups: Sequence[str], keys: Sequence[str] = ("feature",),
@@ -168,19 +179,27 @@ def kruskal(long: DataFrame, group: str, groups: Sequence[str], keys: Sequence[s
         *keys, F.col("_n").alias("n"), ratio(h, 1 - F.col("_ties") / (n * n * n - n)).alias("h"), (present - 1).alias("df"))
 
 
-def chi2_tail(values: pd.Series, df: pd.Series) -> pd.Series:
-    """Upper tail of the chi-squared distribution (Wilson-Hilferty normal form)."""
-    from math import erfc, sqrt
-    k = df.to_numpy(dtype=float)
-    x = values.to_numpy(dtype=float)
-    z = (np.cbrt(x / k) - (1 - 2 / (9 * k))) / np.sqrt(2 / (9 * k))
-    return pd.Series([0.5 * erfc(v / sqrt(2)) for v in z])
+def chi2_tail(x: Column, df: Column, most: int, root_erfc: Column | None = None) -> Column:
+    """Upper tail of the chi-squared distribution for 1 to ``most`` degrees of freedom: finite sums.
+
+    ``root_erfc``: erfc(sqrt(x / 2)), if it is at hand.
+    """
+    half = x / 2.0
+    root_erfc = erfc(F.sqrt(half)) if root_erfc is None else root_erfc
+    out = F.lit(None).cast("double")
+    for k in range(1, most + 1):
+        odd = k % 2
+        terms = [F.pow(half, F.lit(i + odd / 2)) / math.gamma(i + 1 + odd / 2) for i in range((k - odd) // 2)]
+        tail = F.exp(-half) * reduce(add, terms, F.lit(0.0))
+        out = F.when(df == k, tail + root_erfc if odd else tail).otherwise(out)
+    return out
 
 
-def with_chi2_p(h: DataFrame) -> DataFrame:
-    """Add ``p_value`` to a Kruskal table (one row per feature)."""
-    tail = F.pandas_udf(chi2_tail, "double")
-    return h.withColumn("p_value", tail(F.col("h"), F.col("df").cast("double")))
+def with_chi2_p(h: DataFrame, most: int = 8) -> DataFrame:
+    """Add ``p_value`` to a Kruskal table with up to ``most`` degrees of freedom (NULL beyond)."""
+    ready = h.withColumn("_x", F.greatest(F.col("h"), F.lit(0.0)))
+    ready = ready.withColumn("_root", F.sqrt(F.col("_x") / 2.0)).withColumn("_erfc", erfc(F.col("_root")))
+    return ready.withColumn("p_value", chi2_tail(F.col("_x"), F.col("df"), most, F.col("_erfc"))).drop("_x", "_root", "_erfc")
 
 
 def robust_effect(long: DataFrame, label: str, base: str, slices: int = 1) -> DataFrame:
@@ -232,14 +251,14 @@ def ecdf(long: DataFrame, keys: Sequence[str] = ("feature",), slices: int = 1) -
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
     run = Ordered(tuple(keys), ("value",), slices).apply(counts, running={"_upto": F.col("_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    return run.join(totals, list(keys)).select(*keys, "value", (F.col("_upto") / F.col("_total")).alias("ecdf"))
+    return join_keys(run, totals, keys).select(*keys, "value", (F.col("_upto") / F.col("_total")).alias("ecdf"))
 
 
 def common_histogram(long: DataFrame, side: str, bins: int = 20, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Counts of several sides over shared equal-width bins."""
     span = long.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     at = F.floor(ratio((F.col("value") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
-    return long.join(span, list(keys)).groupBy(
+    return join_keys(long, span, keys).groupBy(
         *keys, side, F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0))).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
 

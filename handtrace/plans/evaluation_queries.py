@@ -16,7 +16,7 @@ from .registry import query, r
 from .views import events_sql, sessions_sql, with_sql
 from .window_queries import feature_table
 
-DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+DRAW = "(('0x' || substr(md5({}), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 CUT = "1999-01-01"
 LINE_COLS = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
 
@@ -105,13 +105,24 @@ _MWU = """
 mr AS (SELECT feature, a, c, a + c AS m, sum(a + c) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) - (a + c - 1) / 2.0::DOUBLE AS rk FROM vc),
 ms AS (SELECT feature, sum(a)::BIGINT AS n_a, sum(c)::BIGINT AS n_b, sum(a * rk) AS ra, sum(m::DOUBLE * m * m - m) AS ties FROM mr GROUP BY 1),
 mu AS (SELECT *, ra - n_a::DOUBLE * (n_a + 1) / 2 AS u, (n_a + n_b)::DOUBLE AS n FROM ms),
-mz AS (SELECT *, greatest(abs(u - n_a::DOUBLE * n_b / 2) - 0.5, 0) / sqrt(n_a::DOUBLE * n_b / 12 * ((n + 1) - ties / (n * (n - 1)))) / sqrt(2.0::DOUBLE) AS x FROM mu),
-mk AS (SELECT *, 1.0::DOUBLE / (1.0 + 0.3275911::DOUBLE * x) AS k FROM mz)"""
+mz AS (SELECT *, greatest(abs(u - n_a::DOUBLE * n_b / 2) - 0.5, 0) / sqrt(n_a::DOUBLE * n_b / 12 * ((n + 1) - ties / (n * (n - 1)))) / sqrt(2.0::DOUBLE) AS x FROM mu)"""
+
+
+def _erfc(x: str) -> str:
+    """The complementary error function in SQL: partial sums below 2, convergents from there on."""
+    series, fraction = "1.0::DOUBLE", x
+    for k in range(40, 0, -1):
+        series = f"(1 + 2 * {x} * {x} / {2 * k + 1}::DOUBLE * {series})"
+    for k in range(60, 0, -1):
+        fraction = f"({x} + {k / 2}::DOUBLE / {fraction})"
+    scale = f"(exp(-{x} * {x}) / sqrt(pi()))"
+    return f"CASE WHEN {x} < 2 THEN 1 - 2 * {x} * {scale} * {series} ELSE {scale} / {fraction} END"
+
 
 
 @query("mann_whitney", f"""WITH {_LONG}, {_RANKS}, {_MWU}
   SELECT feature, n_a, n_b, {r('u', 'u', 1)}, {r('2 * u / (n_a::DOUBLE * n_b) - 1', 'effect')},
-    {r('k * (0.254829592::DOUBLE + k * (-0.284496736::DOUBLE + k * (1.421413741::DOUBLE + k * (-1.453152027::DOUBLE + k * 1.061405429::DOUBLE)))) * exp(-x * x)', 'p_value')} FROM mk""")
+    {r(_erfc('x'), 'p_value')} FROM mz""")
 def mann_whitney(spark, sf):
     long, n = line_values(spark, sf)
     two = long.filter(F.col("l_returnflag").isin("A", "R"))
@@ -119,16 +130,20 @@ def mann_whitney(spark, sf):
     return rounded(t.withColumn("u", F.round("u", 1)))
 
 
-@query("kruskal_wallis", f"""WITH {_LONG}, {_RANKS},
+_KRUSKAL = f"""WITH {_LONG}, {_RANKS},
   kr AS (SELECT feature, a, b, c, a + b + c AS m, sum(a + b + c) OVER (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING) - (a + b + c - 1) / 2.0::DOUBLE AS rk FROM vc),
-  kz AS (SELECT feature, sum(m)::DOUBLE AS n, sum(m::DOUBLE * m * m - m) AS ties, pow(sum(a * rk), 2) / sum(a) + pow(sum(b * rk), 2) / sum(b) + pow(sum(c * rk), 2) / sum(c) AS parts FROM kr GROUP BY 1)
-  SELECT feature, n::BIGINT AS n, {r('(12 / (n * (n + 1)) * parts - 3 * (n + 1)) / (1 - ties / (n * n * n - n))', 'h', 5)}, 2 AS df FROM kz""")
+  kz AS (SELECT feature, sum(m)::DOUBLE AS n, sum(m::DOUBLE * m * m - m) AS ties, pow(sum(a * rk), 2) / sum(a) + pow(sum(b * rk), 2) / sum(b) + pow(sum(c * rk), 2) / sum(c) AS parts FROM kr GROUP BY 1),
+  kh AS (SELECT feature, n::BIGINT AS n, (12 / (n * (n + 1)) * parts - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM kz)"""
+
+
+@query("kruskal_wallis", f"{_KRUSKAL} SELECT feature, n, {r('h', 'h', 5)}, 2 AS df FROM kh")
 def kruskal_wallis(spark, sf):
     long, n = line_values(spark, sf)
     return rounded(st.kruskal(long, "l_returnflag", ["A", "N", "R"], slices=n), 5)
 
 
-@query("kruskal_wallis_p")
+@query("kruskal_wallis_p", f"""{_KRUSKAL}
+  SELECT feature, n, {r('h', 'h', 5)}, 2 AS df, {r('exp(-greatest(h, 0) / 2)', 'p_value', 5)} FROM kh""")
 def kruskal_wallis_p(spark, sf):
     long, n = line_values(spark, sf)
     return rounded(st.with_chi2_p(st.kruskal(long, "l_returnflag", ["A", "N", "R"], slices=n)), 5)
@@ -343,7 +358,7 @@ def benchmark_pivot(spark, sf):
 
 
 _HOLD = """
-rp AS (SELECT r.repeat::INT AS repeat, g.group_id, row_number() OVER (PARTITION BY r.repeat ORDER BY ('0x' || substr(md5('0:' || r.repeat || '|' || g.group_id), 1, 8))::BIGINT, g.group_id) - 1 AS rnk,
+rp AS (SELECT r.repeat::INT AS repeat, g.group_id, row_number() OVER (PARTITION BY r.repeat ORDER BY ('0x' || substr(md5('0:' || r.repeat || '|' || g.group_id), 1, 15))::BIGINT, g.group_id) - 1 AS rnk,
          count(*) OVER (PARTITION BY r.repeat) AS n
        FROM (SELECT DISTINCT group_id FROM sc) g, (SELECT unnest(range(10)) AS repeat) r),
 hs AS (SELECT repeat, group_id, rnk < greatest(1, round_even(n * 0.4, 0)) AS held_out FROM rp)"""
@@ -366,7 +381,7 @@ def heldout_benchmark(spark, sf):
 
 _BOOT = """
 nb AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rnk, doc_id, quality, toxic, score, count(*) OVER () AS n FROM sc WHERE detector = 'hash'),
-pk AS (SELECT d.draw, ('0x' || substr(md5(d.draw || '|' || p.rnk), 1, 8))::BIGINT % p.n AS rnk FROM nb p, (SELECT unnest(range(50)) AS draw) d),
+pk AS (SELECT d.draw, ('0x' || substr(md5(d.draw || '|' || p.rnk), 1, 15))::BIGINT % p.n AS rnk FROM nb p, (SELECT unnest(range(50)) AS draw) d),
 dr AS (SELECT draw, quality, toxic, score FROM pk JOIN nb USING (rnk))"""
 
 
@@ -615,7 +630,7 @@ def combined_against_single(spark, sf):
 
 # ---------------------------------------------------------------- splits
 def sql_rank(seed: str, ident: str) -> str:
-    return f"('0x' || substr(md5({seed} || '|' || {ident}), 1, 8))::BIGINT, {ident}"
+    return f"('0x' || substr(md5({seed} || '|' || {ident}), 1, 15))::BIGINT, {ident}"
 
 
 _SPLIT = f"""

@@ -252,13 +252,13 @@ def chunk_augmentation(spark, sf):
 
 @query("session_sample", sessions_sql("""
   SELECT session_id FROM sess
-  ORDER BY ('0x' || substr(md5('42|' || session_id), 1, 8))::BIGINT, session_id LIMIT 24"""))
+  ORDER BY ('0x' || substr(md5('42|' || session_id), 1, 15))::BIGINT, session_id LIMIT 24"""))
 def session_sample(spark, sf):
     return sq.sample_sessions(telemetry(spark, sf).sessions, 24).select("session_id")
 
 
 @query("normaliser_fit_sampled", with_sql("sessions", _CHANNELS.strip() + """,
-  few AS (SELECT session_id FROM sess ORDER BY ('0x' || substr(md5('42|' || session_id), 1, 8))::BIGINT, session_id LIMIT 24)""",
+  few AS (SELECT session_id FROM sess ORDER BY ('0x' || substr(md5('42|' || session_id), 1, 15))::BIGINT, session_id LIMIT 24)""",
   " UNION ALL ".join(
       f"SELECT '{c}' AS channel, {r(f'avg({c})', 'mean')}, {r(f'CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END', 'std')} FROM ch WHERE session_id IN (SELECT session_id FROM few)"
       for c in sq.CHANNEL_NAMES)))
