@@ -78,3 +78,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def list_values(table, name: str) -> list:
+    """The lists of an Arrow column as numpy views, without a Python object for each number."""
+    column = table.column(name).combine_chunks()
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, list_values
 from .textvec import byte_slices, mix
 
 BITS = 16
@@ -187,15 +187,16 @@ def fit(docs: DataFrame) -> Model:
     """Learn from the texts and non-null languages of ``docs``."""
     bounded_batches(docs.sparkSession)
     idf = inverse_frequencies(docs.where("text is not null and lang is not null"))
-    found = vectors(training_sample(docs)).toArrow().to_pylist()
-    found.sort(key=lambda x: (x["order"], x["lang"], len(x["columns"])))
-    languages = sorted({x["lang"] for x in found})
+    table = vectors(training_sample(docs)).toArrow()
+    names, order = table.column("lang").to_pylist(), table.column("order").to_pylist()
+    found = list(zip(order, names, list_values(table, "columns"), list_values(table, "counts")))
+    found.sort(key=lambda x: (x[0], x[1], len(x[2])))
+    languages = sorted(set(names))
     bias = 1 << BITS
     sample = []
-    for x in found:
-        columns = np.array(x["columns"], np.int64)
-        value = normalised(columns, np.array(x["counts"], np.float64), idf)
-        sample.append((np.append(columns, bias), np.append(value, np.float32(1)), languages.index(x["lang"])))
+    for _, name, columns, counts in found:
+        value = normalised(columns, counts, idf)
+        sample.append((np.append(columns, np.int32(bias)), np.append(value, np.float32(1)), languages.index(name)))
     rng = np.random.default_rng(SEED)
     shuffled = rng.permutation(len(sample))
     aside = {int(i) for i in shuffled[:len(sample) // 5]}

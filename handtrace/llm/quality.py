@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, list_values
 from .textvec import byte_slices, mix, span_hashes, spans
 
 BITS = 18
@@ -121,8 +121,8 @@ def train(sample: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     bounded_batches(docs.sparkSession)
-    found = training_sample(docs, labels).toArrow().to_pylist()
-    sample = [(x["label"], np.array(x["rows"], np.int64), np.array(x["shares"], np.float32)) for x in found]
+    found = training_sample(docs, labels).toArrow()
+    sample = list(zip(found.column("label").to_pylist(), list_values(found, "rows"), list_values(found, "shares")))
     sample.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     return train([x for x in sample if len(x[1])])
 
