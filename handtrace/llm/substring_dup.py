@@ -20,6 +20,8 @@ and text) are one document and are treated alike; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,7 @@ class Paragraphs:
     def piece_keys(self) -> tuple[np.ndarray, np.ndarray]:
         return self.words.doc[:len(self.window)][self.inside], self.piece[self.inside]
 
+    @cached_property
     def line_shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """(shingles, line number) of the long lines."""
         rows = np.repeat(np.arange(len(self.line_start)), self.line_size)
@@ -104,12 +107,13 @@ class Paragraphs:
         index = at + np.arange(len(rows))
         return shingles(self.words.hash[index], rows, self.line_size, SHINGLE)
 
+    @cached_property
     def line_keys(self) -> np.ndarray:
         """Band keys, a row for each long line."""
         out = np.zeros((len(self.line_start), LINE_BANDS), np.uint64)
         if not len(out):
             return out
-        value, line = self.line_shingles()
+        value, line = self.line_shingles
         first = np.searchsorted(line, np.arange(len(out)))
         for band in range(LINE_BANDS):
             key = np.full(len(out), band + 2, np.uint64)
@@ -119,6 +123,48 @@ class Paragraphs:
             out[:, band] = key
         return out
 
+    def document(self, i: int) -> Document:
+        first, end = self.words.first[i:i + 2]
+        frame = max(first, end - PASSAGE + 1)
+        low, high = np.searchsorted(self.line_start, [first, end])
+        return Document(self.window[first:frame], self.piece[first:frame], self.line_start[low:high] - first,
+                        self.line_size[low:high], self, low)
+
+
+@dataclass
+class Document:
+    """Windows, pieces and long lines of one document of a slice; words count from its first."""
+
+    window: np.ndarray
+    piece: np.ndarray
+    line_start: np.ndarray
+    line_size: np.ndarray
+    part: Paragraphs
+    first_line: int
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        return np.unique(self.window)
+
+    @cached_property
+    def pieces(self) -> np.ndarray:
+        return np.unique(self.piece)
+
+    @cached_property
+    def line_keys(self) -> np.ndarray:
+        return self.part.line_keys[self.first_line:self.first_line + len(self.line_start)]
+
+    @cached_property
+    def line_bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys of the lines in order, and their lines."""
+        keys = self.line_keys.ravel()
+        order = np.argsort(keys)
+        return keys[order], order // LINE_BANDS
+
+    def line_set(self, k: int) -> np.ndarray:
+        value, line = self.part.line_shingles
+        return np.unique(value[slice(*np.searchsorted(line, [self.first_line + k, self.first_line + k + 1]))])
+
 
 def paragraph_keys(docs: DataFrame) -> DataFrame:
     """(node, doc_id, key, bands): the distinct band keys of each document's paragraphs."""
@@ -128,7 +174,7 @@ def paragraph_keys(docs: DataFrame) -> DataFrame:
             for start, end, data, offsets in byte_slices(batch.column(3)):
                 p = Paragraphs(data, offsets)
                 doc, value = p.piece_keys()
-                lines = p.line_keys()
+                lines = p.line_keys
                 doc = np.concatenate([doc, np.repeat(p.words.doc[p.line_start], LINE_BANDS)])
                 value = np.concatenate([value, lines.ravel()])
                 order = np.lexsort((value, doc))
@@ -149,44 +195,43 @@ def paragraph_keys(docs: DataFrame) -> DataFrame:
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Union of word intervals."""
-    out: list[list[int]] = []
-    for s, e in sorted(zip(starts.tolist(), ends.tolist())):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [tuple(x) for x in out]
-
-
-def similar_lines(one: Paragraphs, two: Paragraphs) -> list[int]:
-    """Long lines of ``one`` that share a band with a line of ``two`` and are similar to it."""
-    left, right = one.line_keys(), two.line_keys()
-    if not len(left) or not len(right):
+    if not len(starts):
         return []
-    found = {}
-    for band in range(LINE_BANDS):
-        at = {}
-        for j, key in enumerate(right[:, band].tolist()):
-            at.setdefault(key, []).append(j)
-        for i, key in enumerate(left[:, band].tolist()):
-            found.setdefault(i, set()).update(at.get(key, ()))
-    found = {i: others for i, others in found.items() if others}
-    if not found:
-        return []
-    shingled = [p.line_shingles() for p in (one, two)]
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > reach[:-1])
+    return list(zip(starts[new].tolist(), reach[np.append(new[1:], True)].tolist()))
+
 
-    def line_set(side: int, k: int) -> np.ndarray:
-        value, line = shingled[side]
-        return np.unique(value[slice(*np.searchsorted(line, [k, k + 1]))])
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
+
+def similar_lines(one: Document, two: Document, shared: np.ndarray) -> list[int]:
+    """Long lines of ``one`` that share a band with a line of ``two`` and are similar to it.
+
+    Lines all of whose windows are ``shared`` are left out: their words go in any case.
+    """
+    if not len(one.line_start) or not len(two.line_start):
+        return []
+    total = np.append(0, np.cumsum(shared))
+    partly = total[one.line_start + one.line_size - PASSAGE + 1] - total[one.line_start] < one.line_size - PASSAGE + 1
+    rows = np.flatnonzero(partly)
+    keys, lines = two.line_bands
+    own = one.line_keys[rows]
+    low, high = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
     out = []
-    for i, others in found.items():
-        own = line_set(0, i)
+    for at in np.flatnonzero((high > low).any(1)).tolist():
+        left = one.line_set(rows[at])
+        others = {j for a, b in zip(low[at].tolist(), high[at].tolist()) for j in lines[a:b].tolist()}
         for j in others:
-            other = line_set(1, j)
-            common = len(np.intersect1d(own, other, assume_unique=True))
-            if common >= THRESHOLD * (len(own) + len(other) - common):
-                out.append(i)
+            right = two.line_set(j)
+            common = len(np.intersect1d(left, right, assume_unique=True))
+            if common >= THRESHOLD * (len(left) + len(right) - common):
+                out.append(int(rows[at]))
                 break
     return out
 
@@ -202,21 +247,25 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = (batch.column(i).to_numpy() for i in (0, 1))
             rows, rests, sizes = [[], [], [], []], [], []
-            for i in range(batch.num_rows):
-                one = Paragraphs(*next(byte_slices(batch.column(2)[i:i + 1]))[2:])
-                if last[0] != b[i]:
-                    last = (b[i], Paragraphs(*next(byte_slices(batch.column(3)[i:i + 1]))[2:]))
-                two = last[1]
-                shared = np.isin(one.window, two.window)
-                at = np.flatnonzero(shared)
-                lines = similar_lines(one, two)
-                starts = np.append(at, one.line_start[lines]).astype(np.int64)
-                ends = np.append(at + PASSAGE, one.line_start[lines] + one.line_size[lines]).astype(np.int64)
-                for s, e in merged(starts, ends):
-                    for column, x in zip(rows, (a[i], b[i], s, e)):
-                        column.append(x)
-                rests.append(np.unique(one.window[~shared & np.isin(one.piece, two.piece)]).view(np.int64))
-                sizes.append(len(rests[-1]))
+            for first, end, data, offsets in byte_slices(batch.column(2)):
+                part = Paragraphs(data, offsets)
+                for i in range(first, end):
+                    if last[0] != b[i]:
+                        text = Paragraphs(*next(byte_slices(batch.column(3)[i:i + 1]))[2:])
+                        last = (b[i], text.document(0))
+                    one, two = part.document(i - first), last[1]
+                    shared = among(one.window, two.windows)
+                    at = np.flatnonzero(shared)
+                    lines = similar_lines(one, two, shared)
+                    starts = np.append(at, one.line_start[lines]).astype(np.int64)
+                    ends = np.append(at + PASSAGE, one.line_start[lines] + one.line_size[lines]).astype(np.int64)
+                    for s, e in merged(starts, ends):
+                        for column, x in zip(rows, (a[i], b[i], s, e)):
+                            column.append(x)
+                    rest = np.flatnonzero(~shared)
+                    rest = rest[among(one.piece[rest], two.pieces)]
+                    rests.append(np.unique(one.window[rest]).view(np.int64))
+                    sizes.append(len(rests[-1]))
             names, kinds = ["a", "b", "start", "stop", "window"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             spans_ = [pa.array(x, t) for x, t in zip(rows, kinds)]
             yield pa.RecordBatch.from_arrays([*spans_, pa.nulls(len(rows[0]), pa.int64())], names)
