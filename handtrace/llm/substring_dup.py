@@ -289,11 +289,18 @@ def with_first(rows: DataFrame, key: str) -> DataFrame:
 
 
 def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, passages): (node, doc_id, key) and the verified (a, b, start, stop) to be removed."""
+    """(documents, passages): (node, doc_id, key) and the verified (a, b, start, stop) to be removed.
+
+    Rows with equal doc_id and text are one document, whose node is that of the first of them.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("text is not null")
-    units = written(paragraph_keys(docs), "paragraphs")
-    nodes = units.groupBy("doc_id", "key").agg(F.min("node").alias("node"))
+    rows = written(paragraph_keys(docs), "paragraphs")
+    again = rows.groupBy("doc_id", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = again.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    extra = rows.join(again, rows["doc_id"].eqNullSafe(again["_id"]) & (rows["key"] == again["_key"]))
+    extra = written(extra.where("node <> first").select("node"), "repeated")  # small, as a rule
+    units = rows.join(extra, "node", "left_anti")
     flat = units.select("node", F.explode("bands").alias("band"))
     pairs = written(with_first(flat, "band"), "pairs")
     involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -341,8 +348,6 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     placed = placed.join(least, "component").select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("class_id").alias("_class"),
         F.col("passages").alias("_passages"))
-    placed = placed.groupBy("_id", "_key").agg(  # repeated rows of one document
-        F.min("_class").alias("_class"), F.first("_passages", ignorenulls=True).alias("_passages"))
     known = docs.withColumn("_own", text_key())
     match = known["doc_id"].cast("long").eqNullSafe(placed["_id"]) & (known["_own"] == placed["_key"])
     kind = "array<struct<start:int,stop:int>>"

@@ -153,6 +153,15 @@ def test_passages_shared_only_among_later_documents(spark):
     assert [r["n_words_removed"] for r in got if r["doc_id"] == 1] == [0]
 
 
+def test_repeated_rows_keep_their_passages(spark):
+    """Rows with one id and text are one document, which is not a repetition of itself."""
+    own, shared, bare = (" ".join(words(80, s)) for s in (301, 302, 303))
+    rows = [(1, own), (1, own), (2, shared), (3, shared), (3, shared), (None, bare), (None, bare)]
+    got = substring_dup.remove_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    texts = sorted((r["doc_id"] or 0, r["text"], r["class_id"]) for r in got)
+    assert texts == [(0, bare, None), (0, bare, None), (1, own, 1), (1, own, 1), (2, shared, 2), (3, "", 2), (3, "", 2)]
+
+
 def brute_contamination(texts, items):
     found = {}
     low = {c: c + 32 for c in range(65, 91)}
