@@ -6,11 +6,16 @@ sit inside other lines, the ``PIECE``-word pieces that are least by hash among t
 Each paragraph gets a MinHash signature of its five-word shingles. Lines have ``LINE_BANDS`` bands of
 ``LINE_ROWS`` (recall 0.998 at a Jaccard similarity of 0.8), pieces one band, as they must be equal.
 
-Documents that share a band key are compared with the key's first document: exactly, by all their
-``PASSAGE``-word windows and by the Jaccard similarity of their lines. Windows of a shared piece that
-the first document does not have are grouped by their own hash, which finds the pairs among the
-others; no bucket is multiplied with itself. The passage stays in the first document and goes from
-the others; documents connected by removals form a class.
+Documents that share a piece's band are compared with its first document by all their
+``PASSAGE``-word windows. Windows of a shared piece that the first document does not have are grouped
+by their own hash, which finds the pairs among the others; no bucket is multiplied with itself.
+
+Lines with equal shingles form one class, which is compared with the classes of its buckets by
+Jaccard similarity: for ``PIVOT_ROUNDS`` rounds with the bucket's first class that is not yet known to
+repeat an earlier one, then in blocks of ``BLOCK`` classes, where a task gets two blocks and returns
+links only. A pair is left out only if its classes are connected and the later one is known to repeat
+an earlier one, as it can change nothing then. Passages and lines stay in the first document and go
+from the others; documents connected by removals form a class.
 
 Cases: null texts and texts of fewer than ``PASSAGE`` words share nothing and stay as they are;
 equal texts share everything, so that all copies but the first are emptied; repeated rows (same id
@@ -21,13 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ann import runs
 from .common import bounded_batches, components, text_key, written
 from .textvec import STEP, Words, byte_slices, mix, salt, shingles
 
@@ -36,6 +42,8 @@ PASSAGE = 50
 PIECE = 20
 PIECE_ROWS = 4
 LINE_BANDS, LINE_ROWS = 9, 3
+PIVOT_ROUNDS = 2
+BLOCK, BLOCK_WORDS = 256, 500_000
 THRESHOLD = 0.8
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,6 +115,15 @@ class Paragraphs:
         index = at + np.arange(len(rows))
         return shingles(self.words.hash[index], rows, self.line_size, SHINGLE)
 
+    @cached_property
+    def line_classes(self) -> np.ndarray:
+        """Identity of the shingles of each long line."""
+        if not len(self.line_start):
+            return np.zeros(0, np.uint64)
+        value, line = self.line_shingles
+        first = np.searchsorted(line, np.arange(len(self.line_start)))
+        return mix(np.add.reduceat(mix(value + salt(96)), first) + self.line_size.astype(np.uint64))
+
     @cached_property
     def line_keys(self) -> np.ndarray:
         """Band keys, a row for each long line."""
@@ -126,21 +143,15 @@ class Paragraphs:
     def document(self, i: int) -> Document:
         first, end = self.words.first[i:i + 2]
         frame = max(first, end - PASSAGE + 1)
-        low, high = np.searchsorted(self.line_start, [first, end])
-        return Document(self.window[first:frame], self.piece[first:frame], self.line_start[low:high] - first,
-                        self.line_size[low:high], self, low)
+        return Document(self.window[first:frame], self.piece[first:frame])
 
 
 @dataclass
 class Document:
-    """Windows, pieces and long lines of one document of a slice; words count from its first."""
+    """Windows and pieces of one document of a slice; words count from its first."""
 
     window: np.ndarray
     piece: np.ndarray
-    line_start: np.ndarray
-    line_size: np.ndarray
-    part: Paragraphs
-    first_line: int
 
     @cached_property
     def windows(self) -> np.ndarray:
@@ -150,47 +161,44 @@ class Document:
     def pieces(self) -> np.ndarray:
         return np.unique(self.piece)
 
-    @cached_property
-    def line_keys(self) -> np.ndarray:
-        return self.part.line_keys[self.first_line:self.first_line + len(self.line_start)]
 
-    @cached_property
-    def line_bands(self) -> tuple[np.ndarray, np.ndarray]:
-        """Band keys of the lines in order, and their lines."""
-        keys = self.line_keys.ravel()
-        order = np.argsort(keys)
-        return keys[order], order // LINE_BANDS
+LINES = "array<struct<start:int,size:int,class:long,keys:array<long>>>"
 
-    def line_set(self, k: int) -> np.ndarray:
-        value, line = self.part.line_shingles
-        return np.unique(value[slice(*np.searchsorted(line, [self.first_line + k, self.first_line + k + 1]))])
+
+def lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
 def paragraph_keys(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, key, bands): the distinct band keys of each document's paragraphs."""
+    """(node, doc_id, key, bands, lines): the distinct band keys of each document's pieces, its long lines."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, sizes = [], np.zeros(batch.num_rows, np.int64)
+            parts, sizes = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows, np.int64)
+            lines, counts = [[], [], [], []], np.zeros(batch.num_rows, np.int64)
             for start, end, data, offsets in byte_slices(batch.column(3)):
                 p = Paragraphs(data, offsets)
                 doc, value = p.piece_keys()
-                lines = p.line_keys
-                doc = np.concatenate([doc, np.repeat(p.words.doc[p.line_start], LINE_BANDS)])
-                value = np.concatenate([value, lines.ravel()])
                 order = np.lexsort((value, doc))
                 doc, value = doc[order], value[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
                 parts.append(value[new])
                 sizes[start:end] = np.bincount(doc[new], minlength=end - start)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
-                                             pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["node", "doc_id", "key", "bands"])
+                own = p.words.doc[p.line_start]
+                counts[start:end] = np.bincount(own, minlength=end - start)
+                for column, x in zip(lines, (p.line_start - p.words.first[own], p.line_size, p.line_classes, p.line_keys.ravel())):
+                    column.append(x)
+            at, size, kind, band = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in lines)
+            table = pa.StructArray.from_arrays(
+                [pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(kind.view(np.int64)),
+                 lists(np.full(len(at), LINE_BANDS), pa.array(band.view(np.int64)))], ["start", "size", "class", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], lists(sizes, pa.array(np.concatenate(parts).view(np.int64))), lists(counts, table)],
+                ["node", "doc_id", "key", "bands", "lines"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"),
                        text_key().alias("key"), "text")
-    return rows.mapInArrow(keys, "node long, doc_id long, key binary, bands array<long>")
+    return rows.mapInArrow(keys, f"node long, doc_id long, key binary, bands array<long>, lines {LINES}")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -210,30 +218,151 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def similar_lines(one: Document, two: Document, shared: np.ndarray) -> list[int]:
-    """Long lines of ``one`` that share a band with a line of ``two`` and are similar to it.
+def similar(common: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return common >= THRESHOLD * (one + two - common)
+
+
+LINKS = "a long, b long, node_a long, node_b long"
+
+
+def line_sets(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class, shingles): the distinct shingles of the line classes of ``members``, in order, as 64-bit numbers."""
+    wanted = members.select("class", "node", "start").distinct().groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("start", "class"))).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in byte_slices(batch.column(0)):
+                part, kinds, sets = Paragraphs(data, offsets), [], []
+                value, line = part.line_shingles if len(part.line_start) else (np.zeros(0, np.uint64),) * 2
+                for i, own in enumerate(batch.column(1)[first:end].to_pylist()):
+                    rows = np.searchsorted(part.line_start, [x["start"] + part.words.first[i] for x in own])
+                    low, high = (np.searchsorted(line, x) for x in (rows, rows + 1))
+                    kinds += [x["class"] for x in own]
+                    sets += [np.unique(value[a:b]).tobytes() for a, b in zip(low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(sets, pa.binary())], ["class", "shingles"])
+
+    return texts.join(wanted, "node").select("text", "wanted").mapInArrow(run, "class long, shingles binary")
+
+
+def verified_lines(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones of pairs of line classes."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                keep[i] = similar(among(one, two).sum(), len(one), len(two))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "node_a", "node_b"]).filter(pa.array(keep))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    return pairs.select("a", "b", "node_a", "node_b", "set_a", "set_b").mapInArrow(check, LINKS)
 
-    Lines all of whose windows are ``shared`` are left out: their words go in any case.
+
+def line_blocks(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar classes of the buckets, compared block by block.
+
+    A task compares two blocks of a bucket, and returns for every class the first similar one and the
+    links that connect the rest. A pair that shares several bands is compared in the first.
     """
-    if not len(one.line_start) or not len(two.line_start):
-        return []
-    total = np.append(0, np.cumsum(shared))
-    partly = total[one.line_start + one.line_size - PASSAGE + 1] - total[one.line_start] < one.line_size - PASSAGE + 1
-    rows = np.flatnonzero(partly)
-    keys, lines = two.line_bands
-    own = one.line_keys[rows]
-    low, high = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-    out = []
-    for at in np.flatnonzero((high > low).any(1)).tolist():
-        left = one.line_set(rows[at])
-        others = {j for a, b in zip(low[at].tolist(), high[at].tolist()) for j in lines[a:b].tolist()}
-        for j in others:
-            right = two.line_set(j)
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            if common >= THRESHOLD * (len(left) + len(right) - common):
-                out.append(int(rows[at]))
-                break
-    return out
+    blocks = state.groupBy("band").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("size") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    rows = state.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    cells = ["band", "i", "j"]
+    rows = rows.join(sets, "class").select(*cells, "class", "node", "component", "known", "block", "keys", "shingles")
+    rows = rows.repartition(*cells).sortWithinPartitions(*cells)
+
+    def compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 3):
+            n = group.num_rows
+            if n < 2:
+                continue
+            band, low, high = (group.column(c)[0].as_py() for c in (0, 1, 2))
+            group = group.combine_chunks()
+            kind, node, component, known, block = (group.column(c).to_numpy() for c in range(3, 8))
+            keys = group.column(8).chunk(0).flatten().to_numpy().reshape(n, -1)
+            need = (node[:, None] > node) & ((component[:, None] != component) | ~known[:, None])
+            if low != high:
+                need &= block[:, None] != block
+            equal = np.zeros((n, n), bool)  # in a band before this one
+            for k in range(int((keys[0] == band).argmax())):
+                equal |= keys[:, k, None] == keys[:, k]
+            need &= ~equal
+            if not need.any():
+                continue
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(9)]
+            size = np.array([len(x) for x in parts])
+            first = np.cumsum(size) - size
+            value, index = np.unique(np.concatenate(parts), return_inverse=True)
+            turn = need.any(1).sum() > need.any(0).sum()
+            wanted, met = (need.T if turn else need), np.zeros((n, n), bool)
+            for x in np.flatnonzero(wanted.any(1)):
+                mark = np.zeros(len(value), np.int32)
+                mark[index[first[x]:first[x] + size[x]]] = 1
+                met[x] = wanted[x] & similar(np.add.reduceat(mark[index], first), size[x], size)
+            met = met.T if turn else met
+            late, early = np.nonzero(met)
+            order = np.lexsort((node[early], late))
+            late, early = late[order], early[order]
+            keep, root = np.append(True, late[1:] != late[:-1])[:len(late)], np.arange(n)
+            for x, y in zip(late[keep], early[keep]):
+                root[root == root[x]] = root[y]
+            while (apart := root[late] != root[early]).any():
+                at = int(apart.argmax())
+                keep[at] = True
+                root[root == root[late[at]]] = root[early[at]]
+            late, early = late[keep], early[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (kind[late], kind[early], node[late], node[early])], ["a", "b", "node_a", "node_b"])
+
+    return rows.mapInArrow(compare_cells, LINKS)
+
+
+def line_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b, node_a, node_b) of similar line classes, a's first document after b's.
+
+    ``members``: (band, class, node, start, size, keys), a written table. The links connect what is
+    similar, and a class has one if it is similar to any of an earlier document.
+    """
+    found: list[DataFrame] = []
+    state = members.withColumn("component", F.col("class")).withColumn("known", F.lit(False)).withColumn("used", F.lit(False))
+    while True:
+        span = state.groupBy("band").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"),
+            F.max(F.when(~F.col("known"), F.col("node"))).alias("last"),
+            F.min(F.when(~F.col("known") & ~F.col("used"), F.struct("node", "class", "component", "known"))).alias("pivot"))
+        span = span.where("low <> high or last > first").select("band", "pivot")
+        state = written(state.join(span, "band"), "members")
+        if len(found) == PIVOT_ROUNDS:
+            found.append(written(line_blocks(state, sets), "links"))
+            return reduce(DataFrame.unionByName, found)
+        own, other = F.struct("node", "class", "component", "known"), F.col("pivot")
+        pairs = state.where("pivot is not null and node <> pivot.node").select(
+            F.greatest(own, other).alias("x"), F.least(own, other).alias("y"))
+        pairs = pairs.where("x.component <> y.component or not x.known").select(
+            F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.node").alias("node_a"),
+            F.col("y.node").alias("node_b")).distinct()
+        found.append(written(verified_lines(written(pairs, "pairs"), sets), "links"))
+        links = reduce(DataFrame.unionByName, found)
+        joined = written(components(links.select("a", "b")).withColumnRenamed("node", "class"), "components")
+        known = links.select(F.col("a").alias("class")).distinct().withColumn("late", F.lit(True))
+        state = state.withColumn("used", F.col("used") | F.coalesce(F.col("class") == F.col("pivot.class"), F.lit(False)))
+        state = state.drop("component", "known", "pivot").join(joined, "class", "left").join(known, "class", "left")
+        state = state.withColumn("component", F.coalesce("component", "class")).withColumn(
+            "known", F.coalesce("late", F.lit(False))).drop("late")
+
+
+def repeated_lines(lines: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, start, stop): lines (node, start, size, class) that repeat a line of an earlier document."""
+    ends = ["start", (F.col("start") + F.col("size")).alias("stop")]
+    first = classes.where("n > 1").select("class", F.col("node").alias("b"))
+    equal = lines.join(first, "class").where("node <> b").select(F.col("node").alias("a"), "b", *ends)
+    near = lines.join(links.select(F.col("a").alias("class"), F.col("node_a").alias("node"), F.col("node_b").alias("b")),
+                      ["class", "node"]).select(F.col("node").alias("a"), "b", *ends)
+    return equal.unionByName(near)
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,10 +385,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     one, two = part.document(i - first), last[1]
                     shared = among(one.window, two.windows)
                     at = np.flatnonzero(shared)
-                    lines = similar_lines(one, two, shared)
-                    starts = np.append(at, one.line_start[lines]).astype(np.int64)
-                    ends = np.append(at + PASSAGE, one.line_start[lines] + one.line_size[lines]).astype(np.int64)
-                    for s, e in merged(starts, ends):
+                    for s, e in merged(at, at + PASSAGE):
                         for column, x in zip(rows, (a[i], b[i], s, e)):
                             column.append(x)
                     rest = np.flatnonzero(~shared)
@@ -303,7 +429,15 @@ def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = rows.join(extra, "node", "left_anti")
     flat = units.select("node", F.explode("bands").alias("band"))
     pairs = written(with_first(flat, "band"), "pairs")
-    involved = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    lines = units.select("node", F.explode("lines").alias("l")).select("node", "l.start", "l.size", "l.class", "l.keys")
+    classes = lines.groupBy("class").agg(F.min(F.struct("node", "start", "size")).alias("f"), F.first("keys").alias("keys"),
+                                         F.max("node").alias("last"))
+    classes = written(classes.select("class", "f.*", "keys", F.when(F.col("last") > F.col("f.node"), 2).otherwise(1).alias("n")), "lines")
+    flat = classes.select(F.explode("keys").alias("band"), "class", "node", "start", "size", "keys")
+    shared = flat.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = written(flat.join(shared.select("band"), "band"), "members")
+    involved = reduce(DataFrame.unionByName, [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")),
+                                              members.select("node")]).distinct()
     where = units.select("node", "doc_id", "key").join(involved, "node")
     same = docs.withColumn("_key", text_key())
     match = same["doc_id"].cast("long").eqNullSafe(where["doc_id"]) & (same["_key"] == where["key"])
@@ -312,7 +446,9 @@ def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = once.where("window is not null").select(F.col("a").alias("node"), "window").distinct()
     more = with_first(windows, "window").join(pairs, ["a", "b"], "left_anti")
     again = written(compare(more, texts), "compared")
+    links = line_links(members, written(line_sets(members, texts), "sets"))
     found = once.unionByName(again).where("start is not null").select("a", "b", "start", "stop")
+    found = found.unionByName(repeated_lines(lines.drop("keys"), classes, links))
     return units.select("node", "doc_id", "key"), found
 
 

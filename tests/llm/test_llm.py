@@ -153,6 +153,27 @@ def test_passages_shared_only_among_later_documents(spark):
     assert [r["n_words_removed"] for r in got if r["doc_id"] == 1] == [0]
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_similar_lines_equal_brute_force(spark, monkeypatch, rounds):
+    """The first lines of a family collide with the others, but are not similar to them."""
+    monkeypatch.setattr(substring_dup, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(substring_dup, "BLOCK", 5)
+    rng, base, lines = random.Random(8), words(99, 400), []
+    for k in range(36):  # an edit in the middle leaves no common window
+        edits = [49, *(rng.sample((8, 20, 32, 66, 78, 90), 2) if k < 24 else ())]
+        lines.append([f"e{k}x{i}" if i in edits else w for i, w in enumerate(base)])
+    sets = [{tuple(w[i:i + 5]) for i in range(95)} for w in lines]
+    root, removed = list(range(36)), [0] * 36
+    for b, a in itertools.combinations(range(36), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            removed[a] = 99
+            root = [root[b] if x == root[a] else x for x in root]
+    assert sum(removed) == 1089
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(lines)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_words_removed"], r["class_id"]) for r in substring_dup.remove_passages(docs).collect()}
+    assert got == {k: (removed[k], root[k]) for k in range(36)}
+
+
 def test_repeated_rows_keep_their_passages(spark):
     """Rows with one id and text are one document, which is not a repetition of itself."""
     own, shared, bare = (" ".join(words(80, s)) for s in (301, 302, 303))
