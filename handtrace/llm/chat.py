@@ -14,8 +14,9 @@ Status of a call: linked (a result came), unanswered, cycle; of a result: linked
 Problems of a call, sorted: ``tool`` (unknown), ``json`` (not an object, broken, or a key twice; the
 arguments are then an empty object), ``missing:f``, ``unknown:f``, ``type:f``, ``range:f``.
 
-Cases: repeated rows are one message; of different calls with one id the least (turn, name,
-arguments, after) counts; null ids match nothing; an ``after`` that is not a call of the conversation is
+Cases: repeated rows are one message; different calls with one id are a message each, answered by the
+id's results, and the least (turn, name, arguments, after) is the one that other messages refer to;
+null ids match nothing, so that such calls are unanswered; an ``after`` that is not a call of the conversation is
 ignored; a null text is a message without content; empty tables give no rows; extra columns are ignored.
 """
 
@@ -31,19 +32,19 @@ MESSAGE = ["conv_id", "turn", "role", "content", "call_id", "after", "name", "ar
 
 
 def argument_problems(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """(conv_id, call_id, arguments: variant object, problems) of calls.
+    """(message, arguments: variant object, problems) of calls; ``message`` numbers them.
 
     ``tools``: (name, field, kind, required, least, most); kind is string, integer, number, boolean,
     object or array; the bounds hold for numbers and for the length of strings.
     """
-    parsed = calls.select(*KEY, "name", F.try_parse_json("arguments").alias("arguments"))
+    parsed = calls.select("message", "name", F.try_parse_json("arguments").alias("arguments"))
     whole = F.schema_of_variant("arguments").startswith("OBJECT")
     parsed = parsed.withColumn("whole", F.coalesce(whole, F.lit(False)))
     empty = F.parse_json(F.lit("{}"))
     parsed = parsed.withColumn("arguments", F.when(F.col("whole"), F.col("arguments")).otherwise(empty))
     spark = calls.sparkSession
     fields = spark.sql(
-        """SELECT conv_id, call_id, name, key AS field, schema_of_variant(value) AS kind_found,
+        """SELECT message, name, key AS field, schema_of_variant(value) AS kind_found,
                   try_cast(value AS double) AS number, try_cast(value AS string) AS string
            FROM {parsed}, LATERAL variant_explode(arguments)""", parsed=parsed)
     known = tools.select("name").distinct().withColumn("known", F.lit(True))
@@ -55,18 +56,18 @@ def argument_problems(calls: DataFrame, tools: DataFrame) -> DataFrame:
     size = F.when(kind.isin("integer", "number"), F.col("number")).when(kind == "string", F.length("string"))
     outside = (size < F.col("least")) | (size > F.col("most"))
     code = F.when(F.col("kind").isNull(), "unknown").when(~right, "type").when(F.coalesce(outside, F.lit(False)), "range")
-    found = fields.groupBy(*KEY).agg(
+    found = fields.groupBy("message").agg(
         F.collect_set(F.when(code.isNotNull(), F.concat(code, F.lit(":"), "field"))).alias("wrong"),
         F.collect_set(F.when(F.col("required"), F.col("field"))).alias("given"))
     needed = tools.groupBy("name").agg(F.collect_set(F.when(F.col("required"), F.col("field"))).alias("needed"))
-    rows = parsed.join(needed, "name", "left").join(found, KEY, "left")
+    rows = parsed.join(needed, "name", "left").join(found, "message", "left")
     none = F.array().cast("array<string>")
     missing = F.transform(F.array_except("needed", F.coalesce("given", none)), lambda f: F.concat(F.lit("missing:"), f))
     problems = F.concat(
         F.when(F.col("needed").isNull(), F.array(F.lit("tool"))).otherwise(none),
         F.when(~F.col("whole"), F.array(F.lit("json"))).otherwise(none),
         F.coalesce(missing, none), F.coalesce("wrong", none))
-    return rows.select(*KEY, "arguments", F.array_sort(problems).alias("problems"))
+    return rows.select("message", "arguments", F.array_sort(problems).alias("problems"))
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -97,27 +98,32 @@ def format_messages(messages: DataFrame, tools: DataFrame) -> DataFrame:
     result; any other role is a plain message.
     """
     rows = messages.select(*MESSAGE).distinct()
-    calls = rows.where("role = 'call' and conv_id is not null and call_id is not null").groupBy(*KEY).agg(
+    calls = rows.where("role = 'call'").select(*KEY, "turn", "name", "arguments", "after")
+    calls = written(calls.withColumn("message", F.monotonically_increasing_id()), "calls")
+    targets = calls.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(
         F.min(F.struct("turn", "name", "arguments", "after")).alias("c")).select(*KEY, "c.*")
-    calls = written(calls, "calls")
+    targets = written(targets, "targets")
+    placed = written(depths(targets).withColumn("called", F.lit(True)), "placed")
     results = rows.where("role = 'tool'").select("conv_id", "turn", "call_id", "content")
     answered = results.groupBy(*KEY).agg(F.count("*").alias("answers"))
     checked = argument_problems(calls, tools)
-    known = calls.join(checked.withColumnRenamed("arguments", "parsed"), KEY).join(depths(calls), KEY)
-    known = written(known.join(answered, KEY, "left"), "linked")
+    parent = placed.select("conv_id", F.col("call_id").alias("after"), F.col("depth").alias("above"), "called")
+    known = calls.drop("arguments").join(checked.withColumnRenamed("arguments", "parsed"), "message")
+    known = known.join(parent, ["conv_id", "after"], "left").withColumn(
+        "depth", F.when(F.col("called"), F.col("above") + 1).otherwise(0))
+    known = known.join(answered, KEY, "left")
     status = F.when(F.col("depth").isNull(), "cycle").when(F.col("answers").isNull(), "unanswered").otherwise("linked")
     out_calls = known.select(
         "conv_id", "turn", F.lit("call").alias("role"), "call_id", (2 * F.col("depth")).alias("rank"), status.alias("status"),
         F.array_join("problems", ",").alias("problems"),
         F.to_json(F.struct(F.col("parsed").alias("arguments"), "call_id", "name", F.lit("assistant").alias("role"))).alias("json"))
-    names = known.select(*KEY, "name", "depth", F.lit(True).alias("called"))
+    names = targets.select(*KEY, "name").join(placed, KEY)
     out_results = results.join(names.hint("shuffle_hash"), KEY, "left").select(
         "conv_id", "turn", F.lit("tool").alias("role"), "call_id", (2 * F.col("depth") + 1).alias("rank"),
         F.when(F.col("called"), F.when(F.col("depth").isNull(), "cycle").otherwise("linked")).otherwise("orphan").alias("status"),
         F.lit("").alias("problems"),
         F.to_json(F.struct("call_id", "content", "name", F.lit("tool").alias("role"))).alias("json"))
-    plain = (F.col("role").isNull() | ~F.col("role").isin("call", "tool")
-             | ((F.col("role") == "call") & (F.col("conv_id").isNull() | F.col("call_id").isNull())))
+    plain = F.col("role").isNull() | ~F.col("role").isin("call", "tool")
     out_plain = rows.where(plain).select(
         "conv_id", "turn", "role", F.lit(None).cast("string").alias("call_id"), F.lit(-1).alias("rank"),
         F.lit("message").alias("status"), F.lit("").alias("problems"),

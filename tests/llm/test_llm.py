@@ -18,7 +18,7 @@ from handtrace.llm import (
     token_files,
 )
 from handtrace.llm.common import components
-from handtrace.llm.queries import QUERIES
+from handtrace.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, component int"
@@ -359,6 +359,34 @@ def test_chat(spark):
     assert chat.format_messages(messages.limit(0), tools).count() == 0
 
 
+def test_chat_keeps_different_calls_of_one_id(spark, tmp_path):
+    """A row for every message; the rows of calls are those of the SQL, which repeats them."""
+    import duckdb
+
+    rows = [(1, 0, "user", "abc"), (1, 0, "user", "abcd"), (1, 1, "assistant", "yes"), (1, 2, "user", "next"),
+            (1, 2, "user", "next"), (1, 3, "system", "s"), (2, 0, "user", "alone"), (2, 0, "user", "twos")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [tuple(r) for r in QUERIES["op1_chat"](spark, str(tmp_path)).select(
+        "conv_id", "turn", "role", "call_id", "rank", "status", "problems", "json").collect()]
+    assert len(got) == len(set(rows)) == len(set(got))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = set(base.execute(ORACLES["op1_chat"]).fetchall())
+    assert {r for r in got if r[2] != "tool"} == {r for r in want if r[2] != "tool"} and set(got) <= want
+
+
+def test_chat_keeps_calls_without_an_id(spark):
+    tools = spark.createDataFrame([("t", "q", "string", True, 1, 3)],
+                                  "name string, field string, kind string, required boolean, least int, most int")
+    rows = [(1, 0, "call", None, None, None, "t", '{"q":"long"}'), (None, 0, "call", None, "a", None, "t", '{"q":"x"}')]
+    kind = "conv_id long, turn long, role string, content string, call_id string, after string, name string, arguments string"
+    got = {r["conv_id"]: r for r in chat.format_messages(spark.createDataFrame(rows, kind), tools).collect()}
+    assert (got[1]["status"], got[1]["problems"]) == ("unanswered", "range:q")
+    assert got[1]["json"] == '{"arguments":{"q":"long"},"name":"t","role":"assistant"}'
+    assert got[None]["json"] == '{"arguments":{"q":"x"},"call_id":"a","name":"t","role":"assistant"}'
+
+
 def test_pipeline_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
