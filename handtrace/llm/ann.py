@@ -12,6 +12,9 @@ Queries are nodes of the graph. Each starts from its own neighbours and the vect
 and repeatedly joins its best unexpanded candidates with the graph, until the best ``BEAM`` are all
 expanded. The ``BEAM`` found are rescored in double precision from the original vectors.
 
+Equal vectors are one node, that of their least id, so that copies neither fill each other's links nor
+the beam; the classes found are expanded again in the order of ids.
+
 Cases: vectors that are null, empty, zero, hold a null or a non-finite component, have no id or not
 the most frequent length take no part; of rows that repeat an id the least vector counts; equal
 scores go to the smaller id; with fewer candidates than wanted all are returned; extra columns are
@@ -67,10 +70,8 @@ def matrix(column: pa.Array, dtype=np.float16) -> np.ndarray:
     return data.view(dtype).reshape(n, -1).astype(np.float32)
 
 
-def points(vectors: DataFrame) -> DataFrame:
-    """(id, vector, code): ``code`` is the equal-norm vector in half precision, scaled to the unit ball."""
-    spark = vectors.sparkSession
-    rows = written(clean(vectors), "vectors")
+def points(rows: DataFrame) -> DataFrame:
+    """(id, vector, code) of a written table (id, vector): ``code`` is the equal-norm vector in half precision, scaled to the unit ball."""
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     largest = rows.agg(F.max(F.sqrt(norm))).first()[0] or 1.0
 
@@ -182,7 +183,7 @@ def first_links(nodes: DataFrame) -> DataFrame:
     placed = nodes.select("id", "code").mapInArrow(place, "tree int, leaf long, id long, code binary")
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("chunks"))
     placed = placed.join(sizes, ["tree", "leaf"])
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).drop("chunks")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.col("chunks"))).drop("chunks")
     placed = placed.repartition("tree", "leaf", "chunk").sortWithinPartitions("tree", "leaf", "chunk")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,7 @@ def best_links(links: DataFrame) -> DataFrame:
     """(src, dst, near, fresh): the nearest NEIGHBOURS of every source; ``old`` links are not fresh."""
     one = links.repartition("src").groupBy("src", "dst").agg(F.max("near").alias("near"), F.max("old").alias("old"))
     kept = one.groupBy("src").agg(F.slice(
-        F.sort_array(F.collect_list(F.struct("near", "dst", "old")), asc=False), 1, NEIGHBOURS).alias("links"))
+        F.sort_array(F.collect_list(F.struct("near", (-F.col("dst")).alias("m"), "dst", "old")), asc=False), 1, NEIGHBOURS).alias("links"))
     kept = kept.withColumn("floor", F.when(F.size("links") < NEIGHBOURS, F.lit(-2.0)).otherwise(
         F.element_at("links", -1)["near"]).cast("float"))
     return kept
@@ -310,22 +311,40 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
     return state.select("q", F.explode("beam").alias("x")).select("q", (-F.col("x.m")).alias("w"))
 
 
-def ranked(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of pairs (q, w) by the inner product in double precision."""
+def ranked(pairs: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of pairs (q, w) of nodes by the inner product in double precision.
+
+    ``members``: (node, id); ``queries``: (node, query_id). As every class has its least id before the
+    rest, no member of the k best stands in a class beyond the first k + 1, the query's own among them.
+    """
     left = nodes.select(F.col("id").alias("q"), F.col("vector").alias("a"))
     right = nodes.select(F.col("id").alias("w"), F.col("vector").alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = pairs.where("q <> w").join(left, "q").join(right, "w").select("q", "w", dot.alias("score"))
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "w")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return rows.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"),
-                       F.col("w").alias("vec_id"), "score")
+    own = queries.select(F.col("node").alias("q"), F.col("node").alias("w")).distinct()
+    rows = pairs.where("q <> w").unionByName(own).join(left, "q").join(right, "w").select("q", "w", dot.alias("score"))
+
+    def best(rows: DataFrame, keys: str, order: list, n: int) -> DataFrame:
+        number = F.row_number().over(Window.partitionBy(keys).orderBy(*order))
+        return rows.withColumn("rank", number).where(F.col("rank") <= n)
+
+    rows = best(rows, "q", [F.desc("score"), "w"], k + 1).drop("rank")
+    copies = best(members, "node", ["id"], k + 1).select(F.col("node").alias("w"), "id")
+    rows = best(rows.join(copies, "w"), "q", [F.desc("score"), "id"], k + 1)
+    rows = rows.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "score"))).alias("found"))
+    rows = queries.join(rows, queries["node"] == rows["q"]).select(
+        "query_id", F.posexplode(F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), "x.score")
 
 
 def nearest(vectors: DataFrame, wanted: Column, k: int) -> DataFrame:
     """The k nearest found of every vector whose ``id`` meets ``wanted``."""
     bounded_batches(vectors.sparkSession, rows=5000)
-    nodes = points(vectors)
+    rows = written(clean(vectors), "vectors")
+    distinct = written(rows.groupBy("vector").agg(F.min("id").alias("id")).select("id", "vector"), "distinct")
+    members = rows.join(distinct.withColumnRenamed("id", "node"), "vector").select("node", "id")
+    members = written(members, "members")
+    nodes = points(distinct)
     graph = written(neighbour_graph(nodes).select("src", "links"), "graph")
-    queries = nodes.where(wanted).select(F.col("id").alias("q"))
-    return ranked(search(nodes, graph, queries), nodes, k)
+    queries = members.where(wanted).select("node", F.col("id").alias("query_id"))
+    found = search(nodes, graph, queries.select(F.col("node").alias("q")).distinct())
+    return ranked(found, nodes, members, queries, k)

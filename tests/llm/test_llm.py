@@ -335,6 +335,19 @@ def test_nearest(spark):
     assert ann.nearest(few.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_nearest_among_copies(spark):
+    """The copies with the least ids come first, also for a query outside their group."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, x[0].tolist() if i < 300 else x[i - 299].tolist()) for i in range(350)]
+    table = spark.createDataFrame([*rows, (1000, (2 * x[0]).tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("id").isin(0, 200, 1000), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {0: [1000, *range(1, 20)], 200: [1000, *range(19)], 1000: list(range(20))}
+
+
 def test_chat(spark):
     tools = spark.createDataFrame([("t", "q", "string", True, 1, 3), ("t", "n", "integer", False, 0, 5)],
                                   "name string, field string, kind string, required boolean, least int, most int")
