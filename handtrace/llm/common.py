@@ -31,7 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once all that reads them has been written."""
+    for df in tables:
+        drop_path(df.sparkSession, df.written_path)
 
 
 def text_key(column: str = "text"):

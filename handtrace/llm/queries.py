@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from handtrace.plans.registry import Query
 
 from . import (
-    ann, chat, decontaminate, html_density, language, near_dup, quality, sentencepiece_bpe, substring_dup, token_files,
+    ann, chat, decontaminate, html_density, language, near_dup, prefix_trie, quality, sentencepiece_bpe, substring_dup,
+    token_files,
 )
 from .common import table
 
@@ -197,3 +198,59 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked, ordered and checked tool traffic of all conversations as canonical JSON."""
     tools = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean, least int, most int")
     return chat.format_messages(tool_traffic(table(spark, sf_dir, "conversations")), tools)
+
+
+# crc32 of the decimal digits, bit by bit.
+OP11_SQL = """
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+taken AS (
+  SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, b)),
+    4294967295), 4294967295) % 6 AS h
+  FROM ids),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+built AS (
+  SELECT conv_id, t.place, t.role, t.text FROM taken JOIN turns t USING (conv_id) WHERE t.place >= h
+  UNION ALL
+  SELECT c.conv_id, t.place, t.role, t.text FROM taken c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.place < h),
+dense AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS d FROM built),
+chain AS (
+  SELECT conv_id, 0::BIGINT AS d, md5('') AS node, NULL::VARCHAR AS up, 0::BIGINT AS len FROM ids
+  UNION ALL
+  SELECT c.conv_id, b.d, md5(c.node || length(b.role) || ':' || b.role || b.text), c.node, length(b.text)
+  FROM chain c JOIN dense b ON b.conv_id = c.conv_id AND b.d = c.d + 1),
+deepest AS (SELECT conv_id, max(d) AS d FROM chain GROUP BY conv_id),
+ended AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM chain JOIN deepest USING (conv_id, d) GROUP BY node),
+nodes AS (SELECT node, any_value(up) AS up, any_value(d) AS d, any_value(len) AS len, min(conv_id) AS conv, count(*) AS n
+          FROM chain GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up),
+below AS (
+  SELECT node AS top, node FROM nodes
+  UNION ALL SELECT b.top, n.node FROM below b JOIN nodes n ON n.up = b.node),
+sums AS (SELECT top AS node, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((n - 1) * len)::BIGINT AS saved
+         FROM below JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT n.conv AS conv_id, n.d AS depth, p.conv AS parent_conv_id, n.n AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+       leaves AS n_leaves, saved AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN nodes p ON p.node = n.up LEFT JOIN kids ON kids.node = n.node LEFT JOIN ended ON ended.node = n.node
+"""
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversation ids, keyed turns): the first h turns of conversation c - c % 100, then c's own after its first h."""
+    turns = prefix_trie.numbered(prefix_trie.keyed_turns(conversations), "at")
+    ids = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    taken = F.crc32(F.col("conv_id").cast("string")) % 6
+    givers = turns.where((F.col("conv_id") % 100 == 0) & (F.col("at") < 6)).withColumnRenamed("conv_id", "giver")
+    copied = ids.withColumn("giver", F.col("conv_id") - F.col("conv_id") % 100).join(givers, "giver").where(F.col("at") < taken)
+    shape = ["conv_id", F.col("at").alias("turn"), "role", "code", "length"]
+    return ids, turns.where(F.col("at") >= taken).select(*shape).unionByName(copied.select(*shape))
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefix_trie.prefix_nodes(*rebuilt(table(spark, sf_dir, "conversations")))
