@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from handtrace.plans.registry import Query
 
 from . import (
-    ann, chat, decontaminate, html_density, language, near_dup, prefix_trie, quality, sentencepiece_bpe, substring_dup,
-    token_files,
+    ann, byte_bpe, chat, collocations, decontaminate, html_density, language, near_dup, prefix_trie, quality,
+    sentencepiece_bpe, substring_dup, token_files,
 )
 from .common import table
 
@@ -254,3 +254,48 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct prefix of the rebuilt conversations."""
     return prefix_trie.prefix_nodes(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document and their round trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = byte_bpe.encode_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, id_lists=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM docs),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM pieces, range(1, 5) AS lengths(k), unnest(range(1, len(w) - k + 2)) AS t(i)
+  WHERE len(w) >= k GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, k, phrase, a, i, array_to_string(w[1:i], ' ') AS head, array_to_string(w[i + 1:], ' ') AS tail
+  FROM c, unnest(range(1, k)) AS t(i)),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, min({'score': ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT, 'i': i, 'l': l.f, 'r': r.f}) AS cut
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail
+  GROUP BY ALL),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS x
+  FROM c, range(2, 4) AS inner_lengths(m), unnest(range(1, k - m + 2)) AS t(i) WHERE m < k GROUP BY ALL)
+SELECT lang, rank, phrase, a, cut.l AS l, cut.r AS r, n, cut.score AS score FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.cut.score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE x IS NULL OR 100 * x < 80 * a) JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
