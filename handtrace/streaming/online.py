@@ -1,123 +1,233 @@
 """Online windows and chunks as a stateful Structured Streaming job.
 
-The stateful step only keeps order, counts late events and decides when a window or a
-chunk is complete; it emits the complete group's rows.  Features of a micro-batch are
-then computed by the very DataFrame operators of the batch path, so both agree by
-construction.  State per session: the rows of the open window and the partial chunk.
+The stateful step only keeps order, counts late events, follows the device settings and
+decides when a window or a chunk is complete; it emits the complete group's rows.
+Features of a micro-batch are then computed by the very DataFrame operators of the batch
+path, so both agree by construction.  State per session is typed: one row of counters and
+settings, and the rows of the open window and the partial chunk.
+
+Settings take effect at their place in the session: a unit is scaled by what the last
+``__session__`` message before the event that completed it said, wherever micro-batches
+end.  Sensitivity and dpi only count together, the polling rate on its own.
+
+A session ends by ``__end__`` or, with ``idle``, when the watermark passes its last arrival
+by that time.  With ``idle`` its state is then removed; messages between ``__end__`` and the
+removal are counted and reported by a ``closed`` row.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..constants import CHUNK_LEN, WINDOW_MS
+from ..constants import CHUNK_LEN, REFERENCE_DPI, REFERENCE_POLLING_HZ, WINDOW_MS
 from ..functions.exprs import ratio
 from ..operators import features as feat
+from ..session import ship_package
 
-ROW = "seq BIGINT, t DOUBLE, type STRING, x DOUBLE, y DOUBLE, dx DOUBLE, dy DOUBLE, pressed BOOLEAN, key STRING"
+EVENT = "seq BIGINT, t DOUBLE, type STRING, x DOUBLE, y DOUBLE, dx DOUBLE, dy DOUBLE, pressed BOOLEAN, key STRING"
 OUTPUT = (
-    f"session_id STRING, kind STRING, unit BIGINT, w_start DOUBLE, w_ms DOUBLE, {ROW}, "
-    "sensitivity DOUBLE, dpi DOUBLE, polling_rate DOUBLE, late BIGINT")
-STATE = "memory BINARY"
-_COLUMNS = ["seq", "t", "type", "x", "y", "dx", "dy", "pressed", "key"]
-
-
-def _close_units(window_ms: float, chunk_len: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        incoming, ended = pd.concat(list(batches)).sort_values("seq"), False
-        memory = pickle.loads(state.get[0]) if state.exists else {
-            "anchor": None, "last_t": -np.inf, "seen": 0, "late": 0, "done": False,
-            "conf": {"sensitivity": 1.0, "dpi": 800.0, "polling_rate": None}, "rows": None}
-        if memory["done"]:  # closing twice changes nothing
-            return
-        ends = incoming.loc[incoming["type"] == "__end__", "seq"]
-        if len(ends):
-            incoming, ended = incoming[incoming["seq"] < ends.min()], True
-        config = incoming[incoming["type"] == "__session__"]
-        for name in memory["conf"]:
-            known = config[name].dropna()
-            if len(known):
-                memory["conf"][name] = float(known.iloc[-1])
-        rows = incoming.loc[incoming["type"] != "__session__", _COLUMNS]
-
-        if len(rows):
-            t = rows["t"].to_numpy(dtype=float)
-            reached = np.maximum.accumulate(np.concatenate([[memory["last_t"]], t]))
-            late = t < reached[:-1]
-            memory["late"] += int(late.sum())
-            rows = rows[~late].copy()
-            memory["last_t"] = float(reached[-1])
-        if len(rows):
-            if memory["anchor"] is None:
-                memory["anchor"] = float(rows["t"].iloc[0])
-            rows["at"] = memory["seen"] + np.arange(len(rows))
-            memory["seen"] += len(rows)
-        held = rows if memory["rows"] is None else pd.concat([memory["rows"], rows]) if len(rows) else memory["rows"]
+    f"session_id STRING, kind STRING, unit BIGINT, w_start DOUBLE, w_ms DOUBLE, {EVENT}, norm_factor DOUBLE, "
+    "rate_norm DOUBLE, trigger_seq BIGINT, triggered_by STRING, n_events BIGINT, late BIGINT")
+SESSION_STATE = (
+    "anchor DOUBLE, last_t DOUBLE, seen BIGINT, late BIGINT, window BIGINT, norm_factor DOUBLE, rate_norm DOUBLE, "
+    "closed BOOLEAN, refused BIGINT, last_seq BIGINT")
+ROWS_STATE = f"{EVENT}, at BIGINT"
+_EVENT = [c.strip().split(" ")[0] for c in EVENT.split(",")]
+_OUTPUT = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
+_SESSION = [c.strip().split(" ")[0] for c in SESSION_STATE.split(",")]
+_TEXT = ["session_id", "kind", "type", "key", "triggered_by"]
+NEW_SESSION = (None, None, 0, 0, None, 1.0, 1.0, False, 0, -1)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _settings(messages: pd.DataFrame, norm: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Factors in force after each message, in their order."""
+    told = (messages["type"] == "__session__").to_numpy()
+    both = messages["sensitivity"] * messages["dpi"] / REFERENCE_DPI
+    norms = both.clip(lower=1e-6).where(told & both.notna()).ffill().fillna(norm)
+    hz = messages["polling_rate"]
+    rates = (REFERENCE_POLLING_HZ / hz.where(hz > 0)).fillna(1.0).where(told & hz.notna()).ffill().fillna(rate)
+    return norms.to_numpy(float), rates.to_numpy(float)
+
+
+class SessionUnits(StatefulProcessor):
+    """Rows of complete windows and chunks, one row per event that completed some, one at the end."""
+
+    def __init__(self, window_ms: float, chunk_len: int, idle_ms: int | None):
+        self.window_ms, self.chunk_len, self.idle_ms = window_ms, chunk_len, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", SESSION_STATE)
+        self.open_rows = handle.getListState("open_rows", ROWS_STATE)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        # A micro-batch is bounded by the source's admission limits; its messages of a session are put in order.
+        messages = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
+        now = dict(zip(_SESSION, self.session.get() if self.session.exists() else NEW_SESSION))
+        if self.idle_ms is not None:
+            self._wake(int(messages["received"].max().timestamp() * 1000) + self.idle_ms)
+        if not now["closed"]:
+            end = np.flatnonzero(messages["type"] == "__end__")
+            kept = messages.iloc[:end[0]] if len(end) else messages
+            out = self._advance(kept, now)
+            if len(end):
+                out += self._finish(now)
+                now["closed"], now["refused"] = True, len(messages) - int(end[0]) - 1
+        else:
+            out = []
+            now["refused"] += len(messages)
+        self.session.update(tuple(now[c] for c in _SESSION))
+        yield from self._shaped(key, out, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now = dict(zip(_SESSION, self.session.get()))
+        out = [] if now["closed"] else self._finish(now)
+        out.append(pd.DataFrame({"kind": ["closed"], "unit": [now["refused"]], "t": [now["last_t"]]}))
+        self.session.clear()
+        self.open_rows.clear()
+        yield from self._shaped(key, out, now)
+
+    def _wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            if timer >= at:
+                return
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at)
+
+    def _advance(self, messages: pd.DataFrame, now: dict) -> list[pd.DataFrame]:
+        """Fold messages in; the rows they complete. ``now`` and the open rows are brought forward."""
+        norms, rates = _settings(messages, now["norm_factor"], now["rate_norm"])
+        if len(messages):
+            now["norm_factor"], now["rate_norm"] = float(norms[-1]), float(rates[-1])
+        is_event = (messages["type"] != "__session__").to_numpy()
+        rows, norms, rates = messages.loc[is_event, _EVENT], norms[is_event], rates[is_event]
+        if not len(rows):
+            return []
+        t = rows["t"].fillna(0.0).to_numpy(float)
+        before = np.maximum.accumulate(np.append(-np.inf if now["last_t"] is None else now["last_t"], t))[:-1]
+        good = t >= before
+        now["late"] += int((~good).sum())
+        rows, norms, rates, t = rows[good].assign(t=t[good]), norms[good], rates[good], t[good]
+        if not len(rows):
+            return []
+        if now["anchor"] is None:
+            now["anchor"], now["window"] = float(t[0]), 0
+        at = now["seen"] + np.arange(len(rows))
+        window = np.floor((t - now["anchor"]) / self.window_ms).astype(np.int64)
+        was = np.append(now["window"], window[:-1])
+        crossed, full = window > was, (at + 1) % self.chunk_len == 0
+        held = pd.DataFrame(list(self.open_rows.get()), columns=[*_EVENT, "at"])
+        everything = pd.concat([held, rows.assign(at=at)], ignore_index=True) if len(held) else rows.assign(at=at)
+        windows = np.concatenate([np.full(len(held), now["window"]), window])
+        if len(held):  # a held row can belong to an earlier window if its chunk is still open
+            windows[:len(held)] = np.floor((held["t"].to_numpy(float) - now["anchor"]) / self.window_ms)
+        out = []
+        for i in np.flatnonzero(crossed):
+            closed = everything.iloc[slice(*np.searchsorted(windows, (was[i], was[i] + 1)))]  # both are in order
+            if len(closed) >= 2:
+                out.append(closed.assign(
+                    kind="window", unit=was[i], w_start=now["anchor"] + was[i] * self.window_ms, w_ms=self.window_ms,
+                    norm_factor=norms[i], rate_norm=rates[i], trigger_seq=rows["seq"].iloc[i]))
+        chunks = everything["at"].to_numpy(np.int64) // self.chunk_len
+        for i in np.flatnonzero(full):
+            n = at[i] // self.chunk_len
+            out.append(everything.iloc[slice(*np.searchsorted(chunks, (n, n + 1)))].assign(
+                kind="chunk", unit=n, norm_factor=norms[i], rate_norm=rates[i],
+                trigger_seq=rows["seq"].iloc[i]))
+        fired = np.flatnonzero(crossed | full)
+        if len(fired):
+            out.append(rows.iloc[fired][["seq", "t", "type"]].assign(
+                kind="trigger", norm_factor=norms[fired], rate_norm=rates[fired], trigger_seq=rows["seq"].iloc[fired],
+                triggered_by=np.where(full[fired], "chunk", "window"), n_events=at[fired] + 1))
+        now["last_t"], now["seen"], now["window"] = float(t[-1]), int(at[-1]) + 1, int(window[-1])
+        now["last_seq"] = int(rows["seq"].iloc[-1])
+        keep = (windows >= now["window"]) | (chunks >= now["seen"] // self.chunk_len)
+        if len(fired):
+            self.open_rows.put(_tuples(everything[keep]))
+        else:
+            self.open_rows.appendList(_tuples(rows.assign(at=at)))
+        return out
+
+    def _finish(self, now: dict) -> list[pd.DataFrame]:
+        """The trailing window by its real length, and the last trigger; a partial chunk is dropped."""
         out = []
-        if held is not None and len(held):
-            held = held.copy()
-            held["window"] = np.floor((held["t"] - memory["anchor"]) / window_ms).astype("int64")
-            held["chunk"] = held["at"] // chunk_len
-            current = int(held["window"].iloc[-1])
-            closed = held[held["window"] < current] if not ended else held
-            closed = closed[closed["window"] >= memory.get("next_window", 0)]
-            if len(closed):
-                w = closed.copy()
-                w["unit"] = w["window"]
-                w["w_start"] = memory["anchor"] + w["window"] * window_ms
-                w["w_ms"] = np.where(w["window"] < current, window_ms,
-                                     np.minimum(window_ms, memory["last_t"] - w["w_start"]))
-                sizes = w.groupby("window")["t"].transform("size")
-                out.append(w[(sizes >= 2) & (w["w_ms"] > 0)].assign(kind="window"))
-            memory["next_window"] = current
-            full = memory["seen"] // chunk_len
-            c = held[(held["chunk"] < full) & (held["chunk"] >= memory.get("next_chunk", 0))]
-            if len(c):
-                out.append(c.assign(kind="chunk", unit=c["chunk"], w_start=np.nan, w_ms=np.nan))
-            memory["next_chunk"] = full
-            memory["rows"] = held[(held["window"] >= current) | (held["chunk"] >= full)][_COLUMNS + ["at"]]
-        if ended:
-            out.append(pd.DataFrame({"kind": ["end"], "unit": [memory["seen"]], "t": [memory["last_t"]]}))
-        state.update((pickle.dumps({"done": True} if ended else memory),))
-        for frame in out:
-            frame = frame.assign(session_id=key[0], late=memory["late"], **memory["conf"])
-            yield frame.reindex(columns=_output_names()).astype({"unit": "int64", "late": "int64"})
-    return step
-
-
-def _output_names() -> list[str]:
-    return [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
-
-
-def closed_units(messages: DataFrame, window_ms: float = WINDOW_MS, chunk_len: int = CHUNK_LEN) -> DataFrame:
-    """Stream of messages -> stream of rows of complete windows and chunks."""
-    return messages.groupBy("session_id").applyInPandasWithState(
-        _close_units(window_ms, chunk_len), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        scale = {"norm_factor": now["norm_factor"], "rate_norm": now["rate_norm"]}
+        if now["seen"]:
+            held = pd.DataFrame(list(self.open_rows.get()), columns=[*_EVENT, "at"])
+            start = now["anchor"] + now["window"] * self.window_ms
+            last = held[np.floor((held["t"] - now["anchor"]) / self.window_ms) == now["window"]]
+            if len(last) >= 2 and now["last_t"] > start:
+                out.append(last.assign(
+                    kind="window", unit=now["window"], w_start=start, w_ms=min(self.window_ms, now["last_t"] - start),
+                    trigger_seq=now["last_seq"] + 1, **scale))
+            out.append(pd.DataFrame([{
+                "kind": "trigger", "seq": now["last_seq"] + 1, "t": now["last_t"], "trigger_seq": now["last_seq"] + 1,
+                "triggered_by": "finalize", "n_events": now["seen"], **scale}]))
+        out.append(pd.DataFrame([{"kind": "end", "unit": now["seen"], "t": now["last_t"], **scale}]))
+        self.open_rows.clear()
+        return out
+
+    def _shaped(self, key, frames: list[pd.DataFrame], now: dict) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.assign(session_id=key[0], late=now["late"]).reindex(columns=_OUTPUT)
+            text = frame[_TEXT].astype(object)
+            frame[_TEXT] = text.where(text.notna(), None)
+            yield frame.astype({c: "Int64" for c in ("unit", "seq", "trigger_seq", "n_events", "late")} | {"pressed": "boolean"})
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    plain = rows[[*_EVENT, "at"]].astype(object)
+    return list(plain.where(plain.notna(), None).itertuples(index=False, name=None))
+
+
+def closed_units(messages: DataFrame, window_ms: float = WINDOW_MS, chunk_len: int = CHUNK_LEN,
+                 idle: str | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """Stream of messages -> stream of rows of complete windows and chunks.
+
+    ``idle`` (as "10 minutes") needs a ``received`` timestamp in the messages; its watermark allows ``lateness``.
+    """
+    spark = messages.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    idle_ms = None
+    if idle is not None:
+        idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+        messages = messages.withWatermark("received", lateness)
+    return messages.groupBy("session_id").transformWithStateInPandas(
+        SessionUnits(window_ms, chunk_len, idle_ms), OUTPUT, "append", "EventTime" if idle else "None")
 
 
 def unit_features(units: DataFrame, bucket_ms: float = 1000.0) -> DataFrame:
     """Window features of emitted rows through the batch operators.
 
-    Rows carry their device settings, so these are part of the grouping.
+    Rows carry their scale factors, so these are part of the grouping.
     """
-    keys = ("session_id", "window_idx", "sensitivity", "dpi", "polling_rate")
+    keys = ("session_id", "window_idx", "trigger_seq", "norm_factor", "rate_norm")
     rows = units.filter("kind = 'window'").withColumnsRenamed({"type": "event_type", "unit": "window_idx"})
     raw = feat.raw_window_features(rows, keys, bucket_ms)
-    nf = F.greatest(feat.norm_factor(F.col("sensitivity"), F.col("dpi")), F.lit(1e-6))
-    rn = feat.rate_norm(F.col("polling_rate"))
-    scaled = {c: ratio(F.col(c), nf) for c in feat.SPEED_SCALED} | {c: F.col(c) * rn for c in feat.RATE_SCALED}
-    return raw.withColumns(scaled).drop("polling_rate", "sensitivity", "dpi")
+    scaled = {c: ratio(F.col(c), F.col("norm_factor")) for c in feat.SPEED_SCALED}
+    scaled |= {c: F.col(c) * F.col("rate_norm") for c in feat.RATE_SCALED}
+    return raw.withColumns(scaled).drop("norm_factor", "rate_norm")
+
+
+def run_stream(stream: DataFrame, sink, checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
 
 
 def run_online(messages: DataFrame, out: str, checkpoint: str, window_ms: float = WINDOW_MS,
-               chunk_len: int = CHUNK_LEN, bucket_ms: float = 1000.0) -> None:
+               chunk_len: int = CHUNK_LEN, bucket_ms: float = 1000.0, idle: str | None = None,
+               lateness: str = "0 seconds") -> None:
     """Process everything available; features under ``out/features``, units under ``out/units``.
 
     Each micro-batch overwrites its own folder, so a replayed batch leaves no duplicates.
@@ -128,9 +238,7 @@ def run_online(messages: DataFrame, out: str, checkpoint: str, window_ms: float
         stored = batch.sparkSession.read.parquet(folder)
         unit_features(stored, bucket_ms).write.mode("overwrite").parquet(f"{out}/features/batch_id={batch_id}")
 
-    query = (closed_units(messages, window_ms, chunk_len).writeStream.foreachBatch(sink)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    run_stream(closed_units(messages, window_ms, chunk_len, idle, lateness), sink, checkpoint)
 
 
 def replay_messages(events: DataFrame, sessions: DataFrame) -> DataFrame:
