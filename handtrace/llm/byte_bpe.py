@@ -32,20 +32,24 @@ from .common import bounded_batches
 
 SHORT = 64
 STRETCH = 200_000  # pieces that are encoded together
-QUERY_BYTES = 500_000  # bytes of new pieces in one query
+QUERY_BYTES = 400_000  # bytes of new pieces in one query
 CACHED = 300_000
 
-#: The leftmost pair of least rank of each short piece, until none is left.
+#: The leftmost pair of least rank of each short piece, until none is left. Places are numbered through all
+#: pieces with a gap between two, so that a token's end is the place of its neighbour in the piece alone.
 CONTRACT_ONE = """
 WITH RECURSIVE step(piece, pos, stop, id, done) AS (
   SELECT piece, pos, pos + 1, id, false FROM start_rows
   UNION ALL
-  (WITH best AS (
-     SELECT l.piece, min({'rank': rank, 'pos': l.pos, 'gone': r.pos, 'stop': r.stop}) AS b
-     FROM step l JOIN step r ON r.piece = l.piece AND r.pos = l.stop JOIN merges ON left_id = l.id AND right_id = r.id
-     WHERE NOT l.done AND NOT r.done GROUP BY l.piece)
-   SELECT piece, pos, CASE WHEN pos = b.pos THEN b.stop ELSE s.stop END, CASE WHEN pos = b.pos THEN b.rank ELSE id END, b IS NULL
-   FROM step s LEFT JOIN best USING (piece) WHERE NOT done AND (b IS NULL OR pos <> b.gone)))
+  (WITH pairs AS (
+     SELECT l.piece, l.pos, r.pos AS gone, r.stop, rank, rank::BIGINT << 32 | l.pos AS turn
+     FROM step l JOIN step r ON r.pos = l.stop JOIN merges ON pair = l.id::BIGINT << 20 | r.id
+     WHERE NOT l.done AND NOT r.done),
+   best AS (SELECT min(turn) AS turn FROM pairs GROUP BY piece),
+   hits AS (SELECT pairs.* FROM pairs JOIN best USING (turn))
+   SELECT s.piece, s.pos, CASE WHEN s.pos = h.pos THEN h.stop ELSE s.stop END, CASE WHEN s.pos = h.pos THEN rank ELSE id END,
+          h.piece IS NULL
+   FROM step s LEFT JOIN hits h ON h.piece = s.piece WHERE NOT done AND (h.piece IS NULL OR s.pos <> h.gone)))
 SELECT piece, pos, id FROM step WHERE done
 """
 
@@ -61,7 +65,7 @@ WITH RECURSIVE step(piece, pos, id, done) AS (
      FROM step WHERE NOT done WINDOW w AS (PARTITION BY piece ORDER BY pos)),
    pairs AS (
      SELECT near.*, rank, min(rank) OVER (PARTITION BY piece) AS least
-     FROM near LEFT JOIN merges ON left_id = id AND right_id = right_one),
+     FROM near LEFT JOIN merges ON pair = id::BIGINT << 20 | right_one),
    runs AS (
      SELECT *, coalesce(rank = least, false) AS hit,
             n - row_number() OVER (PARTITION BY piece, coalesce(rank = least, false) ORDER BY pos) AS run
@@ -72,8 +76,8 @@ WITH RECURSIVE step(piece, pos, id, done) AS (
      SELECT *, CASE WHEN lag(kept, 2, false) OVER (PARTITION BY piece ORDER BY pos) THEN least ELSE left_one END AS before FROM picked),
    lower AS (
      SELECT s.*, min(CASE WHEN kept AND (l.rank < least OR r.rank < least) THEN pos END) OVER (PARTITION BY piece) AS last_one
-     FROM sides s LEFT JOIN merges l ON l.left_id = before AND l.right_id = least
-                  LEFT JOIN merges r ON r.left_id = least AND r.right_id = beyond),
+     FROM sides s LEFT JOIN merges l ON l.pair = before::BIGINT << 20 | least
+                  LEFT JOIN merges r ON r.pair = least::BIGINT << 20 | beyond),
    joined AS (SELECT *, kept AND pos <= coalesce(last_one, pos) AS here FROM lower),
    out AS (SELECT *, lag(here, 1, false) OVER (PARTITION BY piece ORDER BY pos) AS gone FROM joined)
    SELECT piece, pos, CASE WHEN here THEN least ELSE id END, least IS NULL FROM out WHERE NOT gone))
@@ -81,8 +85,11 @@ SELECT piece, pos, id FROM step WHERE done
 """
 
 COLLECT = """
-SELECT string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes, count(*) AS n
-FROM tokens JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece
+WITH pieces AS (
+  SELECT piece, list({'name': name, 'hex': hex} ORDER BY pos) AS tokens, count(*) AS n FROM tokens JOIN vocabulary USING (id) GROUP BY piece)
+SELECT array_to_string(list_transform(tokens, lambda t: t.name), ' ') AS ids,
+       unhex(array_to_string(list_transform(tokens, lambda t: t.hex), '')) AS bytes, n
+FROM pieces ORDER BY piece
 """
 
 
@@ -95,12 +102,13 @@ class RankCoder:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.cache: dict[str, tuple[str, bytes, int]] = {}
-        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
+        splits = [(self.ranks[t[:i]] << 20 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                   if t[:i] in self.ranks and t[i:] in self.ranks]
-        names = list(self.ranks)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        merges = pa.table(dict(zip(("left_id", "right_id", "rank"), (pa.array(c, pa.int32()) for c in zip(*splits)))))
-        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in names]})
+        pairs, found = zip(*splits)
+        merges = pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(found, pa.int32())})
+        vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "name": [str(i) for i in self.ranks.values()],
+                               "hex": [t.hex() for t in self.ranks]})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows_in", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
@@ -110,9 +118,9 @@ class RankCoder:
         """(piece, pos, id) rows of the final tokens."""
         sizes = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
+        order = np.repeat(np.arange(len(pieces)), sizes)
         rows = pa.table({
-            "piece": np.repeat(numbers, sizes), "id": self.byte_ids[data],
-            "pos": (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)})
+            "piece": numbers[order], "id": self.byte_ids[data], "pos": (np.arange(len(data)) + order).astype(np.int32)})
         self.db.register("start_rows", rows)
         done = self.db.sql(query).to_arrow_table()
         self.db.unregister("start_rows")
