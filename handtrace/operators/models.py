@@ -7,7 +7,7 @@ their size depends on features, classes and trees, not on the rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,14 +26,6 @@ from ..constants import STD_FLOOR
 from ..functions.exprs import hashed, ratio, uniform
 from ..functions.ordered import Ordered
 
-SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def register_scorer(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
-    """Extension point: a named scorer maps a feature frame to (…, score)."""
-    SCORERS[name] = fn
-
-
 # ---------------------------------------------------------------- preparation
 def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """NULL -> 0 in the model inputs."""
@@ -50,9 +42,9 @@ def scale_like(train: DataFrame, df: DataFrame, features: Sequence[str]) -> Data
 
 
 def with_balance(df: DataFrame, label: str) -> DataFrame:
-    """Row weight n / (classes * n_class); the class table has one row per class."""
+    """Row weight n / (classes * n_class); Spark picks the join by the class table's size."""
     from .stats import class_weights
-    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight"))), label)
+    return df.join(class_weights(df, label).select(label, F.col("weight")), label)
 
 
 # ---------------------------------------------------------------- identification
@@ -63,7 +55,7 @@ def _estimator(kind: str, seed: int):
     base = {
         "boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=seed),
         "linear_svc": LinearSVC(maxIter=20), "logistic": LogisticRegression(maxIter=20)}[kind]
-    return OneVsRest(classifier=base, **common)
+    return OneVsRest(classifier=base, weightCol="weight", **common)
 
 
 def fit_identifier(train: DataFrame, features: Sequence[str], label: str = "player", kind: str = "forest",
@@ -93,6 +85,25 @@ def identify(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> Da
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
+def score_windows(model: PipelineModel, train: DataFrame, df: DataFrame, features: Sequence[str], ident: str,
+                  contamination: float = 0.05, trees: int = 50, seed: int = 0) -> DataFrame:
+    """Rows of ``df`` with ``y_pred``, ``proba`` (class map), ``anomaly_score`` and ``is_anomaly``.
+
+    The isolation forest grows on the scaled training rows; a row is anomalous if its score lies above
+    the ``1 - contamination`` percentile of theirs.  ``ident`` numbers the rows of both tables.
+    """
+    from ..functions.ordered import exact_percentiles, slices_for
+    columns = list(features)
+    parts = [scale_like(train, d, columns).select(F.col(ident), F.array(*columns).alias("_v")) for d in (train, df)]
+    both = parts[0].withColumn("_fit", F.lit(True)).unionByName(parts[1].withColumn("_fit", F.lit(False)))
+    scored = isolation_forest(parts[0], both, ident, "_v", trees, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    known = scored.where("_fit")
+    limit = exact_percentiles(known, [], {"_limit": ("score", 1 - contamination)}, slices_for(known.count()))
+    flagged = scored.where("not _fit").crossJoin(F.broadcast(limit)).select(  # one row
+        ident, F.col("score").alias("anomaly_score"), (F.col("score") > F.col("_limit")).alias("is_anomaly"))
+    return identify(model, df, columns).join(flagged, ident)
+
+
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     from pyspark.sql import SparkSession
     values = model.stages[2].featureImportances.toArray()
@@ -292,7 +303,7 @@ def isolation_forest(train: DataFrame, df: DataFrame, ident: str, vector: str, t
              .withColumn("tree", ((hashed(seed, F.col("i")) + F.col("c")) % trees).cast("int")))
     limit = math.ceil(math.log2(max(sample, 2)))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "c"])
         nodes = _grow(np.stack(pdf["v"].to_numpy()), np.random.default_rng(seed * 1_000_003 + int(key[0])), limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "path"])
@@ -361,19 +372,61 @@ def roster_curve(train: DataFrame, test: DataFrame, features: Sequence[str], lab
 
 
 def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequence[str], columns: Sequence[str],
-                           positive: str, label: str, ident: str, seed: int = 0, slices: int = 1) -> DataFrame:
-    """Loss of AUC for one class when a column is shuffled; the loop is over ``columns``."""
-    from .metrics import roc_auc
+                           positive: str, label: str, ident: str, seed: int = 0, slices: int = 1,
+                           repeats: int = 1) -> DataFrame:
+    """(feature, auc_drop, auc_std): loss of AUC for one class when a column is shuffled, mean over the repeats.
 
-    def scored(df: DataFrame, name: str) -> DataFrame:
-        s = identify(model, df, features)
-        return s.select(F.lit(name).alias("feature"), F.element_at("proba", positive).alias("score"),
-                        (F.col(label) == positive).alias("positive"))
-
-    pool = scored(test, "")
-    for c in columns:
-        pool = pool.unionByName(scored(permute_column(test, c, ident, seed, slices), c))
-    auc = roc_auc(pool, ["feature"], slices)
-    base = auc.filter("feature = ''").select(F.col("auc").alias("_base"))
-    return auc.filter("feature <> ''").crossJoin(F.broadcast(base)).select(  # one row
-        "feature", (F.col("_base") - F.col("auc")).alias("auc_drop"))
+    A repeat pairs every row once with the row in its place of the keyed-hash order. All columns are taken
+    from that partner in turn, so one join and one scoring pass serve every column.
+    """
+    from .metrics import roc_auc
+    names = list(features)
+    at = [i for i, n in enumerate(model.stages[0].labels) if n == positive][0]
+    base = filled(test, names).select(ident, F.col(label).alias("_label"), F.array(*names).alias("_own"))
+    pool = base.select(F.lit(-1).alias("repeat"), F.lit("").alias("feature"), "_label", F.col("_own").alias("_v"))
+    for i in range(repeats):
+        hash_ = hashed(seed + i, F.col(ident))
+        ranked = Ordered((), (ident,), slices).apply(base, position="_at")
+        values = Ordered((), ("_h", ident), slices).apply(
+            base.select(ident, F.col("_own").alias("_other")).withColumn("_h", hash_), position="_at")
+        paired = ranked.join(values.select("_at", "_other"), "_at")
+        variants = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(names.index(c)).alias("_i")) for c in columns])
+        shuffled = F.transform("_own", lambda x, j: F.when(j == F.col("_i"), F.get("_other", j)).otherwise(x))
+        pool = pool.unionByName(paired.select("_label", "_own", "_other", F.inline(variants)).select(
+            F.lit(i).alias("repeat"), "feature", "_label", shuffled.alias("_v")))
+    scored = model.stages[2].transform(pool.withColumn("features", array_to_vector("_v")))
+    auc = roc_auc(scored.select("repeat", "feature", F.get(vector_to_array("probability"), F.lit(at)).alias("score"),
+                                (F.col("_label") == positive).alias("positive")), ["repeat", "feature"], slices)
+    whole = auc.filter("feature = ''").select(F.col("auc").alias("_base"))
+    return auc.filter("feature <> ''").crossJoin(F.broadcast(whole)).groupBy("feature").agg(  # one row
+        F.avg(F.col("_base") - F.col("auc")).alias("auc_drop"), F.stddev_pop("auc").alias("auc_std"))
+
+
+def feature_ablation(train: DataFrame, test: DataFrame, groups: Mapping[str, Sequence[str]], label: str,
+                     seeds: Sequence[int] = (7,), kind: str = "forest") -> DataFrame:
+    """(group, n_features, only_accuracy, leave_out_accuracy, full_accuracy, drop_cost), means over the seeds.
+
+    Per group one model on its features alone and one on all others; drop_cost is what leaving the group
+    out costs against the model on all features. The loop is over groups and seeds.
+    """
+    from .metrics import classification_report
+    everything = [f for g in groups.values() for f in g]
+    trials = {("full", ""): everything}
+    for name, own in groups.items():
+        trials["only", name] = list(own)
+        trials["leave_out", name] = [f for f in everything if f not in own]
+    reports = None
+    for (part, name), columns in trials.items():
+        for seed in seeds:
+            model = fit_identifier(train, columns, label, kind, seed)
+            found = classification_report(identify(model, test, columns), label, "y_pred").select(
+                F.lit(part).alias("part"), F.lit(name).alias("group"), "accuracy").distinct()
+            reports = found if reports is None else reports.unionByName(found)
+    means = reports.groupBy("part", "group").agg(F.avg("accuracy").alias("accuracy"))
+    whole = means.where("part = 'full'").select(F.col("accuracy").alias("full_accuracy"))
+    table = means.where("part <> 'full'").groupBy("group").pivot("part", ["only", "leave_out"]).agg(F.first("accuracy"))
+    sizes = F.create_map(*[F.lit(x) for n, own in groups.items() for x in (n, len(own))])
+    return table.crossJoin(F.broadcast(whole)).select(  # one row
+        "group", sizes[F.col("group")].alias("n_features"), F.col("only").alias("only_accuracy"),
+        F.col("leave_out").alias("leave_out_accuracy"), "full_accuracy",
+        (F.col("full_accuracy") - F.col("leave_out")).alias("drop_cost"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CHEAT_FEATURES, ID_FEATURES, KEYBOARD_FEATURES
+from ..constants import CHEAT_FEATURES, FEATURE_GROUPS, ID_FEATURES
 from ..functions.exprs import rounded, uniform
 from ..operators import metrics as m, models as md, sequence as sq
 from ..operators.splits import random_subsets
 from ..session import cut_lineage
 from ..sources.tables import table, telemetry
-from .evaluation_queries import DRAW, folds, table_slices
+from .evaluation_queries import _SPLIT, DRAW, folds, table_slices
 from .registry import query, r
 from .sequence_queries import CHUNK, channels
-from .window_queries import feature_table
+from .views import with_sql
+from .window_queries import feature_table, rounded_features
 
 
 def embedding_rows(spark, sf):
@@ -99,8 +100,7 @@ def chunk_embedding(spark, sf):
     chunks = labelled_chunks(spark, sf)
     model, mean = md.fit_projection(chunks.filter("label = 'legit'"), 16)
     e = md.embed(chunks, model, mean)
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return rounded(e.select("session_id", "chunk_idx", length.alias("norm")))
+    return rounded(e.select("session_id", "chunk_idx", F.posexplode("embedding").alias("component", "value")))
 
 
 @query("channel_attribution")
@@ -117,11 +117,18 @@ def identification(spark, sf):
     return f.filter("fold = 'train'"), f.filter("fold <> 'train'")
 
 
-@query("scaled_inputs")
+_FILLED = ", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in ID_FEATURES)
+_STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ID_FEATURES)
+
+
+@query("scaled_inputs", with_sql("features", _SPLIT.strip() + f""",
+zf AS (SELECT session_id, window_idx, fold, {_FILLED} FROM feat JOIN (SELECT session_id, fold FROM folds) USING (session_id)),
+zs AS (SELECT {_STATS} FROM zf WHERE fold = 'train')""", "SELECT session_id, window_idx, " + ", ".join(
+    r(f"({c} - m_{c}) / CASE WHEN s_{c} < 1e-6 THEN 1.0 ELSE s_{c} END", c, 2 if c == "mouse_key_ratio" else 6)
+    for c in ID_FEATURES) + " FROM zf, zs WHERE fold <> 'train'"))
 def scaled_inputs(spark, sf):
     train, test = identification(spark, sf)
-    s = md.scale_like(train, test, ["speed_mean", "jitter", "iki_mean"])
-    return rounded(s.select("session_id", "window_idx", "speed_mean", "jitter", "iki_mean"))
+    return rounded_features(md.scale_like(train, test, ID_FEATURES).select("session_id", "window_idx", *ID_FEATURES))
 
 
 @query("player_identification")
@@ -132,20 +139,25 @@ def player_identification(spark, sf):
     return rounded(m.classification_report(md.identify(model, test, ID_FEATURES), "player", "y_pred"))
 
 
+def window_id(df):
+    return df.withColumn("row", F.xxhash64("session_id", "window_idx"))
+
+
 @query("batch_scoring")
 def batch_scoring(spark, sf):
-    train, test = identification(spark, sf)
-    model = md.fit_identifier(train, ID_FEATURES)
-    s = md.identify(model, test, ID_FEATURES)
-    return rounded(s.select("session_id", "window_idx", "y_pred", F.array_max(F.map_values("proba")).alias("confidence")))
+    """Every held-out window: probability of every player, anomaly score and flag."""
+    train, test = map(window_id, identification(spark, sf))
+    s = md.score_windows(md.fit_identifier(train, ID_FEATURES), train, test, ID_FEATURES, "row")
+    return rounded(s.select("session_id", "window_idx", "y_pred", "anomaly_score", "is_anomaly",
+                            F.explode("proba").alias("player", "probability")))
 
 
 @query("model_alternatives")
 def model_alternatives(spark, sf):
     train, test = identification(spark, sf)
+    scaled, held = (cut_lineage(md.scale_like(train, d, ID_FEATURES)) for d in (train, test))
     out = None
-    for kind in ("forest", "logistic", "linear_svc"):
-        scaled, held = (md.scale_like(train, d, ID_FEATURES) for d in (train, test))
+    for kind in ("forest", "boosted", "logistic", "linear_svc"):
         s = md.identify(md.fit_identifier(scaled, ID_FEATURES, kind=kind), held, ID_FEATURES)
         rep = m.classification_report(s, "player", "y_pred").withColumn("model", F.lit(kind))
         out = rep if out is None else out.unionByName(rep)
@@ -160,15 +172,9 @@ def feature_importance(spark, sf):
 
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    """Accuracy with one feature group only and with that group left out."""
+    """Accuracy with each feature group only, without it, and what leaving it out costs."""
     train, test = identification(spark, sf)
-    groups = {"keyboard": KEYBOARD_FEATURES, "mouse": [f for f in ID_FEATURES if f not in KEYBOARD_FEATURES]}
-    out = None
-    for name, cols in groups.items():
-        s = md.identify(md.fit_identifier(train, cols), test, cols)
-        rep = m.classification_report(s, "player", "y_pred").select(F.lit(name).alias("only"), "accuracy", "n")
-        out = rep if out is None else out.unionByName(rep)
-    return rounded(out)
+    return rounded(md.feature_ablation(train, test, FEATURE_GROUPS, "player"))
 
 
 @query("identity_under_cheating")
@@ -185,7 +191,10 @@ def identity_under_cheating(spark, sf):
     return rounded(out)
 
 
-@query("permutation_shuffle")
+@query("permutation_shuffle", f"""
+  WITH o AS (SELECT c_acctbal, c_nationkey, row_number() OVER (ORDER BY c_custkey) AS own,
+      row_number() OVER (ORDER BY ('0x' || substr(md5('3|' || c_custkey), 1, 15))::BIGINT, c_custkey) AS other FROM customer)
+  SELECT a.c_nationkey, {r('sum(b.c_acctbal)', 'total', 2)}, count(*) AS n FROM o a JOIN o b ON a.own = b.other GROUP BY 1""")
 def permutation_shuffle(spark, sf):
     """The shuffle step of permutation importance: one column in keyed-hash order."""
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
@@ -201,19 +210,16 @@ def component_loadings(spark, sf):
 
 @query("roster_curve")
 def roster_curve(spark, sf):
-    """Accuracy over rosters of three players, two draws."""
+    """Accuracy over rosters of three players, three draws."""
     train, test = identification(spark, sf)
-    subsets = random_subsets(train.select("player"), "player", 3, 2)
-    return rounded(md.roster_curve(train, test, ID_FEATURES, "player", subsets, [0, 1]))
+    subsets = random_subsets(train.select("player"), "player", 3, 3)
+    return rounded(md.roster_curve(train, test, ID_FEATURES, "player", subsets, [0, 1, 2]))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    """AUC lost for player p0 when single columns are shuffled."""
-    train, test = identification(spark, sf)
-    named = test.withColumn("row", F.concat_ws("|", "session_id", F.col("window_idx").cast("string")))
-    hashed_id = named.withColumn("row", F.xxhash64("row"))
+    """AUC lost for player p0 when a column is shuffled, every column, eight repeats."""
+    train, test = map(window_id, identification(spark, sf))
     model = md.fit_identifier(train, ID_FEATURES)
     return rounded(md.permutation_importance(
-        model, hashed_id, ID_FEATURES, ["event_rate", "speed_mean", "iki_mean"], "p0", "player", "row",
-        slices=table_slices(spark, sf, "events")))
+        model, test, ID_FEATURES, ID_FEATURES, "p0", "player", "row", slices=table_slices(spark, sf, "events"), repeats=8))
