@@ -71,7 +71,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m")
                  .select(F.col("x").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        links = written(small, "links")
+        before, links = links, written(small, "links")
+        drop_written(before)
         now = digest(links)
         if now == seen:
             break

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import runs
-from .common import bounded_batches, components, text_key, written
+from .common import bounded_batches, components, drop_written, text_key, written
 from .textvec import STEP, Words, byte_slices, mix, salt, shingles
 
 SHINGLE = 5
@@ -328,6 +328,7 @@ def line_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     similar, and a class has one if it is similar to any of an earlier document.
     """
     found: list[DataFrame] = []
+    read = [members]  # written tables behind the state
     state = members.withColumn("component", F.col("class")).withColumn("known", F.lit(False)).withColumn("used", F.lit(False))
     while True:
         span = state.groupBy("band").agg(
@@ -336,18 +337,24 @@ def line_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             F.min(F.when(~F.col("known") & ~F.col("used"), F.struct("node", "class", "component", "known"))).alias("pivot"))
         span = span.where("low <> high or last > first").select("band", "pivot")
         state = written(state.join(span, "band"), "members")
+        drop_written(*read)
         if len(found) == PIVOT_ROUNDS:
             found.append(written(line_blocks(state, sets), "links"))
-            return reduce(DataFrame.unionByName, found)
+            links = written(reduce(DataFrame.unionByName, found), "links")
+            drop_written(state, *found)
+            return links
         own, other = F.struct("node", "class", "component", "known"), F.col("pivot")
         pairs = state.where("pivot is not null and node <> pivot.node").select(
             F.greatest(own, other).alias("x"), F.least(own, other).alias("y"))
         pairs = pairs.where("x.component <> y.component or not x.known").select(
             F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.node").alias("node_a"),
             F.col("y.node").alias("node_b")).distinct()
-        found.append(written(verified_lines(written(pairs, "pairs"), sets), "links"))
+        pairs = written(pairs, "pairs")
+        found.append(written(verified_lines(pairs, sets), "links"))
+        drop_written(pairs)
         links = reduce(DataFrame.unionByName, found)
         joined = written(components(links.select("a", "b")).withColumnRenamed("node", "class"), "components")
+        read = [state, joined]
         known = links.select(F.col("a").alias("class")).distinct().withColumn("late", F.lit(True))
         state = state.withColumn("used", F.col("used") | F.coalesce(F.col("class") == F.col("pivot.class"), F.lit(False)))
         state = state.drop("component", "known", "pivot").join(joined, "class", "left").join(known, "class", "left")
@@ -414,8 +421,22 @@ def with_first(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first, key).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
+def involved_texts(docs: DataFrame, units: DataFrame, again: DataFrame, involved: DataFrame) -> DataFrame:
+    """(node, text) of the involved documents, a written table.
+
+    Only documents that occur several times are made distinct, so that other texts are dealt once.
+    """
+    where = units.join(involved, "node").join(again.select(F.col("first").alias("node"), F.lit(True).alias("many")), "node", "left")
+    same = docs.withColumn("_key", text_key())
+    match = same["doc_id"].cast("long").eqNullSafe(where["doc_id"]) & (same["_key"] == where["key"])
+    found = written(same.join(where, match).select("node", "text", F.coalesce("many", F.lit(False)).alias("many")), "texts")
+    once = found.where("not many").unionByName(found.where("many").dropDuplicates(["node"])).drop("many")
+    once.written_path = found.written_path
+    return once
+
+
 def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, passages): (node, doc_id, key) and the verified (a, b, start, stop) to be removed.
+    """(documents, passages), written: (node, doc_id, key) and the verified (a, b, start, stop) to be removed.
 
     Rows with equal doc_id and text are one document, whose node is that of the first of them.
     """
@@ -423,10 +444,11 @@ def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text").where("text is not null")
     rows = written(paragraph_keys(docs), "paragraphs")
     again = rows.groupBy("doc_id", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = again.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    again = written(again.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "again")  # small, as a rule
     extra = rows.join(again, rows["doc_id"].eqNullSafe(again["_id"]) & (rows["key"] == again["_key"]))
-    extra = written(extra.where("node <> first").select("node"), "repeated")  # small, as a rule
+    extra = written(extra.where("node <> first").select("node"), "repeated")
     units = rows.join(extra, "node", "left_anti")
+    nodes = written(units.select("node", "doc_id", "key"), "nodes")
     flat = units.select("node", F.explode("bands").alias("band"))
     pairs = written(with_first(flat, "band"), "pairs")
     lines = units.select("node", F.explode("lines").alias("l")).select("node", "l.start", "l.size", "l.class", "l.keys")
@@ -438,18 +460,19 @@ def shared_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(flat.join(shared.select("band"), "band"), "members")
     involved = reduce(DataFrame.unionByName, [pairs.select(F.col("a").alias("node")), pairs.select(F.col("b").alias("node")),
                                               members.select("node")]).distinct()
-    where = units.select("node", "doc_id", "key").join(involved, "node")
-    same = docs.withColumn("_key", text_key())
-    match = same["doc_id"].cast("long").eqNullSafe(where["doc_id"]) & (same["_key"] == where["key"])
-    texts = written(same.join(where, match).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = involved_texts(docs, nodes, again, involved)
     once = written(compare(pairs, texts), "compared")
     windows = once.where("window is not null").select(F.col("a").alias("node"), "window").distinct()
     more = with_first(windows, "window").join(pairs, ["a", "b"], "left_anti")
-    again = written(compare(more, texts), "compared")
-    links = line_links(members, written(line_sets(members, texts), "sets"))
-    found = once.unionByName(again).where("start is not null").select("a", "b", "start", "stop")
-    found = found.unionByName(repeated_lines(lines.drop("keys"), classes, links))
-    return units.select("node", "doc_id", "key"), found
+    more = written(compare(more, texts), "compared")
+    sets = written(line_sets(members, texts), "sets")
+    drop_written(again, pairs, texts)
+    links = line_links(members, sets)
+    drop_written(sets)
+    found = once.unionByName(more).where("start is not null").select("a", "b", "start", "stop")
+    found = written(found.unionByName(repeated_lines(lines.drop("keys"), classes, links)), "passages")
+    drop_written(rows, extra, once, more, classes, links)
+    return nodes, found
 
 
 def cut(text: pa.Array, spans: list) -> list[str]:
@@ -476,7 +499,6 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     connected by shared passages), passages (word intervals removed), n_words_removed.
     """
     nodes, found = shared_passages(docs)
-    found = written(found, "passages")
     groups = components(found.select("a", "b"))
     spans = found.groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("start", "stop")).alias("passages"))
     placed = nodes.join(groups, "node").join(spans, "node", "left")
