@@ -8,8 +8,9 @@ least by a hash of their id. Scoring covers every whole text inside Spark tasks:
 after averaging, so each feature row is reduced to its two logits beforehand, a table of fixed size.
 
 Cases: an empty or null text scores as the learned prior; without labelled rows every score is 0.5;
-null labels are not learned from; a document with several label rows counts once for each; repeated
-rows give a row each; extra columns are ignored.
+null labels are not learned from; a document counts once for each label that it has, with its least text
+where an id has several; repeated rows give a row each; an input column ``quality_score`` is replaced,
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -72,6 +73,9 @@ def fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+SAMPLE = pa.schema([("label", pa.int32()), ("rows", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
+
+
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, rows, shares) of the bounded sample of labelled documents outside the held-out fold."""
     usable = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", 5) != 0)).select(
@@ -80,6 +84,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     parts = [usable.where(F.col("label") == k).orderBy(order, "_id").limit(PER_LABEL) for k in (0, 1)]
     picked = parts[0].unionByName(parts[1])  # 2 * PER_LABEL rows of two numbers at most
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", "label").agg(F.min("text").alias("text"))  # one text of an id that is repeated
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,17 +125,28 @@ def train(sample: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of every feature row, bias), trained by one task over the bounded sample."""
     bounded_batches(docs.sparkSession)
-    found = training_sample(docs, labels).toArrow()
-    sample = list(zip(found.column("label").to_pylist(), list_values(found, "rows"), list_values(found, "shares")))
-    sample.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return train([x for x in sample if len(x[1])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches), schema=SAMPLE)
+        sample = list(zip(found.column("label").to_pylist(), list_values(found, "rows"), list_values(found, "shares")))
+        sample.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+        logits, bias = train([x for x in sample if len(x[1])])
+        yield pa.RecordBatch.from_arrays([pa.array([logits.tobytes()]), pa.array([bias.tobytes()])], ["logits", "bias"])
+
+    sample = training_sample(docs, labels).repartition(1)  # 2 * PER_LABEL rows at most
+    model = sample.mapInArrow(run, "logits binary, bias binary").first()
+    if model is None:
+        return train([])
+    return np.frombuffer(model["logits"], np.float32).reshape(-1, 2), np.frombuffer(model["bias"], np.float32)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """All columns of ``docs`` and quality_score, the probability of label 1."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = docs.drop("quality_score")
     logits, bias = model
     shared = spark.sparkContext.broadcast((logits[:, 1] - logits[:, 0], float(bias[1] - bias[0])))
     at = docs.columns.index("text")
