@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hashed, ratio
-from ..functions.ordered import aggregate, join_keys, Ordered
+from ..functions.ordered import Ordered, aggregate, join_keys
+from ..session import cut_lineage
 from .stats import mid_ranks
 
 
@@ -79,7 +80,7 @@ def det_points(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     ends = pts.groupBy(*keys).agg(
         F.max(F.when(F.col("tp") == F.col("pos"), F.col("threshold"))).alias("_from"),
         F.min(F.struct("fp", "threshold"))["threshold"].alias("_to"))
-    joined = pts.join(ends, list(keys)) if keys else pts.crossJoin(F.broadcast(ends))  # one row
+    joined = join_keys(pts, ends, keys) if keys else pts.crossJoin(F.broadcast(ends))  # one row
     inside = (F.col("threshold") >= F.col("_from")) & (F.col("threshold") <= F.col("_to"))
     return joined.filter(inside).select(*keys, "threshold", "far", "frr")
 
@@ -191,57 +192,82 @@ def brier(predictions: DataFrame, truth: str, proba: str = "proba") -> DataFrame
     return predictions.agg(F.avg(row).alias("brier"))
 
 
-def bootstrap(predictions: DataFrame, draws: int, correct: Column, ident: str, slices: int = 1) -> DataFrame:
-    """Percentile interval of accuracy over ``draws`` resamples.
+def _resampled(rows: DataFrame, draws: int, ident: str, values: Sequence[str], by: Sequence[str], slices: int) -> DataFrame:
+    """(by, draw, values): rows that the places of every draw pick, md5 mod n, separately per ``by``."""
+    keys = list(by)
+    numbered = Ordered(tuple(keys), (ident,), slices).apply(rows.select(*keys, ident, *values), position="_at")
+    size = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    places = numbered.select(*keys, F.col("_at").alias("place"))
+    places = join_keys(places, size, keys) if keys else places.crossJoin(F.broadcast(size))  # one row
+    picked = places.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+        "_at", hashed(F.col("draw"), F.col("place")) % F.col("_n"))
+    return join_keys(picked.drop("place", "_n"), numbered.select(*keys, "_at", *values), [*keys, "_at"]).drop("_at")
 
-    Rows are numbered once, then every (draw, place) picks row md5 mod n.  The pick
-    counts are aggregated per (draw, hit) before anything else, so the cost is
-    draws * n cheap rows and no draw is ever held as a whole.
+
+def _interval(per: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return aggregate(per, list(by), [F.count(F.lit(1)).alias("draws"), F.avg(value).alias("mean")],
+                     {"low": (value, 0.025), "high": (value, 0.975)}, 1)
+
+
+def bootstrap(predictions: DataFrame, draws: int, truth: str, predicted: str, ident: str, by: Sequence[str] = (),
+              slices: int = 1) -> DataFrame:
+    """(by, metric, draws, mean, low, high): percentile intervals of accuracy and macro F1.
+
+    Picks are counted per (draw, truth, prediction) at once, so everything after the draw works on one
+    confusion table per draw. F1 is taken over the classes that a draw holds as truth or prediction.
     """
-    numbered = Ordered((), (ident,), slices).apply(
-        predictions.select(ident, correct.cast("int").alias("_hit")), position="_at")
-    size = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    places = numbered.select(F.col("_at").alias("place")).crossJoin(F.broadcast(size)).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = places.withColumn("_at", hashed(F.col("draw"), F.col("place")) % F.col("_n"))
-    per = picked.join(numbered.select("_at", "_hit"), "_at").groupBy("draw").agg(F.avg("_hit").alias("accuracy"))
-    return aggregate(per, [], [F.count(F.lit(1)).alias("draws"), F.avg("accuracy").alias("mean")],
-                     {"low": ("accuracy", 0.025), "high": ("accuracy", 0.975)}, 1)
-
-
-def bootstrap_auc(scored: DataFrame, draws: int, ident: str, slices: int = 1) -> DataFrame:
-    """Percentile interval of the AUC; draws with one class only are skipped."""
-    numbered = Ordered((), (ident,), slices).apply(scored.select(ident, "score", "positive"), position="_at")
-    size = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    places = numbered.select(F.col("_at").alias("place")).crossJoin(F.broadcast(size)).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = places.withColumn("_at", hashed(F.col("draw"), F.col("place")) % F.col("_n"))
-    drawn = picked.join(numbered.select("_at", "score", "positive"), "_at")
-    per = roc_auc(drawn, ["draw"], slices).filter(F.col("auc").isNotNull())
-    return aggregate(per, [], [F.count(F.lit(1)).alias("draws"), F.avg("auc").alias("mean")],
-                     {"low": ("auc", 0.025), "high": ("auc", 0.975)}, 1)
+    keys = [*by, "draw"]
+    cells = _resampled(predictions.select(*by, ident, F.col(truth).alias("_t"), F.col(predicted).alias("_p")), draws, ident,
+                       ["_t", "_p"], by, slices).groupBy(*keys, "_t", "_p").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("_t").eqNullSafe(F.col("_p")), F.col("n")).otherwise(0)
+    sides = F.inline(F.array(
+        F.struct(F.col("_t").alias("cls"), F.col("n").alias("side"), hit.alias("hit")),
+        F.struct(F.col("_p").alias("cls"), F.col("n").alias("side"), F.lit(0).cast("long").alias("hit"))))
+    classes = cells.select(*keys, sides).groupBy(*keys, "cls").agg(
+        F.sum("hit").alias("hit"), F.sum("side").alias("sides"))
+    per = classes.groupBy(*keys).agg(
+        (F.sum("hit") / (F.sum("sides") / 2)).alias("accuracy"), F.avg(2 * F.col("hit") / F.col("sides")).alias("macro_f1"))
+    long = per.unpivot(keys, ["accuracy", "macro_f1"], "metric", "value")
+    return _interval(long, [*by, "metric"], "value")
+
+
+def bootstrap_auc(scored: DataFrame, draws: int, ident: str, by: Sequence[str] = (), slices: int = 1) -> DataFrame:
+    """(by, draws, mean, low, high) of the AUC; draws with one class only are skipped."""
+    drawn = _resampled(scored, draws, ident, ["score", "positive"], by, slices)
+    per = roc_auc(drawn, [*by, "draw"], slices).filter(F.col("auc").isNotNull())
+    return _interval(per, by, "auc")
 
 
 def benchmark_grid(scores: DataFrame, negative: str = "legit", slices: int = 1) -> DataFrame:
     """detector x label: every label against the shared negatives of its detector.
 
-    Input (detector, label, score).  Negatives are repeated once per label, i.e. by the
-    number of cheat names.
+    Input (detector, label, score). One relation holds, per detector and score, how many negatives lie below
+    and above; the labels' own counts meet it, so negatives are never copied. Rank sums, precision at hits and
+    the best rate within a false-positive limit only change at scores of a label's own rows.
     """
-    positives = scores.filter(F.col("label") != negative).withColumn("positive", F.lit(True))
-    names = positives.select("detector", "label").distinct()
-    negatives = scores.filter(F.col("label") == negative).drop("label").join(names, "detector").withColumn("positive", F.lit(False))
-    pool = positives.select("detector", "label", "score", "positive").unionByName(
-        negatives.select("detector", "label", "score", "positive"))
     keys = ["detector", "label"]
-    curve = threshold_counts(pool, keys, slices)
-    means = pool.groupBy(*keys).agg(
-        F.avg(F.when(F.col("positive"), F.col("score"))).alias("mean_cheat"),
-        F.avg(F.when(~F.col("positive"), F.col("score"))).alias("mean_legit"))
-    out = roc_auc(pool, keys, slices)
-    for part in (average_precision(curve, keys), rate_at_fpr(curve, keys), means):
-        out = out.join(part, keys)
-    return out
+    known = scores.filter(F.col("score").isNotNull())
+    is_negative = F.col("label") == negative
+    counts = cut_lineage(known.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_p")))
+    every = counts.groupBy("detector", "score").agg(F.sum(F.when(is_negative, F.col("_p")).otherwise(0)).alias("_n"))
+    every = Ordered(("detector",), ("score",), slices, reverse=True).apply(every, running={"fp": F.col("_n")})
+    negatives = counts.where(is_negative).groupBy("detector").agg(
+        F.sum("_p").alias("neg"), (F.sum(F.col("score") * F.col("_p")) / F.sum("_p")).alias("mean_legit"))
+    own = Ordered(tuple(keys), ("score",), slices, reverse=True).apply(
+        counts.where(~is_negative), running={"tp": F.col("_p")})
+    sizes = counts.where(~is_negative).groupBy(*keys).agg(F.sum("_p").alias("pos"))
+    curve = join_keys(join_keys(join_keys(own, every, ["detector", "score"]), negatives, ["detector"], "left"), sizes, keys)
+    curve = curve.withColumn("neg", F.coalesce("neg", F.lit(0)))
+    below = F.col("neg") - F.col("fp") + F.col("_n") / 2.0
+    points = curve.groupBy(*keys, "pos", "neg", "mean_legit").agg(
+        F.sum(F.col("_p") * below).alias("_wins"),
+        F.sum(ratio(F.col("_p").cast("double"), F.col("pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
+        F.max(F.when(F.col("fp") <= F.lit(0.05) * F.col("neg"), F.col("tp") / F.col("pos"))).alias("_best"),
+        (F.sum(F.col("score") * F.col("_p")) / F.sum("_p")).alias("mean_cheat"))
+    return points.select(
+        *keys, F.col("pos").alias("n_pos"), F.col("neg").alias("n_neg"),
+        ratio(F.col("_wins"), F.col("pos").cast("double") * F.col("neg")).alias("auc"), "ap",
+        F.when(F.col("neg") > 0, F.coalesce("_best", F.lit(0.0))).alias("detection_rate"), "mean_cheat", "mean_legit")
 
 
 def benchmark_pivot(grid: DataFrame, labels: Sequence[str], value: str = "auc") -> DataFrame:

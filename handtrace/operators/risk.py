@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALIBRATION_FLOOR, LOGIT_FLOOR, PRIOR_RISK
 from ..functions.exprs import clip, logit, sigmoid
-from ..functions.ordered import Ordered, aggregate, exact_percentiles
+from ..functions.ordered import Ordered, aggregate, exact_percentiles, join_keys
 
 
 def fit_isotonic(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -82,7 +82,7 @@ def combined_risk(probabilities: DataFrame, prior: float = PRIOR_RISK, keys: Seq
     base = logit(F.lit(prior), LOGIT_FLOOR)
     total = usable.groupBy(*keys).agg(F.sum(logit(F.col("p"), LOGIT_FLOOR)).alias("_sum"))
     everyone = probabilities.select(*keys).distinct()
-    return everyone.join(total, list(keys), "left").select(
+    return join_keys(everyone, total, keys, "left").select(
         *keys, sigmoid(base + F.coalesce("_sum", F.lit(0.0))).alias("risk"))
 
 
@@ -104,23 +104,24 @@ def session_scores(units: DataFrame, slices: int = 1) -> DataFrame:
         "session_id", "detector", F.when(F.col("grain") == "chunk", F.col("_p95")).otherwise(F.col("_max")).alias("score"))
 
 
-def alternative_rollups(units: DataFrame, k: int, threshold: float, slices: int = 1) -> DataFrame:
-    """Mean of the top k scores and share above a threshold per session."""
-    ranked = Ordered(("session_id",), ("score", "unit_idx"), slices, reverse=True).apply(units, position="_at")
-    return ranked.groupBy("session_id").agg(
+def alternative_rollups(units: DataFrame, k: int, threshold: float, slices: int = 1,
+                        keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Mean of the top k scores and share above a threshold per group."""
+    ranked = Ordered(tuple(keys), ("score", "unit_idx"), slices, reverse=True).apply(units, position="_at")
+    return ranked.groupBy(*keys).agg(
         F.avg(F.when(F.col("_at") < k, F.col("score"))).alias("top_mean"),
         F.avg((F.col("score") > threshold).cast("double")).alias("share_above"))
 
 
-def flag_rates(chunks: DataFrame, p: float = 0.95, slices: int = 1) -> DataFrame:
-    """Flag chunks above the legit percentile; hit and false-flag rate per session.
+def flag_rates(chunks: DataFrame, p: float = 0.95, slices: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """Flag units above the legit percentile; hit and false-flag rate per session.
 
-    Input (session_id, score, contains_cheat).
+    Input (session_id, score, contains_cheat); ``by`` names columns with a percentile of their own.
     """
-    limit = exact_percentiles(chunks.filter(~F.col("contains_cheat")), [], {"_limit": ("score", p)}, slices)
-    flagged = chunks.crossJoin(F.broadcast(limit)).withColumn(  # one row
-        "_flag", (F.col("score") > F.col("_limit")).cast("double"))
-    return flagged.groupBy("session_id").agg(
+    limit = exact_percentiles(chunks.filter(~F.col("contains_cheat")), list(by), {"_limit": ("score", p)}, slices)
+    joined = join_keys(chunks, limit, by) if by else chunks.crossJoin(F.broadcast(limit))  # one row
+    flagged = joined.withColumn("_flag", (F.col("score") > F.col("_limit")).cast("double"))
+    return flagged.groupBy("session_id", *by).agg(
         F.count(F.lit(1)).alias("chunks"),
         F.avg(F.when(F.col("contains_cheat"), F.col("_flag"))).alias("hit_rate"),
         F.avg(F.when(~F.col("contains_cheat"), F.col("_flag"))).alias("false_flag_rate"))

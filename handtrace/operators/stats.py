@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import PSI_FLOOR, PSI_MODERATE, PSI_SIGNIFICANT
 from ..functions.exprs import ratio
 from ..functions.ordered import Ordered, aggregate, exact_percentiles, join_keys
+from ..session import cut_lineage
 
 KS_ALPHA = 0.05
 RANK_TEST_MIN = 20
@@ -39,7 +38,7 @@ def _runs(long: DataFrame, is_current: Column, keys: Sequence[str], slices: int)
     run = Ordered(tuple(keys), ("value",), slices).apply(
         counts, running={"_cr": F.col("_r"), "_cc": F.col("_c")})
     totals = counts.groupBy(*keys).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
-    return run.join(totals, list(keys))
+    return join_keys(run, totals, keys)
 
 
 def ks_statistic(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",), slices: int = 1) -> DataFrame:
@@ -70,7 +69,8 @@ def psi(long: DataFrame, is_current: Column, keys: Sequence[str] = ("feature",),
     return _psi(_runs(long, is_current, keys, slices), keys, bins)
 
 
-def _psi(runs: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+def _edges(runs: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """(keys, n_ref, n_cur, _edges, _inner): quantiles of the reference, of which only the inner ones bound bins."""
     # Quantiles are read off the running reference counts: the value holding rank r.
     ends = []
     for i in range(bins + 1):
@@ -84,16 +84,23 @@ def _psi(runs: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
         pos = F.lit(i / bins) * (F.col("n_ref") - 1)
         quantiles.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos)))
     edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*quantiles))))
-    cuts = ranked.select(*keys, "n_ref", "n_cur", edges.alias("_edges"))
-    # The outer edges are unbounded, only inner ones decide the bin.
-    cuts = cuts.withColumn(
+    return ranked.select(*keys, "n_ref", "n_cur", edges.alias("_edges")).withColumn(
         "_inner", F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0))))
-    placed = runs.select(*keys, "value", "_r", "_c").join(cuts, list(keys)).withColumn(
+
+
+def _psi(runs: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    cuts = _edges(runs, keys, bins)
+    placed = join_keys(runs.select(*keys, "value", "_r", "_c"), cuts, keys).withColumn(
         "_bin", F.size(F.filter("_inner", lambda e: e <= F.col("value"))))
     held = placed.groupBy(*keys, "_bin").agg(F.sum("_r").alias("_r"), F.sum("_c").alias("_c"))
+    return _divergence(cuts, held, keys)
+
+
+def _divergence(cuts: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """PSI from the counts (keys, _bin, _r, _c) of the bins that hold something."""
     grid = cuts.select(*keys, "n_ref", "n_cur", "_edges",
                        F.explode(F.sequence(F.lit(0), F.size("_inner"))).alias("_bin"))
-    full = grid.join(held, [*keys, "_bin"], "left")
+    full = join_keys(grid, held, [*keys, "_bin"], "left")
     share = lambda c, n: F.greatest(
         ratio(F.coalesce(F.col(c), F.lit(0)), F.col(n)), F.lit(PSI_FLOOR))
     part = full.withColumns({"_pr": share("_r", "n_ref"), "_pc": share("_c", "n_cur")})
@@ -112,7 +119,11 @@ def drift_report(long: DataFrame, is_current: Column, keys: Sequence[str] = ("fe
                  slices: int = 1) -> DataFrame:
     """KS and PSI per key, worst PSI first."""
     runs = _runs(long, is_current, keys, slices)
-    report = _ks(runs, keys).join(_psi(runs, keys, bins), list(keys), "left")
+    return _report(join_keys(_ks(runs, keys), _psi(runs, keys, bins), keys, "left"), keys)
+
+
+def _report(report: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """p-value, severity and verdict of (keys, n_ref, n_cur, ks_stat, psi)."""
     p = ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
     return report.withColumns({
         "ks_pvalue": p, "psi_severity": severity(F.col("psi")),
@@ -120,6 +131,38 @@ def drift_report(long: DataFrame, is_current: Column, keys: Sequence[str] = ("fe
         F.col("psi").desc_nulls_last(), *keys)
 
 
+def drift_against(long: DataFrame, target: str, base: str, keys: Sequence[str] = ("feature",), bins: int = 10,
+                  slices: int = 1) -> DataFrame:
+    """The drift report of every other value of ``target`` against ``base``, keyed by (target, keys).
+
+    All targets share one relation of (keys, value) counts with the running count of the base. The largest
+    gap of two distributions lies at a value of the target or just before one, so the base is never copied;
+    its bins and their shares are found once and met by the targets' own counts.
+    """
+    both = ["target", *keys]
+    counts = cut_lineage(long.groupBy(F.col(target).alias("target"), *keys, "value").agg(F.count(F.lit(1)).alias("_c")))
+    is_base = F.col("target").eqNullSafe(F.lit(base))
+    values = counts.groupBy(*keys, "value").agg(F.sum(F.when(is_base, F.col("_c")).otherwise(0)).alias("_r"))
+    values = Ordered(tuple(keys), ("value",), slices).apply(values, running={"_cr": F.col("_r")})
+    size = values.groupBy(*keys).agg(F.sum("_r").alias("n_ref"))
+    others = counts.where(~is_base)
+    run = Ordered(tuple(both), ("value",), slices).apply(others, running={"_cc": F.col("_c")})
+    sizes = others.groupBy(*both).agg(F.sum("_c").alias("n_cur"))
+    placed = join_keys(join_keys(join_keys(run, values, [*keys, "value"]), sizes, both), size, keys)
+    here = F.abs(ratio(F.col("_cr"), F.col("n_ref")) - ratio(F.col("_cc"), F.col("n_cur")))
+    before = F.abs(ratio(F.col("_cr") - F.col("_r"), F.col("n_ref")) - ratio(F.col("_cc") - F.col("_c"), F.col("n_cur")))
+    ks = placed.groupBy(*both, "n_ref", "n_cur").agg(F.max(F.greatest(here, before)).alias("ks_stat"))
+    cuts = _edges(join_keys(values.where("_r > 0").withColumn("n_cur", F.lit(0)), size, keys), keys, bins).drop("n_cur")
+    bin_ = F.size(F.filter("_inner", lambda e: e <= F.col("value")))
+    own = join_keys(others, cuts.select(*keys, "_inner"), keys).groupBy(*both, bin_.alias("_bin")).agg(F.sum("_c").alias("_c"))
+    base_bins = join_keys(values.where("_r > 0"), cuts.select(*keys, "_inner"), keys).groupBy(*keys, bin_.alias("_bin")).agg(
+        F.sum("_r").alias("_r"))
+    names = sizes.select(*both)
+    held = join_keys(join_keys(names, base_bins, keys), own, [*both, "_bin"], "full_outer")
+    psi_ = _divergence(join_keys(sizes, cuts, keys).select(*both, "n_ref", "n_cur", "_edges", "_inner"), held, both)
+    return _report(join_keys(ks, psi_, both, "left"), both)
+
+
 def mid_ranks(long: DataFrame, keys: Sequence[str], sides: dict[str, Column], slices: int = 1) -> DataFrame:
     """Distinct values with per-side counts, tie size ``_m`` and average rank ``_rank``."""
     counts = _value_counts(long, keys, sides)
@@ -179,27 +222,30 @@ def kruskal(long: DataFrame, group: str, groups: Sequence[str], keys: Sequence[s
         *keys, F.col("_n").alias("n"), ratio(h, 1 - F.col("_ties") / (n * n * n - n)).alias("h"), (present - 1).alias("df"))
 
 
-def chi2_tail(x: Column, df: Column, most: int, root_erfc: Column | None = None) -> Column:
-    """Upper tail of the chi-squared distribution for 1 to ``most`` degrees of freedom: finite sums.
+def chi2_tail(x: Column, df: Column, root_erfc: Column | None = None) -> Column:
+    """Upper tail of the chi-squared distribution for any whole number of degrees of freedom: a finite sum.
 
-    ``root_erfc``: erfc(sqrt(x / 2)), if it is at hand.
+    Terms are kept as logarithms, so that none overflows. ``root_erfc``: erfc(sqrt(x / 2)), if it is at hand.
     """
     half = x / 2.0
     root_erfc = erfc(F.sqrt(half)) if root_erfc is None else root_erfc
-    out = F.lit(None).cast("double")
-    for k in range(1, most + 1):
-        odd = k % 2
-        terms = [F.pow(half, F.lit(i + odd / 2)) / math.gamma(i + 1 + odd / 2) for i in range((k - odd) // 2)]
-        tail = F.exp(-half) * reduce(add, terms, F.lit(0.0))
-        out = F.when(df == k, tail + root_erfc if odd else tail).otherwise(out)
-    return out
-
-
-def with_chi2_p(h: DataFrame, most: int = 8) -> DataFrame:
-    """Add ``p_value`` to a Kruskal table with up to ``most`` degrees of freedom (NULL beyond)."""
+    odd = F.pmod(df, F.lit(2))
+    start = F.when(odd == 1, F.ln(half) / 2 - math.lgamma(1.5)).otherwise(0.0)
+    steps = F.when(df - odd >= 2, F.sequence(F.lit(1), ((df - odd) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    terms = F.aggregate(
+        steps, F.struct(start.cast("double").alias("log"), F.lit(0.0).alias("sum")),
+        lambda acc, i: F.struct((acc["log"] + F.ln(half) - F.ln(i + odd / 2)).alias("log"),
+                                (acc["sum"] + F.exp(acc["log"] - half)).alias("sum")))["sum"]
+    tail = F.when(half > 0, terms + F.when(odd == 1, root_erfc).otherwise(0.0)).otherwise(1.0)
+    return F.when(df >= 1, tail)
+
+
+def with_chi2_p(h: DataFrame) -> DataFrame:
+    """Add ``p_value`` to a Kruskal table (NULL without degrees of freedom)."""
     ready = h.withColumn("_x", F.greatest(F.col("h"), F.lit(0.0)))
     ready = ready.withColumn("_root", F.sqrt(F.col("_x") / 2.0)).withColumn("_erfc", erfc(F.col("_root")))
-    return ready.withColumn("p_value", chi2_tail(F.col("_x"), F.col("df"), most, F.col("_erfc"))).drop("_x", "_root", "_erfc")
+    p = F.when(F.col("h").isNotNull(), chi2_tail(F.col("_x"), F.col("df"), F.col("_erfc")))
+    return ready.withColumn("p_value", p).drop("_x", "_root", "_erfc")
 
 
 def robust_effect(long: DataFrame, label: str, base: str, slices: int = 1) -> DataFrame:
@@ -275,9 +321,9 @@ def resample(series: DataFrame, keys: Sequence[str], hz: float) -> DataFrame:
     n = F.greatest(F.lit(2), F.ceil((F.col("_s1") - F.col("_s0")) * hz).cast("int") + 1)
     span = span.withColumn("_n", n)
     at = F.least(F.floor((F.col("s") - F.col("_s0")) * hz).cast("int"), F.col("_n") - 1)
-    means = series.join(span, list(keys)).groupBy(*keys, at.alias("i")).agg(F.avg("v").alias("v"))
+    means = join_keys(series, span, keys).groupBy(*keys, at.alias("i")).agg(F.avg("v").alias("v"))
     grid = span.select(*keys, "_s0", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
-    return grid.join(means, [*keys, "i"], "left").select(
+    return join_keys(grid, means, [*keys, "i"], "left").select(
         *keys, "i", (F.col("_s0") + F.col("i") / F.lit(float(hz))).alias("grid_s"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
@@ -302,7 +348,7 @@ def identity_verdict(players: DataFrame, saturation: int = 16) -> DataFrame:
 def player_profiles(features: DataFrame, columns: Sequence[str], by: str = "player") -> DataFrame:
     """(player, feature, mean, scaled, z): min-max and z-score across players."""
     means = features.groupBy(by).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-    long = means.unpivot([by], list(columns), "feature", "mean")
+    long = cut_lineage(means).unpivot([by], list(columns), "feature", "mean")
     across = long.groupBy("feature").agg(
         F.min("mean").alias("_lo"), F.max("mean").alias("_hi"), F.avg("mean").alias("_mu"), F.stddev_samp("mean").alias("_sd"))
     span = F.col("_hi") - F.col("_lo")
@@ -315,7 +361,7 @@ def player_profiles(features: DataFrame, columns: Sequence[str], by: str = "play
 def session_fingerprint(features: DataFrame, columns: Sequence[str], coverage: float = 0.2, slices: int = 1) -> DataFrame:
     """(session_id, feature, z): session means, columns with enough coverage, median fill."""
     means = features.groupBy("session_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
-    long = means.unpivot(["session_id"], list(columns), "feature", "value")
+    long = cut_lineage(means).unpivot(["session_id"], list(columns), "feature", "value")
     med = aggregate(long, ["feature"], [F.avg(F.col("value").isNotNull().cast("double")).alias("_cover")],
                     {"_median": ("value", 0.5)}, slices).filter(F.col("_cover") > coverage)
     filled = long.join(med, "feature").withColumn("value", F.coalesce("value", "_median"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import FEATURES
 from ..functions.exprs import cosine, rounded, uniform
 from ..functions.ordered import slices_for
 from ..operators import metrics as m, risk as rk, splits as sp, stats as st
@@ -84,7 +85,22 @@ def psi_severity(spark, sf):
 
 
 
-@query("domain_gap")
+def _gap_sql() -> str:
+    from .sequence_queries import _CHANNELS
+    from ..operators.sequence import CHANNEL_NAMES
+    upright = " UNION ALL ".join(f"SELECT player, '{c}' AS feature, {c} AS value FROM ch JOIN sess USING (session_id)" for c in CHANNEL_NAMES)
+    return with_sql("sessions", f"""{_CHANNELS.strip()},
+up AS ({upright}),
+lv AS (SELECT player || '|' || feature AS feature, value, TRUE AS late FROM up WHERE player <> 'p0'
+  UNION ALL SELECT t.player || '|' || u.feature, u.value, FALSE FROM up u, (SELECT DISTINCT player FROM up WHERE player <> 'p0') t
+  WHERE u.player = 'p0'),{_KS},{_PSI}""", f"""
+SELECT split_part(kq.feature, '|', 1) AS target, split_part(kq.feature, '|', 2) AS feature, n_ref, n_cur, {r('ks_stat', 'ks_stat')},
+  {r('ks_pvalue', 'ks_pvalue')}, ks_pvalue < 0.05 AS ks_drifted, {r('psi', 'psi')},
+  CASE WHEN psi IS NULL THEN 'unknown' WHEN psi < 0.1 THEN 'none' WHEN psi < 0.25 THEN 'moderate' ELSE 'significant' END AS psi_severity
+FROM kq LEFT JOIN (SELECT psi.* FROM psi JOIN pq USING (feature) WHERE len(edges) >= 2) p ON p.feature = kq.feature""")
+
+
+@query("domain_gap", _gap_sql())
 def domain_gap(spark, sf):
     """Channel drift of every player's input against player p0, keyed by target."""
     from .sequence_queries import channels
@@ -92,11 +108,7 @@ def domain_gap(spark, sf):
     ch, tele = channels(spark, sf)
     owner = tele.sessions.select("session_id", "player")
     long = st.upright(ch.join(owner, "session_id"), CHANNEL_NAMES, ["player"])
-    targets = long.filter("player <> 'p0'").select(F.col("player").alias("target"), "feature", "value", F.lit(True).alias("cur"))
-    names = targets.select("target").distinct()
-    base = long.filter("player = 'p0'").select("feature", "value", F.lit(False).alias("cur")).crossJoin(F.broadcast(names))
-    both = targets.unionByName(base)  # the reference repeats once per target corpus
-    return rounded(st.drift_report(both, F.col("cur"), ["target", "feature"], slices=table_slices(spark, sf, "events")))
+    return rounded(st.drift_against(long, "player", "p0", slices=table_slices(spark, sf, "events")))
 
 
 _RANKS = """
@@ -190,12 +202,12 @@ def quantile_trim(spark, sf):
     return rounded(t.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total")), 2)
 
 
-@query("ecdf", f"""WITH {_LONG}, c AS (SELECT feature, value, count(*) AS n FROM lv WHERE feature IN ('quantity', 'discount', 'tax') GROUP BY 1, 2)
+@query("ecdf", f"""WITH {_LONG}, c AS (SELECT feature, value, count(*) AS n FROM lv GROUP BY 1, 2)
   SELECT feature, {r('value', 'value')}, {r('sum(n) OVER w / sum(n) OVER (PARTITION BY feature)::DOUBLE', 'ecdf')} FROM c
   WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)""")
 def ecdf(spark, sf):
     long, n = line_values(spark, sf)
-    return rounded(st.ecdf(long.filter("feature <> 'price'"), slices=n))
+    return rounded(st.ecdf(long, slices=n))
 
 
 @query("common_histogram", f"""WITH {_LONG},
@@ -339,7 +351,14 @@ def benchmark_grid(spark, sf):
     return rounded(m.benchmark_grid(scores(spark, sf), slices=table_slices(spark, sf, "labels")))
 
 
-@query("benchmark_by_difficulty")
+@query("benchmark_by_difficulty", sc_sql(f"""
+  SELECT detector, label, n_pos, n_neg, {r('auc', 'auc')}, {r('ap', 'ap')}, {r('detection_rate', 'detection_rate')}, {r('mean_cheat', 'mean_cheat')}, {r('mean_legit', 'mean_legit')}
+  FROM auc JOIN ap USING (detector, label) JOIN fpr USING (detector, label) JOIN mn USING (detector, label)""", """
+pl AS (SELECT detector, label || ':' || difficulty AS label, score FROM sc WHERE label <> 'legit' AND difficulty IS NOT NULL
+  UNION ALL SELECT detector, label || ':all', score FROM sc WHERE label <> 'legit'),
+gr AS (SELECT *, 1 AS p FROM pl UNION ALL SELECT s.detector, n.label, s.score, 0 FROM sc s JOIN (SELECT DISTINCT detector, label FROM pl) n USING (detector) WHERE s.label = 'legit'),
+mn AS (SELECT detector, label, avg(score) FILTER (p = 1) AS mean_cheat, avg(score) FILTER (p = 0) AS mean_legit FROM gr GROUP BY 1, 2),"""
+  + _AUC.format(src="SELECT detector, label, score, p FROM gr", keys="detector, label")))
 def benchmark_by_difficulty(spark, sf):
     """The grid per difficulty: soft, obvious and everything."""
     from ..operators.labels import pooled_by_difficulty
@@ -360,14 +379,14 @@ def benchmark_pivot(spark, sf):
 _HOLD = """
 rp AS (SELECT r.repeat::INT AS repeat, g.group_id, row_number() OVER (PARTITION BY r.repeat ORDER BY ('0x' || substr(md5('0:' || r.repeat || '|' || g.group_id), 1, 15))::BIGINT, g.group_id) - 1 AS rnk,
          count(*) OVER (PARTITION BY r.repeat) AS n
-       FROM (SELECT DISTINCT group_id FROM sc) g, (SELECT unnest(range(10)) AS repeat) r),
+       FROM (SELECT DISTINCT group_id FROM sc) g, (SELECT unnest(range(20)) AS repeat) r),
 hs AS (SELECT repeat, group_id, rnk < greatest(1, round_even(n * 0.4, 0)) AS held_out FROM rp)"""
 
 
 @query("repeated_holdout", sc_sql("SELECT repeat, group_id, held_out FROM hs", _HOLD))
 def repeated_holdout(spark, sf):
     g = scores(spark, sf).select("group_id")
-    return sp.repeated_holdout(g, 10)
+    return sp.repeated_holdout(g, 20)
 
 
 @query("heldout_benchmark", sc_sql(f"""
@@ -376,30 +395,40 @@ def repeated_holdout(spark, sf):
       src="SELECT detector, repeat, score, toxic AS p FROM sc JOIN hs USING (group_id) WHERE held_out", keys="detector, repeat")))
 def heldout_benchmark(spark, sf):
     s, n = by_detector(spark, sf)
-    return rounded(m.heldout_benchmark(s, sp.repeated_holdout(s.select("group_id"), 10), n))
+    return rounded(m.heldout_benchmark(s, sp.repeated_holdout(s.select("group_id"), 20), n))
 
 
 _BOOT = """
-nb AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rnk, doc_id, quality, toxic, score, count(*) OVER () AS n FROM sc WHERE detector = 'hash'),
-pk AS (SELECT d.draw, ('0x' || substr(md5(d.draw || '|' || p.rnk), 1, 15))::BIGINT % p.n AS rnk FROM nb p, (SELECT unnest(range(50)) AS draw) d),
-dr AS (SELECT draw, quality, toxic, score FROM pk JOIN nb USING (rnk))"""
+nb AS (SELECT detector, row_number() OVER (PARTITION BY detector ORDER BY doc_id) - 1 AS rnk, toxic, (score >= 0.5)::INT AS said, score,
+         count(*) OVER (PARTITION BY detector) AS n FROM sc),
+pk AS (SELECT detector, d.draw, ('0x' || substr(md5(d.draw || '|' || p.rnk), 1, 15))::BIGINT % p.n AS rnk
+       FROM nb p, (SELECT unnest(range({draws})) AS draw) d),
+dr AS (SELECT detector, draw, toxic, said, score FROM pk JOIN nb USING (detector, rnk))"""
+DRAWS, AUC_DRAWS = 2000, 1000
 
 
 @query("bootstrap_accuracy", sc_sql(f"""
-  SELECT count(*) AS draws, {r('avg(a)', 'mean')}, {r('quantile_cont(a, 0.025)', 'low')}, {r('quantile_cont(a, 0.975)', 'high')}
-  FROM (SELECT draw, avg((quality <> toxic)::INT) AS a FROM dr GROUP BY 1)""", _BOOT))
+  SELECT detector, metric, count(*) AS draws, {r('avg(v)', 'mean')}, {r('quantile_cont(v, 0.025)', 'low')}, {r('quantile_cont(v, 0.975)', 'high')} FROM (
+    SELECT detector, draw, 'accuracy' AS metric, sum(n) FILTER (toxic = said) / sum(n)::DOUBLE AS v FROM cl GROUP BY 1, 2
+    UNION ALL SELECT detector, draw, 'macro_f1', avg(2 * hit / sides::DOUBLE) FROM (
+      SELECT detector, draw, cls, sum(hit) AS hit, sum(n) AS sides FROM (
+        SELECT detector, draw, toxic AS cls, n, CASE WHEN toxic = said THEN n ELSE 0 END AS hit FROM cl
+        UNION ALL SELECT detector, draw, said, n, 0 FROM cl) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1, 2""",
+  _BOOT.format(draws=DRAWS) + ", cl AS (SELECT detector, draw, toxic, said, count(*) AS n FROM dr GROUP BY ALL)"))
 def bootstrap_accuracy(spark, sf):
+    """Intervals of accuracy and macro F1 of every detector's verdicts."""
     s, n = by_detector(spark, sf)
-    one = s.filter("detector = 'hash'")
-    return rounded(m.bootstrap(one, 50, F.col("quality") != F.col("toxic"), "doc_id", n))
+    said = s.withColumn("said", (F.col("score") >= 0.5).cast("int"))
+    return rounded(m.bootstrap(said, DRAWS, "toxic", "said", "doc_id", ["detector"], n))
 
 
 @query("bootstrap_auc", sc_sql(f"""
-  SELECT count(*) AS draws, {r('avg(auc)', 'mean')}, {r('quantile_cont(auc, 0.025)', 'low')}, {r('quantile_cont(auc, 0.975)', 'high')} FROM auc WHERE auc IS NOT NULL""",
-  _BOOT + "," + _AUC.format(src="SELECT draw, score, toxic AS p FROM dr", keys="draw")))
+  SELECT detector, count(*) AS draws, {r('avg(auc)', 'mean')}, {r('quantile_cont(auc, 0.025)', 'low')}, {r('quantile_cont(auc, 0.975)', 'high')}
+  FROM auc WHERE auc IS NOT NULL GROUP BY 1""",
+  _BOOT.format(draws=AUC_DRAWS) + "," + _AUC.format(src="SELECT detector, draw, score, toxic AS p FROM dr", keys="detector, draw")))
 def bootstrap_auc(spark, sf):
     s, n = by_detector(spark, sf)
-    return rounded(m.bootstrap_auc(s.filter("detector = 'hash'"), 50, "doc_id", n))
+    return rounded(m.bootstrap_auc(s, AUC_DRAWS, "doc_id", ["detector"], n))
 
 
 @query("anomaly_summary", sc_sql(f"""
@@ -578,17 +607,17 @@ def session_scores(spark, sf):
 
 
 @query("alternative_rollups", sc_sql(f"""
-  SELECT session_id, {r('avg(score) FILTER (rn <= 3)', 'top_mean')}, {r('avg((score > 0.6)::INT)', 'share_above')} FROM (
-    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, unit_idx DESC) AS rn FROM un WHERE detector = 'hash') GROUP BY 1""", _UNITS))
+  SELECT session_id, detector, {r('avg(score) FILTER (rn <= 3)', 'top_mean')}, {r('avg((score > 0.6)::INT)', 'share_above')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id, detector ORDER BY score DESC, unit_idx DESC) AS rn FROM un) GROUP BY 1, 2""", _UNITS))
 def alternative_rollups(spark, sf):
-    return rounded(rk.alternative_rollups(units(spark, sf).filter("detector = 'hash'"), 3, 0.6, table_slices(spark, sf, "labels")))
+    return rounded(rk.alternative_rollups(units(spark, sf), 3, 0.6, table_slices(spark, sf, "labels"), ("session_id", "detector")))
 
 
 @query("flag_rates", sc_sql(f"""
-  SELECT session_id, count(*) AS chunks, {r('avg((score > lim)::INT) FILTER (contains_cheat)', 'hit_rate')}, {r('avg((score > lim)::INT) FILTER (NOT contains_cheat)', 'false_flag_rate')}
-  FROM un, (SELECT quantile_cont(score, 0.95) AS lim FROM un WHERE detector = 'hash' AND NOT contains_cheat) WHERE detector = 'hash' GROUP BY 1""", _UNITS))
+  SELECT session_id, detector, count(*) AS chunks, {r('avg((score > lim)::INT) FILTER (contains_cheat)', 'hit_rate')}, {r('avg((score > lim)::INT) FILTER (NOT contains_cheat)', 'false_flag_rate')}
+  FROM un JOIN (SELECT detector, quantile_cont(score, 0.95) AS lim FROM un WHERE NOT contains_cheat GROUP BY 1) USING (detector) GROUP BY 1, 2""", _UNITS))
 def flag_rates(spark, sf):
-    return rounded(rk.flag_rates(units(spark, sf).filter("detector = 'hash'"), slices=table_slices(spark, sf, "labels")))
+    return rounded(rk.flag_rates(units(spark, sf), slices=table_slices(spark, sf, "labels"), by=("detector",)))
 
 
 @query("isotonic_calibration")
@@ -755,26 +784,25 @@ def label_join(spark, sf):
 
 
 # ---------------------------------------------------------------- profiles and summaries
-_PROFILE_COLS = ["speed_mean", "jitter", "path_efficiency", "iki_mean", "event_rate", "active_time_pct"]
-
-
 @query("player_profiles", with_sql("features", "pm AS (" + " UNION ALL ".join(
-    f"SELECT player, '{c}' AS feature, avg({c}) AS mean FROM feat GROUP BY 1" for c in _PROFILE_COLS) + ")", f"""
-  SELECT player, feature, {r('mean', 'mean', 7)}, {r('(mean - min(mean) OVER f) / CASE WHEN max(mean) OVER f = min(mean) OVER f THEN 1 ELSE max(mean) OVER f - min(mean) OVER f END', 'scaled')},
+    f"SELECT player, '{c}' AS feature, avg({c}) AS mean FROM feat GROUP BY 1" for c in FEATURES) + ")", f"""
+  SELECT player, feature, round(mean::DOUBLE, CASE feature WHEN 'mouse_key_ratio' THEN 1 ELSE 7 END) + 0.0 AS mean,
+    {r('(mean - min(mean) OVER f) / CASE WHEN max(mean) OVER f = min(mean) OVER f THEN 1 ELSE max(mean) OVER f - min(mean) OVER f END', 'scaled')},
     {r('(mean - avg(mean) OVER f) / nullif(stddev_samp(mean) OVER f, 0)', 'z')} FROM pm WINDOW f AS (PARTITION BY feature)"""))
 def player_profiles(spark, sf):
-    p = st.player_profiles(feature_table(spark, sf), _PROFILE_COLS)
-    return rounded(p.withColumns({"scaled": F.round("scaled", 6), "z": F.round("z", 6)}), 7)
+    p = rounded(st.player_profiles(feature_table(spark, sf), FEATURES).withColumns(
+        {"scaled": F.round("scaled", 6), "z": F.round("z", 6)}), 7)
+    return p.withColumn("mean", F.when(F.col("feature") == "mouse_key_ratio", F.round("mean", 1)).otherwise(F.col("mean")))
 
 
 @query("session_fingerprint", with_sql("features", "sm AS (" + " UNION ALL ".join(
-    f"SELECT session_id, '{c}' AS feature, avg({c}) AS value FROM feat GROUP BY 1" for c in _PROFILE_COLS + ["wasd_rhythm", "hold_std"]) + """),
+    f"SELECT session_id, '{c}' AS feature, avg({c}) AS value FROM feat GROUP BY 1" for c in FEATURES) + """),
   md AS (SELECT feature, median(value) AS md FROM sm GROUP BY 1 HAVING avg((value IS NOT NULL)::INT) > 0.2),
   fi AS (SELECT session_id, feature, coalesce(value, md) AS v FROM sm JOIN md USING (feature))""", f"""
   SELECT session_id, feature, {r('(v - avg(v) OVER f) / nullif(stddev_pop(v) OVER f, 0)', 'z', 5)} FROM fi WINDOW f AS (PARTITION BY feature)"""))
 def session_fingerprint(spark, sf):
     tele_n = table_slices(spark, sf, "events")
-    return rounded(st.session_fingerprint(feature_table(spark, sf), _PROFILE_COLS + ["wasd_rhythm", "hold_std"], slices=tele_n), 5)
+    return rounded(st.session_fingerprint(feature_table(spark, sf), FEATURES, slices=tele_n), 5)
 
 
 _IDS = """

@@ -96,9 +96,9 @@ def streaming_session_counts(spark, sf):
   SELECT session_id, "at", detector, {r('top', 'top')}, {r('1 / (1 + exp(-(ln(0.05::DOUBLE / 0.95) + sum(g) OVER (PARTITION BY session_id ORDER BY "at", detector ROWS UNBOUNDED PRECEDING))))', 'risk')} FROM (
     SELECT *, greatest(p, bf) AS top, ln(greatest(p, coalesce(bf, p)) / (1 - greatest(p, coalesce(bf, p)))) - coalesce(ln(bf / (1 - bf)), 0) AS g FROM (
       SELECT *, max(p) OVER (PARTITION BY session_id, detector ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM (
-        SELECT 's' || (doc_id % 50) AS session_id, doc_id AS "at", detector, least(0.99, greatest(0.01, score)) AS p FROM sc WHERE detector <> 'length')))"""))
+        SELECT 's' || (doc_id % 50) AS session_id, doc_id AS "at", detector, least(0.99, greatest(0.01, score)) AS p FROM sc)))"""))
 def running_session_updates(spark, sf):
-    s = scores(spark, sf).filter("detector <> 'length'").select(
+    s = scores(spark, sf).select(
         F.concat(F.lit("s"), (F.col("doc_id") % 50).cast("string")).alias("session_id"), F.col("doc_id").alias("at"),
         F.when(F.col("detector") == "hash", "chunk").otherwise("window").alias("triggered_by"), "detector",
         F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.col("score"))).alias("p"))
