@@ -8,9 +8,13 @@ least density on the path from the core up to the body is the threshold, and fro
 child that reaches it contributes the subtree of its own greatest sum. A subtree inside an article
 element stands for the whole article.
 
-Navigation, page headers and footers, sidebars, notices, adverts, forms, comments of readers,
-scripts and styles are dropped by element, role or class before the densities are taken, and lists
-made of links inside the chosen subtree after it. A page without markup is its own text.
+Navigation, page headers and footers, sidebars, forms, scripts and styles are dropped by element, role
+or hidden state before the densities are taken. Words in classes and ids only mark: what they name as
+advert, notice, comment and the like goes unless it holds an article, a main heading or nearly all of the
+page, so that a wrapper named after its sidebar stays; what they name as menu, list of tags or related
+pages, and names that merely contain such a word, go only if they are made of links or hold little text.
+Names such as ``has-sidebar`` or ``no-menu`` mark nothing. The density sum chooses among the rest, and
+what it chooses stays whole, links included. A page without markup is its own text.
 
 Cases: a null or empty page and a page without text give an empty text; unclosed and stray tags,
 unquoted attributes and cut-off pages are read like a browser does; repeated rows give a row each;
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,24 +57,45 @@ DROPPED = frozenset(
     "head script style noscript template nav footer aside form button select textarea input label iframe object embed "
     "svg canvas audio video menu dialog title noembed noframes xmp map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+# Names of what is no article, and names of what is none if it is made of links.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu menus modal nav "
-    "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted "
-    "promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription tags teaser toolbar widget widgets".split())
+    "ad ads advert adverts advertisement advertising banner banners comment comments commentlist consent cookie cookies "
+    "copyright disclaimer discussion disqus gdpr login masthead modal newsletter notice notices notification overlay paywall "
+    "popup promo promoted promotion reply replies respond sidebar signup skip sponsor sponsored subscribe subscription".split())
+LINK_MARKS = frozenset(
+    "breadcrumb breadcrumbs footer header menu menus nav navbar navigation pager pagination recommended related share sharing "
+    "social tags teaser toolbar widget widgets".split())
+STATES = frozenset("has have is no not with without show hide".split())
+LITTLE, LINKED, NEARLY_ALL = 0.05, 1 / 3, 0.9
 ARTICLE = frozenset("html body main article".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("name", "parent", "children", "attrs", "mark", "heads", "chars", "tags", "link_chars", "link_tags", "density",
+                 "total", "best")
 
     def __init__(self, name: str, parent: "Node | None", attrs: str):
         self.name, self.parent, self.attrs = name, parent, attrs
         self.children: list = []
 
 
+def mark(value: str, inside_article: bool) -> int:
+    """2 if a name of the class or id is one of MARKS, 1 if it holds such a word or one of LINK_MARKS, else 0."""
+    level = 0
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not words or words[0] in STATES:
+            continue
+        found = [w for w in words if w in MARKS or (w in LINK_MARKS and not (inside_article and w == "header"))]
+        if len(found) == len(words) and MARKS.issuperset(found):
+            return 2
+        level = max(level, int(bool(found)))
+    return level
+
+
 def dropped(node: Node, inside_article: bool) -> bool:
+    """Whether the element is no part of any article; else its mark is noted."""
+    node.mark = 0
     if node.name in DROPPED:
         return True
     if node.name == "header":
@@ -84,14 +110,39 @@ def dropped(node: Node, inside_article: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if key in ("class", "id"):
+            node.mark = max(node.mark, mark(value, inside_article))
     return False
 
 
+def prune(root: Node) -> None:
+    """Take out marked subtrees, unless they hold the article itself."""
+    nodes = measure(root)
+    for node in reversed(nodes):
+        kids = [c for c in node.children if type(c) is not str]
+        node.heads = node.name in ("article", "main", "h1") or any(k.heads for k in kids)
+    if not any(node.mark for node in nodes):
+        return
+    page, stack = max(root.chars, 1), [root]
+    while stack:
+        node = stack.pop()
+        kept = []
+        for child in node.children:
+            if type(child) is not str:
+                made_of_links = child.link_chars >= LINKED * max(child.chars, 1)
+                goes = child.mark == 2 or (child.mark == 1 and (made_of_links or child.chars <= LITTLE * page))
+                if goes and not child.heads and child.chars < NEARLY_ALL * page:
+                    continue
+                stack.append(child)
+            kept.append(child)
+        node.children = kept
+
+
 def parse(page: str) -> Node:
     """The page's tree: children are nodes and strings; what is boilerplate by its markup is left out."""
     root = node = Node("html", None, "")
+    root.mark = 0
+    opened: Counter = Counter()  # elements of each name that are open
     at, end = 0, len(page)
     skip: Node | None = None
     articles = 0
@@ -107,6 +158,7 @@ def parse(page: str) -> Node:
         nonlocal node, skip, articles
         while True:
             leaving, node = node, node.parent
+            opened[leaving.name] -= 1
             articles -= leaving.name == "article"
             if skip is leaving:
                 skip = None
@@ -114,6 +166,8 @@ def parse(page: str) -> Node:
                 return
 
     def nearest(names: frozenset, limits: frozenset) -> Node | None:
+        if not any(opened[n] for n in names):
+            return None
         up = node
         while up is not root and up.name not in limits:
             if up.name in names:
@@ -164,6 +218,7 @@ def parse(page: str) -> Node:
             skip = None if skip is new else skip
             continue
         node = new
+        opened[name] += 1
         articles += name == "article"
         if name in RAW:
             stop = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
@@ -208,6 +263,7 @@ def measure(root: Node) -> list[Node]:
 
 def chosen(root: Node) -> list[Node]:
     """Subtrees of the main text, in page order."""
+    prune(root)
     nodes = measure(root)
     if not root.chars:
         return []
@@ -273,11 +329,6 @@ def preorder(root: Node) -> list[tuple[Node, int]]:
     return [(node, place[id(node)]) for node in out]
 
 
-def link_list(node: Node) -> bool:
-    return (node.name in BLOCK and node.name not in ARTICLE and node.link_tags >= 3
-            and node.link_chars >= 0.8 * max(node.chars, 1))
-
-
 def blocks(nodes: list[Node]) -> Iterator[str]:
     """Texts between block borders; white space inside each is one space."""
     parts: list[str] = []
@@ -296,7 +347,7 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
                 yield from done()
             elif type(item) is str:
                 parts.append(item)
-            elif item is top or not link_list(item):
+            else:
                 if item.name in BLOCK:
                     yield from done()
                     stack.append(None)
