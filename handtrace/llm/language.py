@@ -96,16 +96,20 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
 
 
+def share_of(rows: int) -> int:
+    """How many of 2**60 hash values are sampled so that about PER_LANGUAGE of ``rows`` are."""
+    return (PER_LANGUAGE << 60) // max(rows, PER_LANGUAGE)
+
+
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text, order) of about PER_LANGUAGE documents of each language, chosen by a hash of the row."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return known.limit(0).select("lang", "text", F.lit(0).cast("long").alias("order"))
-    share = F.create_map(*[x for row in sizes for x in (
-        F.lit(row["lang"]), F.lit(int(min(1.0, PER_LANGUAGE / row["count"]) * 1_000_000)))])
-    order = F.xxhash64("doc_id", "lang")
-    picked = known.withColumn("order", order).where(F.pmod("order", F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for row in sizes for x in (F.lit(row["lang"]), F.lit(share_of(row["count"])))])
+    order = F.xxhash64("doc_id", "lang", "text")
+    picked = known.withColumn("order", order).where(F.shiftrightunsigned("order", 4) < share[F.col("lang")])
     keys = picked.select("doc_id", "lang", "order").orderBy("order", "doc_id").limit(2 * PER_LANGUAGE * len(sizes))
     keys = keys.select(F.max("order").alias("last"))  # the bound holds whatever ids repeat
     return picked.join(F.broadcast(keys), F.col("order") <= F.col("last")).select("lang", "text", "order").limit(
