@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Ordered, group_extent
+from ..functions.ordered import Ordered, group_extent, join_keys
+from ..session import ship_package
 
 
 def asof_forward(
@@ -123,15 +126,47 @@ def lagged_products(
 ) -> DataFrame:
     """Normalised cross-correlation of two gridded series (``i``, ``v``) per key.
 
-    ``a.i = b.i + lag``; every b sample meets at most 2*max_lag+1 a samples, an
-    equality join on (key, i).  Series without variance yield no rows.
+    Both series are cut into blocks of about ``max_lag`` places; a block of ``b`` meets the few blocks of
+    ``a`` within the lag, and each pair gives one vector of products by lag, added up inside its task.
+    ``a.i = b.i + lag``; series without variance and lags without common places yield no rows.
     """
-    left = _unit(a, keys, slices).select(*keys, F.col("i").alias("_ai"), F.col("u").alias("_au"))
-    right = _unit(b, keys, slices)
-    shifted = right.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    shifted = shifted.withColumn("_ai", F.col("i") + F.col("lag"))
-    return shifted.join(left, [*keys, "_ai"]).groupBy(*keys, "lag").agg(
-        F.sum(F.col("u") * F.col("_au")).alias("corr"))
+    size = min(max(max_lag, 64), 4096)
+    block = F.floor(F.col("i") / size).cast("int")
+    sides = [
+        _unit(df, keys, slices).groupBy(*keys, block.alias(f"_{name}")).agg(F.array_sort(F.collect_list(  # ``size`` at most
+            F.struct((F.col("i") - F.floor(F.col("i") / size) * size).cast("int").alias("at"), "u"))).alias(f"_{name}s"))
+        for name, df in (("a", a), ("b", b))]
+    first = F.floor((F.col("_b") * size - max_lag) / size).cast("int")
+    last = F.floor((F.col("_b") * size + size - 1 + max_lag) / size).cast("int")
+    pairs = join_keys(sides[1].withColumn("_a", F.explode(F.sequence(first, last))), sides[0], [*keys, "_a"])
+    pairs = pairs.select(*keys, ((F.col("_a") - F.col("_b")) * size).alias("_shift"), "_as", "_bs")
+    names = list(keys)
+
+    def dense(block_rows) -> tuple[np.ndarray, np.ndarray]:
+        values, there = np.zeros(size), np.zeros(size)
+        at = [r["at"] for r in block_rows]
+        values[at], there[at] = [r["u"] for r in block_rows], 1.0
+        return values, there
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows in batch.groupby(names, dropna=False, sort=False):
+                total, seen = np.zeros(2 * max_lag + 1), np.zeros(2 * max_lag + 1, bool)
+                for shift, left, right in zip(rows["_shift"], rows["_as"], rows["_bs"]):
+                    (x, in_x), (y, in_y) = dense(left), dense(right)
+                    lag = np.arange(1 - size, size) + shift
+                    inside = np.abs(lag) <= max_lag
+                    total[lag[inside] + max_lag] += np.correlate(x, y, "full")[inside]
+                    seen[lag[inside] + max_lag] |= np.correlate(in_x, in_y, "full")[inside] > 0.5
+                out = pd.DataFrame({"lag": np.flatnonzero(seen) - max_lag, "corr": total[seen]})
+                for name, value in zip(names, key):
+                    out[name] = None if pd.isna(value) else value
+                yield out[[*names, "lag", "corr"]]
+
+    ship_package(pairs.sparkSession)
+    types = dict(pairs.dtypes)
+    found = pairs.mapInPandas(products, ", ".join([*[f"`{k}` {types[k]}" for k in names], "lag int, corr double"]))
+    return found.groupBy(*keys, "lag").agg(F.sum("corr").alias("corr"))
 
 
 def _unit(series: DataFrame, keys: Sequence[str], slices: int) -> DataFrame:

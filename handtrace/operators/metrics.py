@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,18 +120,23 @@ def verification_trials(predictions: DataFrame, truth: str, proba: str = "proba"
         "positive", F.col("claimed") == F.col(truth))
 
 
-def session_trials(trials: DataFrame) -> DataFrame:
-    """Mean claimed-class probability per (session, claimed class)."""
-    return trials.groupBy("session_id", "claimed").agg(
-        F.avg("score").alias("score"), F.max("positive").alias("positive"))
+def session_trials(predictions: DataFrame, truth: str, classes: Sequence[str], proba: str = "proba") -> DataFrame:
+    """(session_id, claimed, score, positive): mean claimed-class probability per session and class.
+
+    Probability vectors are averaged per session first; only sessions, not their rows, are spread by class.
+    """
+    vector = array_to_vector(F.array(*[F.coalesce(F.col(proba)[c], F.lit(0.0)).cast("double") for c in classes]))
+    means = predictions.select("session_id", F.col(truth).alias("_t"), vector.alias("_v")).groupBy("session_id").agg(
+        vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"), F.collect_set("_t").alias("_truths"))
+    named = F.explode(F.map_from_arrays(F.array(*map(F.lit, classes)), F.col("_m")))
+    return means.select("session_id", "_truths", named.alias("claimed", "score")).select(
+        "session_id", "claimed", "score", F.array_contains("_truths", F.col("claimed")).alias("positive"))
 
 
 def vector_means(vectors: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Element-wise mean vector per group, combined map-side per (group, position)."""
-    flat = vectors.select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    means = flat.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return means.groupBy(*keys).agg(  # one entry per dimension
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("centroid"))
+    """Element-wise mean vector per group, combined map-side as vectors."""
+    ready = vectors.select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    return ready.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
 
 
 def confusion_counts(predictions: DataFrame, truth: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:

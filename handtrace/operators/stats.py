@@ -19,6 +19,7 @@ from ..session import cut_lineage
 
 KS_ALPHA = 0.05
 RANK_TEST_MIN = 20
+GRID_CELL = 4096
 
 
 def upright(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -322,7 +323,11 @@ def resample(series: DataFrame, keys: Sequence[str], hz: float) -> DataFrame:
     span = span.withColumn("_n", n)
     at = F.least(F.floor((F.col("s") - F.col("_s0")) * hz).cast("int"), F.col("_n") - 1)
     means = join_keys(series, span, keys).groupBy(*keys, at.alias("i")).agg(F.avg("v").alias("v"))
-    grid = span.select(*keys, "_s0", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
+    # Cells of bounded size, dealt over all tasks, become places there: no array holds a whole session.
+    cells = span.select(*keys, "_s0", "_n", F.explode(F.sequence(
+        F.lit(0), F.floor((F.col("_n") - 1) / GRID_CELL).cast("int"))).alias("_cell")).repartition(*keys, "_cell")
+    grid = cells.select(*keys, "_s0", F.explode(F.sequence(
+        F.col("_cell") * GRID_CELL, F.least(F.col("_n"), (F.col("_cell") + 1) * GRID_CELL) - 1)).alias("i"))
     return join_keys(grid, means, [*keys, "i"], "left").select(
         *keys, "i", (F.col("_s0") + F.col("i") / F.lit(float(hz))).alias("grid_s"), F.coalesce("v", F.lit(0.0)).alias("v"))
 

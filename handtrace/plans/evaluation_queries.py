@@ -528,10 +528,9 @@ tr AS (SELECT 'session' AS detector, 'c' || c_nationkey || y_true AS session_id,
 def session_verification(spark, sf):
     """Customers of one nation and segment stand for the windows of a session."""
     p = predictions(spark, sf).withColumn("session_id", F.concat(F.lit("c"), F.col("c_nationkey"), F.col("y_true")))
-    trials = m.session_trials(m.verification_trials(p, "y_true")).withColumn("side", F.lit("session"))
+    trials = m.session_trials(p, "y_true", SEGMENTS)
     n = table_slices(spark, sf, "customer")
-    d = m.det_points(m.threshold_counts(trials, ["side"], n), ["side"])
-    return rounded(m.equal_error_rate(d, ["side"], n).drop("side"))
+    return rounded(m.equal_error_rate(m.det_points(m.threshold_counts(trials, [], n), []), [], n))
 
 
 _EMB = f"""
@@ -558,7 +557,7 @@ def embedding_trials(spark, sf):
 def embedding_verification(spark, sf):
     t = embedding_trials(spark, sf)
     n = table_slices(spark, sf, "embeddings")
-    return rounded(m.equal_error_rate(m.det_points(m.threshold_counts(t, ["detector"], n), ["detector"]), ["detector"], n).drop("detector"))
+    return rounded(m.equal_error_rate(m.det_points(m.threshold_counts(t, [], n), []), [], n))
 
 
 # ---------------------------------------------------------------- risk

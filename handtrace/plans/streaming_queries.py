@@ -66,29 +66,39 @@ def _timed(spark, sf):
     return e.select("user_id", "event_type", F.timestamp_micros(epoch_micros(F.col("ts"))).alias("ts"))
 
 
-def _complete(stream, spark):
+def _closed(stream, spark):
+    """What the stream emits once its watermark has passed: every group once, in append mode."""
     out = _folder(spark)
-    q = (stream.writeStream.outputMode("complete")
-         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/result"))
-         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/result")
 
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/result/batch_id={batch_id}")
 
-@query("streaming_tumbling_counts", """
-  SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+    stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/result").drop("batch_id")
+
+
+# The watermark, one day behind the last event, in whole milliseconds.
+_PASSED = "(SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 FROM events)"
+
+
+@query("streaming_tumbling_counts", f"""
+  SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2
+  HAVING start_us + 86400000000 <= {_PASSED}""")
 def streaming_tumbling_counts(spark, sf):
-    res = _complete(online.tumbling_counts(_timed(spark, sf), "1 day", "1 day"), spark)
+    """Daily counts of the days that the watermark has closed."""
+    res = _closed(online.tumbling_counts(_timed(spark, sf), "1 day", "1 day"), spark)
     return res.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n")
 
 
-@query("streaming_session_counts", """
+@query("streaming_session_counts", f"""
   SELECT user_id, min(us) AS start_us, count(*) AS n FROM (
     SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM (
       SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 43200000000 THEN 1 ELSE 0 END AS nw FROM events))
-  GROUP BY user_id, g""")
+  GROUP BY user_id, g HAVING max(us) + 43200000000 <= {_PASSED}""")
 def streaming_session_counts(spark, sf):
-    res = _complete(online.idle_session_counts(_timed(spark, sf), "12 hours", "1 day"), spark)
+    """Counts of the idle-gap sessions that the watermark has closed."""
+    res = _closed(online.idle_session_counts(_timed(spark, sf), "12 hours", "1 day"), spark)
     return res.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
