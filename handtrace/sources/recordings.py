@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import MIN_EVENTS
 from ..operators import quality as q
 
 EVENT_TEXT_FIELDS = (
@@ -20,21 +21,22 @@ SESSION_FIELDS = (
     "cheat_segments_typed ARRAY<STRUCT<start_ms: DOUBLE, end_ms: DOUBLE, cheat: STRING, accidental: BOOLEAN>>")
 
 
-def read_documents(spark: SparkSession, folder: str, strict_types: bool = True) -> DataFrame:
-    """Every ``*.json`` of a folder with its error list; one row per file."""
-    text = spark.read.text(f"{folder}/*.json", wholetext=True).select(
+def read_documents(spark: SparkSession, folder: str, strict_types: bool = True, pattern: str = "*.json") -> DataFrame:
+    """Every file of a folder that matches ``pattern``, with its error list; one row per file."""
+    text = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(
         F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("body"))
     doc = text.withColumn("doc", F.try_parse_json("body"))
     return doc.withColumn("errors", q.document_errors(F.col("doc"), strict_types=strict_types)).withColumn(
         "s", F.from_json("body", SESSION_FIELDS)).drop("doc")
 
 
-def read_sessions(spark: SparkSession, folder: str, strict_types: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_sessions(spark: SparkSession, folder: str, strict_types: bool = True,
+                  pattern: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, events, rejected) of a recording folder.
 
     A document without a single usable event is rejected as well.
     """
-    docs = read_documents(spark, folder, strict_types)
+    docs = read_documents(spark, folder, strict_types, pattern)
     usable = F.exists("s.events", lambda e: e["type"].isin(q.EVENT_KINDS))
     empty = (F.size("errors") == 0) & ~F.coalesce(usable, F.lit(False))
     docs = docs.withColumn("errors", F.when(empty, F.array(F.lit("events:unusable"))).otherwise(F.col("errors")))
@@ -71,17 +73,30 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def write_documents(sessions: DataFrame, events: DataFrame, folder: str) -> None:
-    """One JSON document per session (a document is one value, so its events are one array)."""
-    cols = ["t", "x", "y", "dx", "dy", "button", "pressed", "key"]
-    packed = events.groupBy("session_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", F.col("event_type").alias("type"), *cols))),
-        lambda e: F.struct(e["type"].alias("type"), *[e[c].alias(c) for c in cols])).alias("events"))
+    """One JSON document per session under ``folder/file=<session_id>``, written event by event.
+
+    A document is a run of lines in one file: an opening with the metadata, a line per event in order, a
+    closing. Lines are sorted once by (session, place) and streamed into the file by its task, so that no
+    session is ever held as a whole; Spark's committer leaves no file of a failed attempt. A session
+    without events has an empty list.
+    """
+    fields = ["t", "x", "y", "dx", "dy", "button", "pressed", "key"]
     keep = [c for c in sessions.columns if c not in ("source_file", "is_cheat_session")]
-    docs = sessions.select(*keep).join(packed, "session_id")
+    docs = sessions.select(*keep)
     if "recorded_at" in keep:
         docs = docs.withColumn("recorded_at", F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ssXXX"))
-    doc = F.to_json(F.struct(*[c for c in docs.columns]))
-    docs.select(F.col("session_id").alias("file"), doc.alias("value")).write.mode("overwrite").partitionBy("file").text(folder)
+    opening = F.regexp_replace(F.to_json(F.struct(*docs.columns)), r"\}$", ',"events":[')
+    none = F.lit(0).cast("long")
+    lines = docs.select(F.col("session_id").alias("file"), F.lit(0).alias("_rank"), none.alias("_seq"), opening.alias("value"))
+    lines = lines.unionByName(docs.select(F.col("session_id").alias("file"), F.lit(2).alias("_rank"), none.alias("_seq"), F.lit("]}").alias("value")))
+    known = events.join(docs.select("session_id"), "session_id", "left_semi")
+    lines = lines.unionByName(known.select(
+        F.col("session_id").alias("file"), F.lit(1).alias("_rank"), F.col("seq").cast("long").alias("_seq"),
+        F.to_json(F.struct(F.col("event_type").alias("type"), *fields)).alias("value")))
+    place = Window.partitionBy("file").orderBy("_rank", "_seq")
+    comma = F.when((F.col("_rank") == 1) & (F.lag("_rank").over(place) == 1), ",").otherwise("")
+    lines.withColumn("value", F.concat(comma, "value")).select("file", "value").write.mode("overwrite").partitionBy(
+        "file").text(folder)
 
 
 def folder_label(path: Column) -> Column:
@@ -101,8 +116,8 @@ def _csv(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("seq"))
 
 
-def read_pointer_corpus_a(spark: SparkSession, pattern: str, min_rows: int = 2) -> DataFrame:
-    """CSV with two clocks in seconds, users from the folder; short files dropped."""
+def read_pointer_corpus_a(spark: SparkSession, pattern: str, min_rows: int = MIN_EVENTS) -> DataFrame:
+    """CSV with two clocks in seconds, users from the folder; files under the volume rule's length are dropped."""
     raw = _csv(spark, pattern, _CSV_A)
     sizes = raw.groupBy("file", "user").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
     rows = raw.join(sizes, ["file", "user"], "left_semi").select(

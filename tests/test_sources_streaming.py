@@ -61,7 +61,8 @@ def test_pointer_corpora(spark, folder):
     with open(f"{folder}/a/user7/session_1", "w") as f:
         f.write("record timestamp,client timestamp,button,state,x,y\n0.0,0.0,NoButton,Move,1,1\n"
                 "0.1,0.1,Left,Pressed,1,1\n0.2,0.2,NoButton,Move,4,5\n0.3,0.3,Scroll,Down,4,5\n0.4,0.4,NoButton,Move,65535,1\n")
-    rows = rec.read_pointer_corpus_a(spark, f"{folder}/a/*/*")
+    assert rec.read_pointer_corpus_a(spark, f"{folder}/a/*/*").count() == 0  # too short
+    rows = rec.read_pointer_corpus_a(spark, f"{folder}/a/*/*", min_rows=2)
     ev = {r["seq"] - min(x["seq"] for x in rows.collect()): r for r in q.pointer_events(rows).collect()}
     assert [ev[i]["event_type"] for i in sorted(ev)] == ["mouse_move", "mouse_click", "mouse_move", "mouse_scroll"]
     assert (ev[0]["dx"], ev[2]["dx"], ev[2]["dy"], ev[3]["dy"]) == (0, 3, 4, -1)
