@@ -8,8 +8,9 @@ every node, its neighbours and a sample of the nodes it is a neighbour of, and o
 new link to both ends, until few links change. Reverse links of a hub are sampled down to ``REVERSE``
 in expectation by their in-degree, so no node's join grows with the data.
 
-Queries are nodes of the graph. Each starts from its own neighbours and the vectors of largest norm
-and repeatedly joins its best unexpanded candidates with the graph, until the best ``BEAM`` are all
+Queries are nodes of the graph. Each starts from its own neighbours and the best of ``ENTRIES`` vectors that
+are sampled with weights of their squared norms, as large inner products belong to long vectors; it
+repeatedly joins its best unexpanded candidates with the graph, until the best ``BEAM`` are all
 expanded. The ``BEAM`` found are rescored in double precision from the original vectors.
 
 Equal vectors are one node, that of their least id, so that copies neither fill each other's links nor
@@ -39,6 +40,7 @@ ROUNDS = 6
 LEAST_CHANGE = 0.02
 BEAM = 96
 EXPAND = 32
+ENTRIES, FIRST = 4096, 32
 SEED = 5
 
 
@@ -165,8 +167,8 @@ LINKS = "src long, dst long, near float"
 def first_links(nodes: DataFrame) -> DataFrame:
     """Links inside the leaves of the trees."""
     n = nodes.count()
-    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    picked = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("code").limit(SAMPLE)
+    share = min(1 << 60, (SAMPLE << 60) * 12 // (10 * max(n, 1)))  # of 2**60 hash values
+    picked = nodes.where(F.shiftrightunsigned(F.xxhash64("id"), 4) < share).select("code").limit(SAMPLE)
     sample = [np.frombuffer(row[0], np.float16) for row in picked.collect()]  # SAMPLE rows at most
     if not sample:
         return nodes.sparkSession.createDataFrame([], LINKS)
@@ -272,6 +274,34 @@ def scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("q", "w", "code", "code_w").mapInArrow(dot, "q long, w long, score float")
 
 
+def entry_sample(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of at most ENTRIES nodes, drawn by a hash with weights of their squared lengths.
+
+    Large inner products belong to long vectors; the weights put them among the entries of every direction.
+    """
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    draw = -F.ln((F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED)), 11) + F.lit(0.5)) / float(1 << 53)) / square
+    rows = nodes.select("id", "code", draw.alias("draw")).orderBy("draw", "id").limit(ENTRIES).collect()
+    codes = np.array([np.frombuffer(r["code"], np.float16) for r in rows], np.float32)
+    return np.array([r["id"] for r in rows], np.int64), codes[:, :-1] if len(rows) else codes
+
+
+def entry_points(codes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(q, entries): for every query (q, code) the FIRST best of the sampled entries."""
+    shared = nodes.sparkSession.sparkContext.broadcast(entry_sample(nodes))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        k = min(FIRST, len(ids))
+        for batch in batches:
+            if batch.num_rows and k:
+                near = matrix(batch.column(1))[:, :-1] @ vectors.T
+                best = ids[np.argpartition(-near, k - 1, axis=1)[:, :k]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(best), pa.list_(pa.int64()))], ["q", "entries"])
+
+    return codes.select("q", "code").mapInArrow(pick, "q long, entries array<long>")
+
+
 def beam_of(rows: Column) -> Column:
     """The best BEAM of (score, -w)."""
     return F.slice(F.sort_array(rows, asc=False), 1, BEAM)
@@ -280,11 +310,9 @@ def beam_of(rows: Column) -> Column:
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame) -> DataFrame:
     """(q, w): candidates of the nodes ``queries`` (q), the best BEAM that greedy search finds."""
     codes = written(queries.join(nodes.select(F.col("id").alias("q"), "code"), "q"), "queries")
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    entries = [row[0] for row in nodes.select("id", norm.alias("n")).orderBy(F.desc("n"), "id").limit(16).collect()]
-    start = codes.join(graph.select(F.col("src").alias("q"), "links"), "q", "left")
-    entry = F.array(*[F.lit(x) for x in entries]).cast("array<bigint>")
-    fresh = start.select("q", "code", F.array_union(F.coalesce("links", F.array().cast("array<bigint>")), entry).alias("ws"))
+    start = codes.join(graph.select(F.col("src").alias("q"), "links"), "q", "left").join(entry_points(codes, nodes), "q", "left")
+    none = F.array().cast("array<bigint>")
+    fresh = start.select("q", "code", F.array_union(F.coalesce("links", none), F.coalesce("entries", none)).alias("ws"))
     state = None
     while True:
         seen = fresh.select("q", F.array_union("ws", F.array("q")).alias("seen"))
