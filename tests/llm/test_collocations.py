@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,11 +60,26 @@ def sample(seed):
     return rows + rows[:20]
 
 
-@pytest.mark.parametrize("chunk, parts, bits, rows_of_batch", [(8 << 20, 16, 26, 1000), (700, 3, 6, 3), (1, 1, 12, 1)])
-def test_phrases(spark, monkeypatch, chunk, parts, bits, rows_of_batch):
-    """A filter of 64 bits lets nearly all pairs through; the counts decide."""
-    for name, value in (("CHUNK_BYTES", chunk), ("PARTS", parts), ("FILTER_BITS", bits)):
-        monkeypatch.setattr(collocations, name, value)
+def tuned(name, **constants):
+    """The function of the module with other constants, set in the worker that runs it and put back after."""
+    def run(*args):
+        import importlib
+        module = importlib.import_module("handtrace.llm.collocations")
+        before = {k: getattr(module, k) for k in constants}
+        try:
+            for k, v in constants.items():
+                setattr(module, k, v)
+            yield from getattr(module, name)(*args)
+        finally:
+            for k, v in before.items():
+                setattr(module, k, v)
+    return run
+
+
+@pytest.mark.parametrize("chunk, parts, rows_of_batch", [(8 << 20, 16, 1000), (700, 3, 3)])
+def test_phrases(spark, monkeypatch, chunk, parts, rows_of_batch):
+    for name in ("word_stripes", "phrase_stripes"):
+        monkeypatch.setattr(collocations, name, tuned(name, CHUNK_BYTES=chunk, PARTS=parts))
     monkeypatch.setattr(collocations, "bounded_batches", lambda s: spark.conf.set(
         "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_of_batch)))
     rows = sample(7)
@@ -73,6 +90,30 @@ def test_phrases(spark, monkeypatch, chunk, parts, bits, rows_of_batch):
         assert len({tuple(r) for r in got}) == len(got)
 
 
+@pytest.mark.parametrize("bits", [6, 12, 26])
+def test_filter_lets_every_frequent_pair_through(monkeypatch, bits):
+    """However small the table of bits, merged counts of phrases at or above the least are whole."""
+    monkeypatch.setattr(collocations, "FILTER_BITS", bits)
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 2000)
+    rows = sample(8)
+    counts, _ = phrases(rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[1] for x in part], pa.string()), pa.array([x[0] for x in part], pa.string())],
+                                          ["lang", "text"]) for part in (rows[:90], rows[90:])]
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    for p, n in counts.items():
+        if len(p) == 3 and n >= 5:
+            hashes = [collocations.group_seeds(pa.array([x])) for x in (p[1], p[2], p[0])]
+            bit = collocations.pair_hash(*hashes)
+            table[(bit >> np.uint64(6)).astype(int)] |= np.uint64(1) << (bit & np.uint64(63))
+    found = pa.Table.from_batches(list(collocations.phrase_stripes(iter(batches), table)))
+    found = found.sort_by([("lang", "ascending"), ("prefix", "ascending"), ("part", "ascending")])
+    got = {}
+    for batch in collocations.merge_sorted(iter(found.to_batches(max_chunksize=7)), 5):
+        for lang, prefix, words, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "prefix", "words", "counts"))):
+            got |= {(lang, *prefix.split(" "), w): c for w, c in zip(words, n)}
+    assert got == {p: n for p, n in counts.items() if len(p) > 3 and n >= 5} and got
+
+
 def test_stripes(spark):
     """A stripe's sum is the count of its prefix, piece ends included; its entries are the extensions."""
     rows = [("a b a c. a b", "en"), ("b a", "en")]

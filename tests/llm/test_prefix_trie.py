@@ -64,11 +64,27 @@ def sample(seed, convs=60, deepest=14):
     return [*range(convs), 500, 501, None, 500], rows
 
 
+def tuned(name, **constants):
+    """The function of the module with other constants, set in the worker that runs it and put back after."""
+    def run(*args):
+        import importlib
+        module = importlib.import_module("handtrace.llm.prefix_trie")
+        before = {k: getattr(module, k) for k in constants}
+        try:
+            for k, v in constants.items():
+                setattr(module, k, v)
+            yield from getattr(module, name)(*args)
+        finally:
+            for k, v in before.items():
+                setattr(module, k, v)
+    return run
+
+
 @pytest.mark.parametrize("block, run, sliced", [(256, 200_000, False), (3, 7, False), (2, 1, True)])
 def test_nodes(spark, monkeypatch, block, run, sliced):
     monkeypatch.setattr(prefix_trie, "BLOCK", block)
-    monkeypatch.setattr(prefix_trie, "RUN_TURNS", run)
-    monkeypatch.setattr(prefix_trie, "ENDS_PIECE", 4)
+    monkeypatch.setattr(prefix_trie, "build_runs", tuned("build_runs", RUN_TURNS=run))
+    monkeypatch.setattr(prefix_trie, "joined_ids", tuned("joined_ids", ENDS_PIECE=4))
     if sliced:
         monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 4)
     ids, rows = sample(block)
