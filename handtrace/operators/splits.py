@@ -7,6 +7,7 @@ after a lost executor, and reproducible by plain SQL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,11 @@ def _ranked(df: DataFrame, keys: Sequence[str], ident: str, seed: Column | int,
     return group_extent(ranked, list(keys), {"_n": F.count(F.lit(1))}, slices).drop("_draw")
 
 
+def _part_of(n: Column, share: float) -> Column:
+    """Whole rows in a share of ``n``; decimal, as binary 0.7 * 90 falls short of 63."""
+    return F.floor(n * F.lit(Decimal(str(share))))
+
+
 def stratified_sessions(
     sessions: DataFrame, test_size: float, val_size: float, min_sessions: int,
     seed: int = 42, slices: int = 1,
@@ -79,7 +85,7 @@ def last_share(sessions: DataFrame, by: str, share: float = 0.2, slices: int = 1
     ranked = Ordered((by,), ("session_id",), 1).apply(sessions, position="_at") if slices <= 1 else \
         _positions_by_text(sessions, by, slices)
     sized = group_extent(ranked, [by], {"_n": F.count(F.lit(1))}, slices)
-    held = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
+    held = F.greatest(F.lit(1), _part_of(F.col("_n"), share))
     return sized.withColumn(
         "part", F.when(F.col("_at") >= F.col("_n") - held, "test").otherwise("train")).drop("_at", "_n")
 
@@ -101,7 +107,7 @@ def temporal_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], s
     """Earlier ``share`` of a group trains, later rows test, ``gap`` rows between are dropped."""
     ranked = Ordered(tuple(keys), tuple(order), slices).apply(rows, position="_at")
     sized = group_extent(ranked, list(keys), {"_n": F.count(F.lit(1))}, slices)
-    cut = F.floor(F.col("_n") * F.lit(share))
+    cut = _part_of(F.col("_n"), share)
     part = F.when(F.col("_at") < cut, "train").when(F.col("_at") >= cut + gap, "test")
     return sized.withColumn("part", part).filter(F.col("part").isNotNull()).drop("_at", "_n")
 
@@ -117,7 +123,7 @@ def disjoint_manifest(ids: DataFrame, ident: str, shares: tuple[float, float] =
     """(id, rank, fold, subset_k...) with nested training subsets (rank below k)."""
     ranked = _ranked(ids.select(ident).distinct(), [], ident, seed, slices)
     n = F.col("_n")
-    train, val = F.floor(n * shares[0]), F.floor(n * (shares[0] + shares[1]))
+    train, val = _part_of(n, shares[0]), _part_of(n, round(shares[0] + shares[1], 12))
     fold = F.when(F.col("_at") < train, "train").when(F.col("_at") < val, "val").otherwise("test")
     named = ranked.withColumn("fold", fold)
     for k in subsets:
@@ -141,7 +147,7 @@ def open_set(ids: DataFrame, ident: str, seed: int = 0, slices: int = 1) -> Data
 def held_out_ids(ids: DataFrame, ident: str, share: float, seed: int = 0, slices: int = 1) -> DataFrame:
     """(id, part): a share of the players never seen in training."""
     ranked = _ranked(ids.select(ident).distinct(), [], ident, seed, slices)
-    held = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
+    held = F.greatest(F.lit(1), _part_of(F.col("_n"), share))
     return ranked.select(ident, F.when(F.col("_at") < held, "test").otherwise("train").alias("part"))
 
 

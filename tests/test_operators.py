@@ -161,3 +161,10 @@ def test_mann_whitney_direction(spark):
     rows = [("f", float(i), False) for i in range(30)] + [("f", float(i + 20), True) for i in range(30)]
     r = st.mann_whitney(spark.createDataFrame(rows, "feature string, value double, b boolean"), F.col("b")).first()
     assert r["effect"] < -0.5 and r["p_value"] < 0.001 and not math.isnan(r["u"])
+
+
+def test_shares_are_decimal(spark):
+    """floor(0.7 * 90) is 63; binary doubles give 62.99."""
+    rows = spark.range(90).select(F.lit("s").alias("k"), "id")
+    parts = {r["part"]: r["count"] for r in sp.temporal_split(rows, ["k"], ["id"]).groupBy("part").count().collect()}
+    assert parts == {"train": 63, "test": 26}
