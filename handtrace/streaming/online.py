@@ -41,19 +41,80 @@ ROWS_STATE = f"{EVENT}, at BIGINT"
 _EVENT = [c.strip().split(" ")[0] for c in EVENT.split(",")]
 _OUTPUT = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
 _SESSION = [c.strip().split(" ")[0] for c in SESSION_STATE.split(",")]
-_TEXT = ["session_id", "kind", "type", "key", "triggered_by"]
+_NUMBERS = ["t", "x", "y", "dx", "dy", "sensitivity", "dpi", "polling_rate"]
+_WHOLE = {"unit", "seq", "trigger_seq", "n_events", "late"}
+_DOUBLES = {"w_start", "w_ms", "t", "x", "y", "dx", "dy", "norm_factor", "rate_norm"}
 NEW_SESSION = (None, None, 0, 0, None, 1.0, 1.0, False, 0, -1)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _settings(messages: pd.DataFrame, norm: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def _carried(values: np.ndarray, told: np.ndarray, before: float) -> np.ndarray:
+    """The last told value at every place, ``before`` where none was."""
+    at = np.maximum.accumulate(np.where(told, np.arange(len(values)), -1)) if len(values) else np.array([], int)
+    return np.where(at >= 0, values[at], before) if len(values) else values
+
+
+def _settings(messages: dict[str, np.ndarray], norm: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Factors in force after each message, in their order."""
-    told = (messages["type"] == "__session__").to_numpy()
+    told = messages["type"] == "__session__"
     both = messages["sensitivity"] * messages["dpi"] / REFERENCE_DPI
-    norms = both.clip(lower=1e-6).where(told & both.notna()).ffill().fillna(norm)
     hz = messages["polling_rate"]
-    rates = (REFERENCE_POLLING_HZ / hz.where(hz > 0)).fillna(1.0).where(told & hz.notna()).ffill().fillna(rate)
-    return norms.to_numpy(float), rates.to_numpy(float)
+    rates = np.divide(REFERENCE_POLLING_HZ, hz, out=np.ones(len(hz)), where=hz > 0)
+    return (_carried(np.maximum(both, 1e-6), told & ~np.isnan(both), norm), _carried(rates, told & ~np.isnan(hz), rate))
+
+
+def _columns(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Message columns as arrays: text and flags as objects with None, numbers as doubles with NaN."""
+    out = {c: frame[c].to_numpy(float) for c in _NUMBERS}
+    out["seq"] = frame["seq"].to_numpy(np.int64)
+    for c in ("type", "pressed", "key"):
+        values = frame[c].to_numpy(object)
+        out[c] = np.where(pd.isna(values), None, values)
+    return out
+
+
+def _rows(columns: dict[str, np.ndarray], some: np.ndarray) -> list[tuple]:
+    """State rows of the chosen events."""
+    parts = []
+    for c in (*_EVENT, "at"):
+        values = columns[c][some]
+        plain = values.astype(object) if values.dtype != float else np.where(np.isnan(values), None, values.astype(object))
+        parts.append(plain.tolist())
+    return list(zip(*parts))
+
+
+class Held:
+    """Rows of the open window and the partial chunk, and how they differ from the state."""
+
+    def __init__(self, columns: dict[str, np.ndarray], some: np.ndarray):
+        self.columns, self.some, self.changed, self.added = columns, some, False, 0
+
+
+class Units:
+    """Output rows of one call, collected as arrays and turned into one frame."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, dict]] = []
+
+    def add(self, events: dict[str, np.ndarray] | None, kind: str, n: int = 1, **values) -> None:
+        if n:
+            self.parts.append((n, (events or {}) | values | {"kind": kind}))
+
+    def frame(self, key, now: dict) -> Iterator[pd.DataFrame]:
+        if not self.parts:
+            return
+        total = sum(n for n, _ in self.parts)
+        columns = {}
+        for name in _OUTPUT:
+            whole, number = name in _WHOLE, name in _DOUBLES
+            values = np.zeros(total, np.int64) if whole else np.full(total, np.nan if number else None, float if number else object)
+            absent, at = np.ones(total, bool), 0
+            for n, part in self.parts:
+                if part.get(name) is not None:
+                    values[at:at + n], absent[at:at + n] = part[name], False
+                at += n
+            columns[name] = pd.arrays.IntegerArray(values, absent) if whole else values
+        yield pd.DataFrame(columns, copy=False).assign(session_id=key[0], late=now["late"])
 
 
 class SessionUnits(StatefulProcessor):
@@ -72,30 +133,40 @@ class SessionUnits(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         # A micro-batch is bounded by the source's admission limits; its messages of a session are put in order.
-        messages = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable", ignore_index=True)
-        now = dict(zip(_SESSION, self.session.get() if self.session.exists() else NEW_SESSION))
+        messages = pd.concat(list(rows), ignore_index=True)
+        known = self.session.get()
+        now = dict(zip(_SESSION, NEW_SESSION if known is None else known))
         if self.idle_ms is not None:
             self._wake(int(messages["received"].max().timestamp() * 1000) + self.idle_ms)
+        units = Units()
         if not now["closed"]:
-            end = np.flatnonzero(messages["type"] == "__end__")
-            kept = messages.iloc[:end[0]] if len(end) else messages
-            out = self._advance(kept, now)
+            told = _columns(messages)
+            order = np.argsort(told["seq"], kind="stable")
+            end = np.flatnonzero(told["type"][order] == "__end__")
+            kept = {c: v[order[:end[0]] if len(end) else order] for c, v in told.items()}
+            held = self._held(now)
+            self._advance(kept, now, held, units)
             if len(end):
-                out += self._finish(now)
+                self._finish(now, held, units)
                 now["closed"], now["refused"] = True, len(messages) - int(end[0]) - 1
+            if held.changed:
+                self.open_rows.put(_rows(held.columns, held.some)) if len(held.some) else self.open_rows.clear()
+            elif held.added:
+                self.open_rows.appendList(_rows(held.columns, held.some[-held.added:]))
         else:
-            out = []
             now["refused"] += len(messages)
         self.session.update(tuple(now[c] for c in _SESSION))
-        yield from self._shaped(key, out, now)
+        yield from units.frame(key, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = dict(zip(_SESSION, self.session.get()))
-        out = [] if now["closed"] else self._finish(now)
-        out.append(pd.DataFrame({"kind": ["closed"], "unit": [now["refused"]], "t": [now["last_t"]]}))
+        units = Units()
+        if not now["closed"]:
+            self._finish(now, self._held(now), units)
+        units.add(None, "closed", unit=now["refused"], t=now["last_t"])
         self.session.clear()
         self.open_rows.clear()
-        yield from self._shaped(key, out, now)
+        yield from units.frame(key, now)
 
     def _wake(self, at: int) -> None:
         for timer in list(self.handle.listTimers()):
@@ -104,90 +175,81 @@ class SessionUnits(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(at)
 
-    def _advance(self, messages: pd.DataFrame, now: dict) -> list[pd.DataFrame]:
-        """Fold messages in; the rows they complete. ``now`` and the open rows are brought forward."""
+    def _held(self, now: dict) -> Held:
+        rows = list(self.open_rows.get()) if now["seen"] else []
+        parts = list(zip(*rows)) if rows else [()] * (len(_EVENT) + 1)
+        kinds = {"seq": np.int64, "at": np.int64, "type": object, "pressed": object, "key": object}
+        columns = {}
+        for c, values in zip((*_EVENT, "at"), parts):
+            column = np.empty(len(values), dtype=kinds.get(c, float))
+            column[:] = values if c in kinds else [np.nan if v is None else v for v in values]
+            columns[c] = column
+        return Held(columns, np.arange(len(rows)))
+
+    def _advance(self, messages: dict[str, np.ndarray], now: dict, held: Held, units: Units) -> None:
+        """Fold messages in and add what they complete; ``now`` and the held rows are brought forward."""
         norms, rates = _settings(messages, now["norm_factor"], now["rate_norm"])
-        if len(messages):
+        if len(norms):
             now["norm_factor"], now["rate_norm"] = float(norms[-1]), float(rates[-1])
-        is_event = (messages["type"] != "__session__").to_numpy()
-        rows, norms, rates = messages.loc[is_event, _EVENT], norms[is_event], rates[is_event]
-        if not len(rows):
-            return []
-        t = rows["t"].fillna(0.0).to_numpy(float)
-        before = np.maximum.accumulate(np.append(-np.inf if now["last_t"] is None else now["last_t"], t))[:-1]
-        good = t >= before
+        t = np.nan_to_num(messages["t"], nan=0.0, posinf=np.inf, neginf=-np.inf)
+        events = np.flatnonzero(messages["type"] != "__session__")
+        if not len(events):
+            return
+        before = np.maximum.accumulate(np.append(-np.inf if now["last_t"] is None else now["last_t"], t[events]))[:-1]
+        good = t[events] >= before
         now["late"] += int((~good).sum())
-        rows, norms, rates, t = rows[good].assign(t=t[good]), norms[good], rates[good], t[good]
-        if not len(rows):
-            return []
+        events = events[good]
+        if not len(events):
+            return
+        norms, rates, t, seq = norms[events], rates[events], t[events], messages["seq"][events]
         if now["anchor"] is None:
             now["anchor"], now["window"] = float(t[0]), 0
-        at = now["seen"] + np.arange(len(rows))
+        at = now["seen"] + np.arange(len(events))
         window = np.floor((t - now["anchor"]) / self.window_ms).astype(np.int64)
         was = np.append(now["window"], window[:-1])
         crossed, full = window > was, (at + 1) % self.chunk_len == 0
-        held = pd.DataFrame(list(self.open_rows.get()), columns=[*_EVENT, "at"])
-        everything = pd.concat([held, rows.assign(at=at)], ignore_index=True) if len(held) else rows.assign(at=at)
-        windows = np.concatenate([np.full(len(held), now["window"]), window])
-        if len(held):  # a held row can belong to an earlier window if its chunk is still open
-            windows[:len(held)] = np.floor((held["t"].to_numpy(float) - now["anchor"]) / self.window_ms)
-        out = []
-        for i in np.flatnonzero(crossed):
-            closed = everything.iloc[slice(*np.searchsorted(windows, (was[i], was[i] + 1)))]  # both are in order
-            if len(closed) >= 2:
-                out.append(closed.assign(
-                    kind="window", unit=was[i], w_start=now["anchor"] + was[i] * self.window_ms, w_ms=self.window_ms,
-                    norm_factor=norms[i], rate_norm=rates[i], trigger_seq=rows["seq"].iloc[i]))
-        chunks = everything["at"].to_numpy(np.int64) // self.chunk_len
-        for i in np.flatnonzero(full):
-            n = at[i] // self.chunk_len
-            out.append(everything.iloc[slice(*np.searchsorted(chunks, (n, n + 1)))].assign(
-                kind="chunk", unit=n, norm_factor=norms[i], rate_norm=rates[i],
-                trigger_seq=rows["seq"].iloc[i]))
+        fresh = {c: messages[c][events] for c in _EVENT} | {"t": t, "at": at}
+        n_held = len(held.some)
+        held.columns = {c: np.concatenate([v[held.some], fresh[c]]) for c, v in held.columns.items()}
+        # a held row can belong to an earlier window if its chunk is still open
+        windows = np.floor((held.columns["t"] - now["anchor"]) / self.window_ms).astype(np.int64)
+        chunks = held.columns["at"] // self.chunk_len
+        for i, number, places, kind in (
+                (np.flatnonzero(crossed), was, windows, "window"), (np.flatnonzero(full), at // self.chunk_len, chunks, "chunk")):
+            low, high = np.searchsorted(places, number[i]), np.searchsorted(places, number[i] + 1)  # both are in order
+            if kind == "window":
+                i, low, high = (v[high - low >= 2] for v in (i, low, high))
+            size = high - low
+            start = np.repeat(low - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            each = np.repeat(i, size)
+            spans = {"w_start": now["anchor"] + number[each] * self.window_ms, "w_ms": self.window_ms} if kind == "window" else {}
+            units.add({c: v[start] for c, v in held.columns.items()}, kind, len(each), unit=number[each],
+                      norm_factor=norms[each], rate_norm=rates[each], trigger_seq=seq[each], **spans)
         fired = np.flatnonzero(crossed | full)
-        if len(fired):
-            out.append(rows.iloc[fired][["seq", "t", "type"]].assign(
-                kind="trigger", norm_factor=norms[fired], rate_norm=rates[fired], trigger_seq=rows["seq"].iloc[fired],
-                triggered_by=np.where(full[fired], "chunk", "window"), n_events=at[fired] + 1))
+        units.add({"type": fresh["type"][fired]}, "trigger", len(fired), seq=seq[fired], t=t[fired], norm_factor=norms[fired],
+                  rate_norm=rates[fired], trigger_seq=seq[fired], n_events=at[fired] + 1,
+                  triggered_by=np.where(full[fired], "chunk", "window").astype(object))
         now["last_t"], now["seen"], now["window"] = float(t[-1]), int(at[-1]) + 1, int(window[-1])
-        now["last_seq"] = int(rows["seq"].iloc[-1])
-        keep = (windows >= now["window"]) | (chunks >= now["seen"] // self.chunk_len)
+        now["last_seq"] = int(seq[-1])
         if len(fired):
-            self.open_rows.put(_tuples(everything[keep]))
+            held.some = np.flatnonzero((windows >= now["window"]) | (chunks >= now["seen"] // self.chunk_len))
+            held.changed = True
         else:
-            self.open_rows.appendList(_tuples(rows.assign(at=at)))
-        return out
+            held.some, held.added = np.arange(len(windows)), len(windows) - n_held
 
-    def _finish(self, now: dict) -> list[pd.DataFrame]:
+    def _finish(self, now: dict, held: Held, units: Units) -> None:
         """The trailing window by its real length, and the last trigger; a partial chunk is dropped."""
-        out = []
         scale = {"norm_factor": now["norm_factor"], "rate_norm": now["rate_norm"]}
         if now["seen"]:
-            held = pd.DataFrame(list(self.open_rows.get()), columns=[*_EVENT, "at"])
             start = now["anchor"] + now["window"] * self.window_ms
-            last = held[np.floor((held["t"] - now["anchor"]) / self.window_ms) == now["window"]]
-            if len(last) >= 2 and now["last_t"] > start:
-                out.append(last.assign(
-                    kind="window", unit=now["window"], w_start=start, w_ms=min(self.window_ms, now["last_t"] - start),
-                    trigger_seq=now["last_seq"] + 1, **scale))
-            out.append(pd.DataFrame([{
-                "kind": "trigger", "seq": now["last_seq"] + 1, "t": now["last_t"], "trigger_seq": now["last_seq"] + 1,
-                "triggered_by": "finalize", "n_events": now["seen"], **scale}]))
-        out.append(pd.DataFrame([{"kind": "end", "unit": now["seen"], "t": now["last_t"], **scale}]))
-        self.open_rows.clear()
-        return out
-
-    def _shaped(self, key, frames: list[pd.DataFrame], now: dict) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.assign(session_id=key[0], late=now["late"]).reindex(columns=_OUTPUT)
-            text = frame[_TEXT].astype(object)
-            frame[_TEXT] = text.where(text.notna(), None)
-            yield frame.astype({c: "Int64" for c in ("unit", "seq", "trigger_seq", "n_events", "late")} | {"pressed": "boolean"})
-
-
-def _tuples(rows: pd.DataFrame) -> list[tuple]:
-    plain = rows[[*_EVENT, "at"]].astype(object)
-    return list(plain.where(plain.notna(), None).itertuples(index=False, name=None))
+            at = held.some[np.floor((held.columns["t"][held.some] - now["anchor"]) / self.window_ms) == now["window"]]
+            if len(at) >= 2 and now["last_t"] > start:
+                units.add({c: v[at] for c, v in held.columns.items()}, "window", len(at), unit=now["window"], w_start=start,
+                          w_ms=min(self.window_ms, now["last_t"] - start), trigger_seq=now["last_seq"] + 1, **scale)
+            units.add(None, "trigger", seq=now["last_seq"] + 1, t=now["last_t"], trigger_seq=now["last_seq"] + 1,
+                      triggered_by="finalize", n_events=now["seen"], **scale)
+        units.add(None, "end", unit=now["seen"], t=now["last_t"], **scale)
+        held.some, held.changed = held.some[:0], held.changed or now["seen"] > 0
 
 
 def closed_units(messages: DataFrame, window_ms: float = WINDOW_MS, chunk_len: int = CHUNK_LEN,

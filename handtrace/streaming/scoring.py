@@ -30,6 +30,8 @@ UPDATES = (
     "session_id STRING, seq BIGINT, t DOUBLE, n_events BIGINT, n_windows BIGINT, n_chunks BIGINT, triggered_by STRING, "
     "detector STRING, grain STRING, value DOUBLE, latest DOUBLE")
 _UPDATE = [c.strip().split(" ")[0] for c in UPDATES.split(",")]
+_KINDS = {c: np.int64 for c in ("seq", "n_events", "n_windows", "n_chunks")} | {c: float for c in ("t", "value", "latest")}
+_TOLD = ["seq", "is_trigger", "unit", "detector", "grain", "score", "t", "n_events", "triggered_by"]
 COUNTS_STATE = "n_windows BIGINT, n_chunks BIGINT, last_window BIGINT, last_chunk BIGINT"
 DETECTOR_STATE = "grain STRING, top DOUBLE, latest DOUBLE, points ARRAY<DOUBLE>, weights ARRAY<DOUBLE>"
 
@@ -92,27 +94,32 @@ class RunningScores(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        rows = pd.concat(list(rows), ignore_index=True).sort_values(
-            ["seq", "is_trigger", "unit", "detector"], kind="stable", ignore_index=True).astype(object)
+        frame = pd.concat(list(rows), ignore_index=True)
+        told = sorted(zip(*[frame[c].tolist() for c in _TOLD]), key=lambda r: (
+            r[0], r[1], (pd.isna(r[2]), r[2]) if not r[1] else (True, 0), (r[3] is None, r[3] or "")))
         known = {k[0]: list(v) for k, v in self.detectors.iterator()}
-        counts = list(self.counts.get()) if self.counts.exists() else [0, 0, -1, -1]
+        counts = list(self.counts.get() or (0, 0, -1, -1))
+        values = {name: _value(s) for name, s in known.items()}
         changed, out, over = set(), [], False
-        for row in rows.itertuples(index=False):
-            if not row.is_trigger:
+        for seq, is_trigger, unit, detector, grain, score, t, n_events, triggered_by in told:
+            if not is_trigger:
                 over = False
-                which = row.grain == "chunk"
-                if row.unit > counts[2 + which]:
+                which = grain == "chunk"
+                if unit > counts[2 + which]:
                     counts[which] += 1
-                    counts[2 + which] = int(row.unit)
-                if pd.notna(row.score):
-                    known[row.detector] = _with_score(known.get(row.detector), row.grain, float(row.score))
-                    changed.add(row.detector)
+                    counts[2 + which] = int(unit)
+                if pd.notna(score):
+                    known[detector] = _with_score(known.get(detector), grain, float(score))
+                    values.pop(detector, None)
+                    changed.add(detector)
                 continue
-            head = (key[0], row.seq, row.t, row.n_events, counts[0], counts[1], row.triggered_by)
-            out += [(*head, name, s[0], _value(s), s[2] if s[0] == "chunk" else None) for name, s in sorted(known.items())] or [
+            head = (key[0], seq, t, n_events, counts[0], counts[1], triggered_by)
+            for name in known.keys() - values.keys():
+                values[name] = _value(known[name])
+            out += [(*head, name, s[0], values[name], s[2] if s[0] == "chunk" else None) for name, s in sorted(known.items())] or [
                 (*head, None, None, None, None)]
-            if row.triggered_by == "finalize":  # what follows is a new session of this name
-                known, counts, over, changed = {}, [0, 0, -1, -1], True, set()
+            if triggered_by == "finalize":  # what follows is a new session of this name
+                known, counts, over, changed, values = {}, [0, 0, -1, -1], True, set(), {}
                 self.detectors.clear()
         if over:
             self.counts.clear()
@@ -121,16 +128,15 @@ class RunningScores(StatefulProcessor):
             for name in changed:
                 self.detectors.updateValue((name,), tuple(known[name]))
         if out:
-            yield pd.DataFrame(out, columns=_UPDATE).astype({
-                "seq": "int64", "n_events": "int64", "n_windows": "int64", "n_chunks": "int64", "t": float, "value": float,
-                "latest": float, "session_id": object, "triggered_by": object, "detector": object, "grain": object})
+            columns = dict(zip(_UPDATE, zip(*out)))
+            yield pd.DataFrame({c: np.array(v, dtype=_KINDS.get(c, object)) for c, v in columns.items()}, copy=False)
 
 
 def _with_score(state: list | None, grain: str, score: float) -> list:
     _, top, _, points, weights = state or (grain, None, None, [], [])
     if grain == "chunk":
-        points, weights = sketch.add(np.array(points, float), np.array(weights, float), score)
-        return [grain, None, score, points.tolist(), weights.tolist()]
+        points, weights = sketch.add_to(list(points), list(weights), score)
+        return [grain, None, score, points, weights]
     return [grain, score if top is None else max(top, score), score, [], []]
 
 

@@ -7,6 +7,8 @@ of the rank after any number of merges in practice (tested on 60 000 values in s
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 EXACT = 1000
@@ -20,6 +22,17 @@ def add(points: np.ndarray, weights: np.ndarray, value: float) -> tuple[np.ndarr
     return (points, weights) if len(points) <= EXACT else merge(points, weights)
 
 
+def add_to(points: list[float], weights: list[float], value: float) -> tuple[list[float], list[float]]:
+    """``add`` on lists, in place; arrays are made for a merge only."""
+    at = bisect_left(points, value)
+    points.insert(at, value)
+    weights.insert(at, 1.0)
+    if len(points) <= EXACT:
+        return points, weights
+    merged = merge(np.array(points), np.array(weights))
+    return merged[0].tolist(), merged[1].tolist()
+
+
 def merge(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     middle = (np.cumsum(weights) - weights / 2) / weights.sum()
     bucket = np.floor(SCALE / (2 * np.pi) * np.arcsin(2 * middle - 1)).astype(int)
