@@ -195,6 +195,9 @@ def mahalanobis(train: DataFrame, df: DataFrame, vector: str = "features", shrin
 
 # ---------------------------------------------------------------- neighbours
 BLOCK_ROWS = 8_000
+QUERY_ROWS = 256  # queries of one matrix product
+PAIRS = 2 ** 16  # exact distances taken at once
+LANE = 16
 
 
 def nearest(queries: DataFrame, reference: DataFrame, k: int, ident: str, vector: str, skip_self: bool = False,
@@ -218,16 +221,10 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, ident: str, vector
         if left.empty or right.empty:
             return pd.DataFrame({"q": [], "neighbour": [], "distance": []})
         ids, names = left["q"].to_numpy(), right["r"].to_numpy()
-        b = np.stack(right["v"].to_numpy())
-        out = []
-        for i, v in zip(ids, left["v"].to_numpy()):
-            dist = np.sqrt(((b - v) ** 2).sum(axis=1))
-            if skip_self:
-                dist = np.where(names == i, np.inf, dist)
-            top = np.lexsort((names, dist))[:k] if len(dist) <= 4 * k else _smallest(dist, names, k)
-            top = top[np.isfinite(dist[top])]
-            out.append(pd.DataFrame({"q": i, "neighbour": names[top], "distance": dist[top]}))
-        return pd.concat(out)
+        a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        parts = [_closest(a[i:i + QUERY_ROWS], b, ids[i:i + QUERY_ROWS], names, k, skip_self) for i in range(0, len(a), QUERY_ROWS)]
+        row, col, dist = (np.concatenate([p[i] + (n * QUERY_ROWS if i == 0 else 0) for n, p in enumerate(parts)]) for i in range(3))
+        return pd.DataFrame({"q": ids[row], "neighbour": names[col], "distance": dist})
 
     candidates = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
         best, f"q {kind}, neighbour {kind}, distance double")
@@ -236,10 +233,42 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int, ident: str, vector
     return ranked.filter(F.col("rank") < k).withColumnRenamed("q", ident)
 
 
-def _smallest(dist: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    limit = np.partition(dist, k - 1)[k - 1]
-    near = np.flatnonzero(dist <= limit)
-    return near[np.lexsort((names[near], dist[near]))][:k]
+def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int,
+             skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance): the k nearest rows of b, ties to smaller names.
+
+    One matrix product rules out most pairs, with room for its rounding; the distances of the others, and of
+    rows whose product overflows, are taken from the vectors themselves.
+    """
+    with np.errstate(invalid="ignore", over="ignore"):
+        usable = np.isfinite(b).all(axis=1)
+        middle = b[usable].mean(axis=0) if usable.any() else 0.0
+        near_a, near_b = (a - middle).astype(np.float32), (b - middle).astype(np.float32)
+        square_a, square_b = (near_a * near_a).sum(axis=1), (near_b * near_b).sum(axis=1)
+        near = near_a @ near_b.T  # becomes the squared distance less the query's own length
+        near *= -2
+        near += square_b
+        if skip_self:
+            near[ids[:, None] == names[None, :]] = np.inf
+        # k least of the least of every lane are k rows: no more than k are nearer than the last of them
+        lanes = len(b) // LANE
+        least = np.fmin.reduce(near[:, :lanes * LANE].reshape(len(a), LANE, lanes), axis=1) if lanes > k else near
+        limit = np.partition(least, k - 1, axis=1)[:, k - 1] if k < least.shape[1] else np.full(len(a), np.inf)
+        scale = (a * a).sum(axis=1) * 1e-12 + (b[usable] ** 2).sum(axis=1).max(initial=0.0) * 1e-12
+        room = 5e-7 * (b.shape[1] + 8) * (square_a + square_b.max(initial=0.0, where=np.isfinite(square_b))) + scale
+        limit = (limit + room).astype(np.float32)
+        far = near > np.where(np.isfinite(limit), limit, np.inf)[:, None]
+        row, col = np.nonzero(~far)
+        if skip_self:
+            other = ids[row] != names[col]
+            row, col = row[other], col[other]
+        dist = np.concatenate([np.zeros(0)] + [
+            np.sqrt(((b[col[i:i + PAIRS]] - a[row[i:i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(row), PAIRS)])
+    order = np.lexsort((names[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (rank < k) & np.isfinite(dist)
+    return row[keep], col[keep], dist[keep]
 
 
 def knn_score(queries: DataFrame, reference: DataFrame, k: int, ident: str, vector: str) -> DataFrame:
