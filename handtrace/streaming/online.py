@@ -86,8 +86,8 @@ def _rows(columns: dict[str, np.ndarray], some: np.ndarray) -> list[tuple]:
 class Held:
     """Rows of the open window and the partial chunk, and how they differ from the state."""
 
-    def __init__(self, columns: dict[str, np.ndarray], some: np.ndarray):
-        self.columns, self.some, self.changed, self.added = columns, some, False, 0
+    def __init__(self, columns: dict[str, np.ndarray], some: np.ndarray, stored: int):
+        self.columns, self.some, self.stored, self.changed, self.added = columns, some, stored, False, 0
 
 
 class Units:
@@ -149,8 +149,11 @@ class SessionUnits(StatefulProcessor):
             if len(end):
                 self._finish(now, held, units)
                 now["closed"], now["refused"] = True, len(messages) - int(end[0]) - 1
-            if held.changed:
-                self.open_rows.put(_rows(held.columns, held.some)) if len(held.some) else self.open_rows.clear()
+            if held.changed and len(held.some):
+                self.open_rows.put(_rows(held.columns, held.some))
+            elif held.changed:
+                if held.stored:
+                    self.open_rows.clear()
             elif held.added:
                 self.open_rows.appendList(_rows(held.columns, held.some[-held.added:]))
         else:
@@ -184,7 +187,7 @@ class SessionUnits(StatefulProcessor):
             column = np.empty(len(values), dtype=kinds.get(c, float))
             column[:] = values if c in kinds else [np.nan if v is None else v for v in values]
             columns[c] = column
-        return Held(columns, np.arange(len(rows)))
+        return Held(columns, np.arange(len(rows)), len(rows))
 
     def _advance(self, messages: dict[str, np.ndarray], now: dict, held: Held, units: Units) -> None:
         """Fold messages in and add what they complete; ``now`` and the held rows are brought forward."""

@@ -7,7 +7,7 @@ from handtrace.streaming import online
 
 
 class Value:
-    value, calls = None, 0
+    value = None
 
     def get(self):
         return self.value
@@ -29,7 +29,6 @@ def test_one_frame_a_call():
         "sensitivity": 1.0, "dpi": 1600.0, "polling_rate": np.nan})
     units = online.SessionUnits(1000.0, 16, None)
     units.session, units.open_rows = Value(), Rows()
-    units.open_rows.__dict__.update(clear=lambda: None)
     frames = list(units.handleInputRows(("s",), iter([whole]), None))
     assert len(frames) == 1
     assert frames[0]["kind"].value_counts().to_dict() == {"window": 64, "chunk": 64, "trigger": 11, "end": 1}
