@@ -305,7 +305,8 @@ def common_histogram(long: DataFrame, side: str, bins: int = 20, keys: Sequence[
     """Counts of several sides over shared equal-width bins."""
     span = long.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     at = F.floor(ratio((F.col("value") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")))
-    return join_keys(long, span, keys).groupBy(
+    # one row per feature; a shuffled join would bring all rows of a feature into one task
+    return join_keys(long, F.broadcast(span), keys).groupBy(
         *keys, side, F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0))).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
 
