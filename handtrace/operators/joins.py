@@ -72,9 +72,29 @@ def range_aggregate(
     low = marker(F.col("anchor_t") - F.lit(float(before_ms)), 0)
     high = marker(F.col("anchor_t"), 2)
     both = p.unionByName(low, allowMissingColumns=True).unionByName(high, allowMissingColumns=True)
-    summed = Ordered((key,), ("_t", "_rank"), slices).apply(
-        both.withColumns({"_one": F.coalesce("_one", F.lit(0)), "_amount": F.coalesce("_amount", F.lit(0.0))}),
-        running={"_n": F.col("_one"), "_s": F.col("_amount")})
+    return _range_totals(
+        both.withColumns({"_one": F.coalesce("_one", F.lit(0)), "_amount": F.coalesce("_amount", F.lit(0.0))}), ids, key, slices)
+
+
+def range_aggregate_within(
+    events: DataFrame, is_anchor: Column, is_point: Column, before_ms: float, value: str | None = None,
+    anchor_id: Sequence[str] = ("seq",), key: str = "session_id", slices: int = 1,
+) -> DataFrame:
+    """``range_aggregate`` where anchors and points are rows of one table, which is read and ordered once."""
+    amount = F.col(value).cast("double") if value else F.lit(0.0)
+    row = lambda at, rank, one, sum_: F.struct(
+        at.alias("_t"), F.lit(rank).alias("_rank"), F.lit(one).alias("_one"), F.coalesce(sum_, F.lit(0.0)).alias("_amount"))
+    rows = F.array(
+        F.when(is_point, row(F.col("t"), 1, 1, amount)),
+        F.when(is_anchor, row(F.col("t") - F.lit(float(before_ms)), 0, 0, F.lit(0.0))),
+        F.when(is_anchor, row(F.col("t"), 2, 0, F.lit(0.0))))
+    both = events.select(key, *anchor_id, F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    return _range_totals(both, list(anchor_id), key, slices)
+
+
+def _range_totals(both: DataFrame, ids: list[str], key: str, slices: int) -> DataFrame:
+    """Differences of the running totals between the two markers of every anchor."""
+    summed = Ordered((key,), ("_t", "_rank"), slices).apply(both, running={"_n": F.col("_one"), "_s": F.col("_amount")})
     ends = summed.filter(F.col("_rank") != 1)
     at = lambda c, rank: F.max(F.when(F.col("_rank") == rank, F.col(c)))
     return ends.groupBy(key, *ids).agg(

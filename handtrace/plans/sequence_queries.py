@@ -452,10 +452,9 @@ def click_reaction_session(spark, sf):
     ON m.session_id = c.session_id AND m.t BETWEEN c.t - {2 * DAY_MS} AND c.t GROUP BY 1, 2"""))
 def range_moves_before_click(spark, sf):
     tele = telemetry(spark, sf)
-    clicks = tele.events.filter("event_type = 'mouse_click' AND pressed").select(
-        "session_id", "seq", F.col("t").alias("anchor_t"))
-    moves = tele.events.filter("event_type = 'mouse_move'").select("session_id", "t", "x")
-    return rounded(joins.range_aggregate(clicks, moves, 2 * DAY_MS, "x", slices=tele.slices), 3)
+    kind = F.col("event_type")
+    return rounded(joins.range_aggregate_within(
+        tele.events, (kind == "mouse_click") & F.col("pressed"), kind == "mouse_move", 2 * DAY_MS, "x", slices=tele.slices), 3)
 
 
 @query("session_signals", with_sql("sessions", f"""
