@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -364,6 +364,9 @@ def isolation_forest(train: DataFrame, df: DataFrame, ident: str, vector: str, t
 
 
 # ---------------------------------------------------------------- evaluation helpers
+PAIRS_A_TASK = 4_000
+
+
 def linear_probe(df: DataFrame, ident: str, label: str, vector: str, folds: int = 5, seed: int = 0,
                  slices: int = 1) -> DataFrame:
     """Out-of-fold probabilities of a logistic model, folds stratified by keyed hash."""
@@ -406,28 +409,31 @@ def permutation_importance(model: PipelineModel, test: DataFrame, features: Sequ
     """(feature, auc_drop, auc_std): loss of AUC for one class when a column is shuffled, mean over the repeats.
 
     A repeat pairs every row once with the row in its place of the keyed-hash order. All columns are taken
-    from that partner in turn, so one join and one scoring pass serve every column.
+    from that partner in turn, so one join and one scoring pass serve every column and repeat. Pairs are few bytes
+    but long work, so they are dealt into tasks of ``PAIRS_A_TASK`` whatever their size.
     """
     from .metrics import roc_auc
     names = list(features)
     at = [i for i, n in enumerate(model.stages[0].labels) if n == positive][0]
     base = filled(test, names).select(ident, F.col(label).alias("_label"), F.array(*names).alias("_own"))
+    orders = F.array(*[F.struct(F.lit(i).alias("repeat"), hashed(seed + i, F.col(ident)).alias("_h")) for i in range(repeats)])
+    ranked = Ordered((), (ident,), slices).apply(base, position="_at")
+    values = Ordered(("repeat",), ("_h", ident), slices).apply(
+        base.select(ident, F.col("_own").alias("_other"), F.inline(orders)), position="_at")
+    tasks = max(1, math.ceil(test.count() * repeats / PAIRS_A_TASK))
+    paired = ranked.join(values.select("repeat", "_at", "_other"), "_at").repartition(tasks, "repeat", "_at")
+    variants = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(names.index(c)).alias("_i")) for c in columns])
+    shuffled = F.transform("_own", lambda x, j: F.when(j == F.col("_i"), F.get("_other", j)).otherwise(x))
     pool = base.select(F.lit(-1).alias("repeat"), F.lit("").alias("feature"), "_label", F.col("_own").alias("_v"))
-    for i in range(repeats):
-        hash_ = hashed(seed + i, F.col(ident))
-        ranked = Ordered((), (ident,), slices).apply(base, position="_at")
-        values = Ordered((), ("_h", ident), slices).apply(
-            base.select(ident, F.col("_own").alias("_other")).withColumn("_h", hash_), position="_at")
-        paired = ranked.join(values.select("_at", "_other"), "_at")
-        variants = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(names.index(c)).alias("_i")) for c in columns])
-        shuffled = F.transform("_own", lambda x, j: F.when(j == F.col("_i"), F.get("_other", j)).otherwise(x))
-        pool = pool.unionByName(paired.select("_label", "_own", "_other", F.inline(variants)).select(
-            F.lit(i).alias("repeat"), "feature", "_label", shuffled.alias("_v")))
+    pool = pool.unionByName(paired.select("repeat", "_label", "_own", "_other", F.inline(variants)).select(
+        "repeat", "feature", "_label", shuffled.alias("_v")))
     scored = model.stages[2].transform(pool.withColumn("features", array_to_vector("_v")))
-    auc = roc_auc(scored.select("repeat", "feature", F.get(vector_to_array("probability"), F.lit(at)).alias("score"),
-                                (F.col("_label") == positive).alias("positive")), ["repeat", "feature"], slices)
-    whole = auc.filter("feature = ''").select(F.col("auc").alias("_base"))
-    return auc.filter("feature <> ''").crossJoin(F.broadcast(whole)).groupBy("feature").agg(  # one row
+    # never null: the null filter of the AUC would score every row a second time
+    score = F.coalesce(F.get(vector_to_array("probability"), F.lit(at)), F.lit(0.0))
+    auc = roc_auc(scored.select("repeat", "feature", score.alias("score"), (F.col("_label") == positive).alias("positive")),
+                  ["repeat", "feature"], slices)
+    whole = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy())  # one row per repeat and feature
+    return auc.withColumn("_base", whole).filter("feature <> ''").groupBy("feature").agg(
         F.avg(F.col("_base") - F.col("auc")).alias("auc_drop"), F.stddev_pop("auc").alias("auc_std"))
 
 

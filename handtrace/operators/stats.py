@@ -168,6 +168,8 @@ def mid_ranks(long: DataFrame, keys: Sequence[str], sides: dict[str, Column], sl
     """Distinct values with per-side counts, tie size ``_m`` and average rank ``_rank``."""
     counts = _value_counts(long, keys, sides)
     counts = counts.withColumn("_m", sum(F.col(s) for s in sides))
+    if slices > 1:  # cut points and ranks read the counts: what makes the values runs once
+        counts = cut_lineage(counts)
     run = Ordered(tuple(keys), ("value",), slices).apply(counts, running={"_upto": F.col("_m")})
     return run.withColumn("_rank", F.col("_upto") - (F.col("_m") - 1) / 2.0)
 

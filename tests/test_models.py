@@ -75,3 +75,14 @@ def test_batch_scores(windows):
     by_row = {r["row"]: r for r in got}
     assert by_row[9999]["is_anomaly"] and by_row[9999]["anomaly_score"] == max(r["anomaly_score"] for r in got)
     assert 0 < np.mean([r["is_anomaly"] for r in got]) < 0.3
+
+
+def test_permutation_pairs_are_dealt_and_scored_once(windows, monkeypatch):
+    """Few bytes are long work here: the pairs go to tasks by their number, one pass whatever the repeats."""
+    train, test = windows
+    model = md.fit_identifier(train, NAMES)
+    monkeypatch.setattr(md, "PAIRS_A_TASK", 50, raising=False)
+    got = md.permutation_importance(model, test, NAMES, NAMES, "b", "player", "row", repeats=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 6), REPARTITION_BY_NUM" in plan  # 100 rows, 3 repeats
+    assert plan.count("Window [row_number()") == 2 and "isnotnull(UDF" not in plan
