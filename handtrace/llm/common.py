@@ -27,11 +27,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    Nothing reads the shuffle files of the write afterwards, so they go with it.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back.written_path = path
     return back
 
@@ -52,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: every step is an aggregation and a join, so that a
     node with many neighbours is pre-aggregated and its join partition can be split. Null ends and
-    loops are ignored; no edges give no rows.
+    loops are ignored; no edges give no rows. The result reads a written table: ``drop_written`` takes it.
     """
     spark = edges.sparkSession
     links = written(
@@ -79,7 +90,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     nodes = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = links.select(F.col("b").alias("node")).distinct().join(nodes, "node", "left_anti")
-    return nodes.unionByName(roots.select("node", F.col("node").alias("component")))
+    out = nodes.unionByName(roots.select("node", F.col("node").alias("component")))
+    out.written_path = links.written_path
+    return out
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:

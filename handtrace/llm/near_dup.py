@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import runs
-from .common import bounded_batches, components, text_key, written
+from .common import bounded_batches, components, drop_written, text_key, written
 from .textvec import Words, byte_slices, distinct_counts, mix, salt, shingles
 
 SHINGLE = 5
@@ -191,20 +191,21 @@ def open_buckets(state: DataFrame, found: DataFrame | None) -> DataFrame:
     return state.join(mixed.where("low <> high").select("band", "key"), ["band", "key"])
 
 
-def link_texts(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Verified links (a, b, similarity) that connect every candidate pair's components.
+def link_texts(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> list[DataFrame]:
+    """Verified links (a, b, similarity) that connect every candidate pair's components: written tables.
 
     ``members``: (band, key, node), a written table; buckets have two nodes or more. Pivots come from
     a bucket's smallest components, so those apart from a large family meet all of it at once; among
     equal ones those that meet most others in their buckets come first, such as a family's original.
     """
-    spark = members.sparkSession
     bucket = ["band", "key"]
     crowd = members.join(members.groupBy(*bucket).agg(F.count("*").alias("n")), bucket)
     weight = crowd.groupBy("node").agg(F.sum("n").alias("weight"))
     met_links, found, state = [], None, members.join(weight, "node")
+    read = [members]  # written tables behind the state
     while True:
         state = written(open_buckets(state, found), "members")
+        drop_written(*read)
         sizes = state.groupBy(*bucket, "component").agg(
             F.count("*").alias("n"), F.max(F.struct("weight", F.col("node").alias("b"))).alias("best"))
         sizes = sizes.select(*bucket, "n", F.struct(
@@ -216,21 +217,24 @@ def link_texts(members: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.n
             F.sum("n").alias("n"), F.sum("same").alias("same"), F.collect_list("pivot").alias("pivots"))
         whole = written(whole, "buckets")
         total, cross = whole.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not total:
-            break
-        if len(met_links) == PIVOT_ROUNDS or cross <= PIVOTS * total:
-            met_links.append(written(link_blocks(state, nodes, texts, idf, threshold), "links"))
-            break
+        if not total or len(met_links) == PIVOT_ROUNDS or cross <= PIVOTS * total:
+            if total:
+                met_links.append(written(link_blocks(state, nodes, texts, idf, threshold), "links"))
+            drop_written(state, whole)
+            return met_links
         met = written(state.join(whole.select(*bucket, "pivots"), bucket), "met")
         pairs = met.select(F.col("node").alias("a"), "component", F.explode("pivots").alias("p"))
         pairs = pairs.where("a <> p.b and component <> p.cb").select(
             F.greatest("a", "p.b").alias("a"), F.least("a", "p.b").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        drop_written(state, whole)
         state = met.where(~F.exists("pivots", lambda p: p["b"] == F.col("node"))).drop("pivots")
-        met_links.append(written(verified(written(pairs, "pairs"), texts, idf, threshold), "links"))
-        found = written(components(reduce(DataFrame.unionByName, met_links)), "components")
-    if not met_links:
-        return spark.createDataFrame([], "a long, b long, similarity double")
-    return reduce(DataFrame.unionByName, met_links)
+        met_links.append(written(verified(pairs, texts, idf, threshold), "links"))
+        drop_written(pairs)
+        parts = components(reduce(DataFrame.unionByName, met_links))
+        found = written(parts, "components")
+        drop_written(parts)
+        read = [met, found]
 
 
 def link_blocks(state: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -308,15 +312,20 @@ def duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
              .join(involved, ["first_id", "key"]).dropDuplicates(["node"]).select("node", "text"))
     texts = written(texts, "texts")
     links = link_texts(members, nodes, texts, idf, threshold)
-    found = components(links.select("a", "b"))
-    placed = nodes.select("key", "first_id", "node").join(found, "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    drop_written(texts)
+    placed = nodes.select("key", "first_id", "node")
+    if links:
+        parts = components(reduce(DataFrame.unionByName, links).select("a", "b"))
+        placed = placed.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    else:
+        placed = placed.withColumn("component", F.col("node"))
     least = placed.groupBy("component").agg(F.min(F.struct("first_id", "key")).alias("least"))
     placed = placed.join(least, "component").select("key", "least")
     out = signed.select("doc_id", "key").join(placed, "key")
-    out = out.select("doc_id", "key", F.col("least.first_id").alias("class_id"),
-                     (F.col("doc_id").eqNullSafe(F.col("least.first_id")) & (F.col("key") == F.col("least.key")))
-                     .alias("is_kept"))
+    out = written(out.select("doc_id", "key", F.col("least.first_id").alias("class_id"),
+                             (F.col("doc_id").eqNullSafe(F.col("least.first_id")) & (F.col("key") == F.col("least.key")))
+                             .alias("is_kept")), "classes")
+    drop_written(signed, nodes, *links, *([parts] if links else []))
     alone = docs.where("text is null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"),
         F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("is_kept"))

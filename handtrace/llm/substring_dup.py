@@ -353,7 +353,9 @@ def line_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         found.append(written(verified_lines(pairs, sets), "links"))
         drop_written(pairs)
         links = reduce(DataFrame.unionByName, found)
-        joined = written(components(links.select("a", "b")).withColumnRenamed("node", "class"), "components")
+        parts = components(links.select("a", "b"))
+        joined = written(parts.withColumnRenamed("node", "class"), "components")
+        drop_written(parts)
         read = [state, joined]
         known = links.select(F.col("a").alias("class")).distinct().withColumn("late", F.lit(True))
         state = state.withColumn("used", F.col("used") | F.coalesce(F.col("class") == F.col("pivot.class"), F.lit(False)))
@@ -503,9 +505,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     spans = found.groupBy(F.col("a").alias("node")).agg(F.collect_set(F.struct("start", "stop")).alias("passages"))
     placed = nodes.join(groups, "node").join(spans, "node", "left")
     least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    placed = placed.join(least, "component").select(
+    placed = written(placed.join(least, "component").select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("class_id").alias("_class"),
-        F.col("passages").alias("_passages"))
+        F.col("passages").alias("_passages")), "placed")
+    drop_written(nodes, found, groups)
     known = docs.withColumn("_own", text_key())
     match = known["doc_id"].cast("long").eqNullSafe(placed["_id"]) & (known["_own"] == placed["_key"])
     kind = "array<struct<start:int,stop:int>>"

@@ -416,3 +416,21 @@ def test_pipeline_stages(spark, tmp_path):
     last = {r["doc_id"]: r["text"] for r in before.collect()}
     for r in docs.collect():
         assert r["ids"] == model.encode(last[r["doc_id"]])
+
+
+def test_intermediate_tables_go_with_their_last_reader(spark):
+    """One table is left of the near-duplicate step and one of the repeated passages: those the results read."""
+    from pathlib import Path
+
+    from handtrace.llm import substring_dup
+    from handtrace.llm.common import SHUFFLE_CLEANUP
+    from handtrace.session import shared_dir
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words[:79]), " ".join(words[::-1]), "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for step in (near_dup.duplicate_classes, substring_dup.remove_passages):
+        before = {p.name for p in folder.iterdir()}
+        assert step(docs).count() == 4
+        assert len({p.name for p in folder.iterdir()} - before) == 1
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == "false"
