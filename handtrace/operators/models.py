@@ -26,6 +26,9 @@ from ..constants import STD_FLOOR
 from ..functions.exprs import hashed, ratio, uniform
 from ..functions.ordered import Ordered
 
+CLASSES_AT_ONCE = 8  # classes fitted side by side: a pass over the rows is too short to fill a cluster
+
+
 # ---------------------------------------------------------------- preparation
 def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """NULL -> 0 in the model inputs."""
@@ -42,9 +45,9 @@ def scale_like(train: DataFrame, df: DataFrame, features: Sequence[str]) -> Data
 
 
 def with_balance(df: DataFrame, label: str) -> DataFrame:
-    """Row weight n / (classes * n_class); Spark picks the join by the class table's size."""
+    """Row weight n / (classes * n_class); the class table goes to the rows, which stay dealt as they are."""
     from .stats import class_weights
-    return df.join(class_weights(df, label).select(label, F.col("weight")), label)
+    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight"))), label)
 
 
 # ---------------------------------------------------------------- identification
@@ -55,7 +58,7 @@ def _estimator(kind: str, seed: int):
     base = {
         "boosted": GBTClassifier(maxIter=5, maxDepth=3, seed=seed),
         "linear_svc": LinearSVC(maxIter=20), "logistic": LogisticRegression(maxIter=20)}[kind]
-    return OneVsRest(classifier=base, weightCol="weight", **common)
+    return OneVsRest(classifier=base, weightCol="weight", parallelism=CLASSES_AT_ONCE, **common)
 
 
 def fit_identifier(train: DataFrame, features: Sequence[str], label: str = "player", kind: str = "forest",
@@ -66,7 +69,7 @@ def fit_identifier(train: DataFrame, features: Sequence[str], label: str = "play
     steps = [
         StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip"),
         VectorAssembler(inputCols=list(features), outputCol="features"), _estimator(kind, seed)]
-    rows = with_balance(filled(train, features), label).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = with_balance(filled(train.select(label, *features), features), label).persist(StorageLevel.MEMORY_AND_DISK)
     try:  # iterative trainers read the rows once per pass
         return Pipeline(stages=steps).fit(rows)
     finally:

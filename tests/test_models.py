@@ -86,3 +86,19 @@ def test_permutation_pairs_are_dealt_and_scored_once(windows, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and ", 6), REPARTITION_BY_NUM" in plan  # 100 rows, 3 repeats
     assert plan.count("Window [row_number()") == 2 and "isnotnull(UDF" not in plan
+
+
+def test_classes_are_not_gathered_for_their_weights(windows, spark):
+    """Rows of a class stay in all their tasks; the classes of one model are fitted side by side."""
+    train, _ = windows
+    dealt = train.repartition(6).cache()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = md.with_balance(dealt, "player").persist()
+        held = rows.groupBy("player", F.spark_partition_id()).count().groupBy("player").count().collect()
+        rows.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["player"]: r["count"] for r in held} == {"a": 6, "b": 6}
+    assert all(md._estimator(kind, 7).getParallelism() > 1 for kind in ("boosted", "logistic", "linear_svc"))
