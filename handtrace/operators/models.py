@@ -44,10 +44,15 @@ def scale_like(train: DataFrame, df: DataFrame, features: Sequence[str]) -> Data
         {c: (F.col(c) - F.col(f"_m_{c}")) / spread(c) for c in features}).select(*df.columns)
 
 
-def with_balance(df: DataFrame, label: str) -> DataFrame:
-    """Row weight n / (classes * n_class); the class table goes to the rows, which stay dealt as they are."""
+def with_balance(df: DataFrame, label: str, spread: bool = True) -> DataFrame:
+    """Row weight n / (classes * n_class).
+
+    ``spread``: the class table goes to the rows, which stay dealt as they are; else Spark picks the join, which
+    can gather each class in one task.
+    """
     from .stats import class_weights
-    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight"))), label)
+    weights = class_weights(df, label).select(label, F.col("weight"))
+    return df.join(F.broadcast(weights) if spread else weights, label)
 
 
 # ---------------------------------------------------------------- identification
@@ -69,7 +74,9 @@ def fit_identifier(train: DataFrame, features: Sequence[str], label: str = "play
     steps = [
         StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip"),
         VectorAssembler(inputCols=list(features), outputCol="features"), _estimator(kind, seed)]
-    rows = with_balance(filled(train.select(label, *features), features), label).persist(StorageLevel.MEMORY_AND_DISK)
+    draws = kind in ("forest", "boosted")  # MLlib draws bags and split candidates by task: their rows stay dealt by class
+    rows = with_balance(filled(train.select(label, *features), features), label, not draws).persist(
+        StorageLevel.MEMORY_AND_DISK)
     try:  # iterative trainers read the rows once per pass
         return Pipeline(stages=steps).fit(rows)
     finally:
